@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -130,13 +130,17 @@ def purity(df: DataFrame, level: int, fields: list[str]) -> DataFrame:
     )
 
 
+def _tagged(field: str, v: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), v.alias("value"))
+
+
 def field_top(df: DataFrame, level: int, fields: list[str], k: int = 5, idx: str = "idx", multi: tuple[str, ...] = ()) -> DataFrame:
     """The ``k`` most common values of each field per bucket; fields in ``multi`` count every value."""
     wide, names = _bucketed(df, level)
     pairs = []
     for f in fields:
         values = split_values(F.col(f)) if f in multi else F.array(scalar_or_missing(F.col(f)))
-        pairs.append(F.transform(values, lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value"))))
+        pairs.append(F.transform(values, partial(_tagged, f)))
     long = wide.select(*names, F.col(idx).alias("idx"), F.explode(F.concat(*pairs)).alias("p"))
     counts = long.groupBy(*names, F.col("p.field").alias("field"), F.col("p.value").alias("value")).agg(
         F.count("*").alias("n"), F.min("idx").alias("first_idx")

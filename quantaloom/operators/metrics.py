@@ -53,9 +53,9 @@ def prefix_buckets(
 ) -> DataFrame:
     """Size of every prefix bucket at every level: ``[scope, by,] level, c1…cL, n[, first_idx]``.
 
-    Rows are counted per full path first; the grouping sets over prefixes then expand distinct paths
-    only, not rows. With ``by`` the buckets of each group and of all groups together come from the
-    same pass.
+    Rows are counted per full path first, with partial counts before the shuffle. Those counts are the
+    last level already; only the shorter prefixes (and the overall paths, with ``by``) are grouped
+    again, from distinct paths instead of rows.
     """
     wide, names = level_columns(df, levels)
     extra = [F.min(idx).alias("first_idx")] if idx else []
@@ -63,20 +63,23 @@ def prefix_buckets(
         F.col(n) for n in names
     ]
     paths = wide.groupBy(*keys).agg(F.count("*").alias("n"), *extra)
+    out = ["n"] + (["first_idx"] if idx else [])
+    # a grouped-out column is null on its own, so overall rows are told apart by their scope
+    scope = [F.lit(by).alias("scope"), F.col(by)] if by else []
+    whole = paths.select(*scope, F.lit(len(names)).alias("level"), *names, *out)
     prefixes = [names[: i + 1] for i in range(len(names))]
-    sets = [[by] + p for p in prefixes] + (prefixes if overall else []) if by else prefixes
+    sets = [[by] + p for p in prefixes[:-1]] + (prefixes if overall else []) if by else prefixes[:-1]
+    if not sets:
+        return whole
     columns = ([by] if by else []) + names
     grouped = paths.groupingSets(sets, *columns).agg(
-        F.sum("n").alias("n"),
+        F.sum("n").cast("bigint").alias("n"),
         *([F.min("first_idx").alias("first_idx")] if idx else []),
         _level_of(names).alias("level"),
         F.shiftright(F.grouping_id(), len(names)).alias("__all"),
     )
-    # the overall rows keep a null group and are told apart by their scope
     scope = [F.when(F.col("__all") == 1, OVERALL).otherwise(by).alias("scope"), F.col(by)] if by else []
-    return grouped.select(
-        *scope, "level", *names, F.col("n").cast("bigint").alias("n"), *(["first_idx"] if idx else [])
-    )
+    return whole.unionByName(grouped.select(*scope, "level", *names, *out))
 
 
 def level_metrics(
@@ -100,7 +103,7 @@ def level_metrics(
     stats = histogram.groupBy(*scope, "level").agg(
         F.sum("freq").cast("bigint").alias("bucket_count"),
         F.sum(F.col("n") * F.col("freq")).cast("bigint").alias("rows"),
-        F.percentile("n", [0.25, 0.5, 0.75], "freq").alias("q"),
+        F.percentile("n", [0.25, 0.5, 0.75], F.col("freq")).alias("q"),
         F.max("n").cast("bigint").alias("max"),
         F.greatest(F.max("top"), F.lit(0)).alias("top"),
     )
@@ -215,7 +218,7 @@ def marginal_metrics(df: DataFrame, levels: int | None = None) -> DataFrame:
     stats = histogram.groupBy("level").agg(
         F.sum("freq").cast("bigint").alias("active"),
         F.sum(F.col("n") * F.col("freq")).cast("bigint").alias("rows"),
-        F.percentile("n", [0.25, 0.5, 0.75], "freq").alias("q"),
+        F.percentile("n", [0.25, 0.5, 0.75], F.col("freq")).alias("q"),
         F.max("n").cast("bigint").alias("max"),
         (F.max("top") + 1).cast("bigint").alias("codebook_size"),
     )
@@ -283,7 +286,7 @@ def best_runs(runs: DataFrame, save_limit: int = 3) -> DataFrame:
         F.struct(F.lit("best_collision").alias("reason"), F.col("best_collision").alias("run")),
         F.struct(F.lit("best_loss").alias("reason"), F.col("best_loss").alias("run")),
     )).alias("x")).select("x.reason", "x.run")
-    newest = runs.orderBy(F.col("epoch").desc()).limit(save_limit).select(F.lit("newest").alias("reason"), "run")
+    newest = runs.orderBy(F.col("epoch").desc(), "run").limit(save_limit).select(F.lit("newest").alias("reason"), "run")
     return picked.unionByName(newest)
 
 

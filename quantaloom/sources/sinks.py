@@ -38,7 +38,7 @@ def with_placeholder(codebook: DataFrame) -> DataFrame:
     """
     last = codebook.agg(F.max("level").alias("last")).withColumn("__one", F.lit(1))
     first = codebook.where(F.col("level") == 1).withColumn("__one", F.lit(1)).join(F.broadcast(last), "__one")
-    zero = F.transform("centroid", lambda x: x - x)
+    zero = F.transform("centroid", lambda _: F.lit(0.0))
     added = first.select((F.col("last") + 1).cast("int").alias("level"), "code", zero.alias("centroid"))
     return codebook.select("level", "code", "centroid").unionByName(added)
 
