@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,18 @@ QUOTED_PATTERN = "{label}：(?:“([^”]*)”?|([^“，。,][^，。,]*))"
 FIELD_LABELS = {"tags": "标签", "subname": "副标题"}
 
 
+# What counts as white space at the ends of a text.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, including the ideographic space."""
-    return F.regexp_replace(c.cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.trim(c.cast("string"), F.lit(WHITE_SPACE))
 
 
 def fold(c: Column) -> Column:
@@ -43,14 +54,13 @@ def fold(c: Column) -> Column:
 
 def to_text(c: Column) -> Column:
     """Trimmed string, null when blank."""
-    s = strip(c)
-    return F.when(s != "", s)
+    return F.nullif(strip(c), F.lit(""))
 
 
 def list_to_text(c: Column) -> Column:
     """Join the non-blank items of an array with the ideographic comma; null when none is left."""
     items = F.filter(F.transform(c, strip), lambda x: x.isNotNull() & (x != ""))
-    return F.when(F.size(items) > 0, F.array_join(items, LIST_SEPARATOR))
+    return F.nullif(F.array_join(items, LIST_SEPARATOR), F.lit(""))
 
 
 def saletype_label(c: Column) -> Column:
@@ -70,8 +80,12 @@ def top_artists(c: Column, n: int = 3) -> Column:
 
 def distinct_folded(items: Column) -> Column:
     """Drop later items equal to an earlier one up to case; order and first spelling are kept."""
-    folded = F.transform(items, fold)
-    return F.filter(items, lambda x, i: F.array_position(folded, fold(x)) == i + 1)
+    keyed = F.transform(items, lambda x: F.struct(x.alias("v"), fold(x).alias("k")))
+    first = let(
+        keyed,
+        lambda t: let(t["k"], lambda k: F.filter(t, lambda x, i: F.array_position(k, x["k"]) == i + 1)),
+    )
+    return first["v"]
 
 
 def merge_tags(*cs: Column, sep: str = TAG_SPLIT) -> Column:
@@ -85,7 +99,7 @@ def merge_tag_lists(*cs: Column) -> Column:
     empty = F.array().cast("array<string>")
     tokens = F.transform(F.concat(*[F.coalesce(c, empty) for c in cs]), strip)
     kept = distinct_folded(F.filter(tokens, lambda x: x.isNotNull() & (x != "")))
-    return F.when(F.size(kept) > 0, F.array_join(kept, LIST_SEPARATOR))
+    return F.nullif(F.array_join(kept, LIST_SEPARATOR), F.lit(""))
 
 
 def resolve_title(*titles: Column) -> Column:
@@ -101,23 +115,23 @@ def resolve_title(*titles: Column) -> Column:
             i.alias("pos"), x.alias("title"), fold(F.regexp_replace(x, "[^0-9A-Za-z一-鿿]", "")).alias("key")
         ),
     )
-    contained = F.exists(
-        keyed,
-        lambda a: F.exists(
-            keyed, lambda b: (a["pos"] != b["pos"]) & (a["key"] != "") & F.contains(b["key"], a["key"])
-        ),
-    )
-    longest = F.array_min(
-        F.transform(keyed, lambda a: F.struct((-F.length(a["key"])).alias("n"), a["pos"], a["title"]))
-    )["title"]
-    joined = F.array_join(distinct_folded(cleaned), LIST_SEPARATOR)
-    return F.when(F.size(cleaned) == 0, None).when(contained, longest).otherwise(joined)
+
+    def choose(t: Column) -> Column:
+        contained = F.exists(
+            t,
+            lambda a: F.exists(t, lambda b: (a["pos"] != b["pos"]) & (a["key"] != "") & F.contains(b["key"], a["key"])),
+        )
+        by_length = F.transform(t, lambda a: F.struct((-F.length(a["key"])).alias("n"), a["pos"], a["title"]))
+        joined = F.array_join(distinct_folded(t["title"]), LIST_SEPARATOR)
+        return F.when(F.size(t) == 0, None).when(contained, F.array_min(by_length)["title"]).otherwise(joined)
+
+    return let(keyed, choose)
 
 
 def labelled(pairs: list[tuple[str, Column]]) -> Column:
     """``label：“value”`` joined by full-width commas and closed by a full stop; empty when no value is."""
     body = F.concat_ws("，", *[F.concat(F.lit(k + "：“"), v, F.lit("”")) for k, v in pairs])
-    return F.when(body != "", F.concat(body, F.lit("。"))).otherwise(F.lit(""))
+    return let(body, lambda t: F.when(t != "", F.concat(t, F.lit("。"))).otherwise(F.lit("")))
 
 
 def _col(df: DataFrame, name: str) -> Column:
