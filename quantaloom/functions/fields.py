@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quantaloom.functions.text import STATION_NAMES, VIDEO_NAMES, strip
+from quantaloom.functions.text import STATION_NAMES, VIDEO_NAMES, let, strip
 
 # Layout of the packed metadata code.
 PACK_YEAR_ORIGIN = 2035
@@ -35,17 +37,13 @@ def has_key(v: Column, *keys: str) -> Column:
     return F.try_variant_get(v, json_path(*keys), "variant").isNotNull()
 
 
-def _drop_json_null(v: Column) -> Column:
-    return F.when(~F.is_variant_null(v), v)
-
-
-def _drop_falsy(v: Column) -> Column:
+def _filled(v: Column) -> Column:
+    """True for a value that is neither null nor empty: no zero, false, blank string, empty list or object."""
     text = F.try_variant_get(v, "$", "string")
-    kind = F.schema_of_variant(v)
-    empty = F.when(kind == "STRING", text == "").otherwise(
+    empty = F.when(F.schema_of_variant(v) == "STRING", text == "").otherwise(
         text.isin("false", "[]", "{}") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
     )
-    return F.when(~F.is_variant_null(v) & ~empty, v)
+    return ~F.is_variant_null(v) & ~empty
 
 
 def first_present(
@@ -59,12 +57,14 @@ def first_present(
     paths = [(h, k) if h else (k,) for h in holders for k in keys]
     found = [F.try_variant_get(v, json_path(*p), "variant") for p in paths]
     if rule in ("presence", "presence_default"):
-        return _drop_json_null(F.coalesce(*found))
+        return let(F.coalesce(*found), lambda x: F.when(~F.is_variant_null(x), x))
     if rule == "nonnull":
-        return F.coalesce(*[_drop_json_null(x) for x in found])
-    if rule == "truthy":
-        return F.coalesce(*[_drop_falsy(x) for x in found])
-    raise ValueError(f"unknown rule {rule!r}")
+        kept = F.filter(F.array(*found), lambda x: x.isNotNull() & ~F.is_variant_null(x))
+    elif rule == "truthy":
+        kept = F.filter(F.array(*found), lambda x: x.isNotNull() & _filled(x))
+    else:
+        raise ValueError(f"unknown rule {rule!r}")
+    return F.try_element_at(kept, F.lit(1))
 
 
 def domain_of(v: Column, key: str = "domain") -> Column:
@@ -77,10 +77,11 @@ def domain_of(v: Column, key: str = "domain") -> Column:
         named,
         F.try_variant_get(inner, json_path("垂域"), "string"),
     )
-    return (
-        F.when(found.isin(*VIDEO_NAMES), "video")
-        .when(found.isin(*STATION_NAMES), "station")
-        .otherwise(F.coalesce(found, F.lit(MISSING_DOMAIN)))
+    return let(
+        found,
+        lambda d: F.when(d.isin(*VIDEO_NAMES), "video")
+        .when(d.isin(*STATION_NAMES), "station")
+        .otherwise(F.coalesce(d, F.lit(MISSING_DOMAIN))),
     )
 
 
@@ -107,15 +108,19 @@ def norm_sale(c: Column, variant: str = "pack", numeric: bool = False) -> Column
     return F.when(s == "FREE", 1).when(s == "PAY", 2).otherwise(F.coalesce(digits, zero)).cast("bigint")
 
 
+def _by_kind(v: Column, of_string: Callable[[Column], Column], of_number: Callable[[Column], Column]) -> Column:
+    """Apply the rule for strings or the one for numbers to a VARIANT value; null counts as 0."""
+    return let(
+        v,
+        lambda x: F.when(x.isNull() | F.is_variant_null(x), F.lit(0).cast("bigint"))
+        .when(F.schema_of_variant(x) == "STRING", of_string(F.try_variant_get(x, "$", "string")))
+        .otherwise(of_number(F.try_variant_get(x, "$", "double"))),
+    )
+
+
 def sale_of_variant(v: Column, variant: str = "pack") -> Column:
     """``norm_sale`` of a VARIANT value, which knows whether it is a string or a number."""
-    text = norm_sale(F.try_variant_get(v, "$", "string"), variant)
-    number = norm_sale(F.try_variant_get(v, "$", "double"), variant, numeric=True)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), F.lit(0).cast("bigint"))
-        .when(F.schema_of_variant(v) == "STRING", text)
-        .otherwise(number)
-    )
+    return _by_kind(v, lambda s: norm_sale(s, variant), lambda n: norm_sale(n, variant, numeric=True))
 
 
 def norm_year(c: Column, numeric: bool = False) -> Column:
@@ -123,13 +128,7 @@ def norm_year(c: Column, numeric: bool = False) -> Column:
 
 
 def year_of_variant(v: Column) -> Column:
-    text = norm_year(F.try_variant_get(v, "$", "string"))
-    number = norm_year(F.try_variant_get(v, "$", "double"), numeric=True)
-    return (
-        F.when(v.isNull() | F.is_variant_null(v), F.lit(0).cast("bigint"))
-        .when(F.schema_of_variant(v) == "STRING", text)
-        .otherwise(number)
-    )
+    return _by_kind(v, norm_year, lambda n: norm_year(n, numeric=True))
 
 
 def years_ago(c: Column, ref_year: int = REFERENCE_YEAR) -> Column:

@@ -210,7 +210,7 @@ def resolve_domain(domain: Column, json_format: Column) -> Column:
         F.nullif(F.try_variant_get(parsed, '$["domain"]', "string"), F.lit("")),
     ]
     found = F.coalesce(F.nullif(domain.cast("string"), F.lit("")), *inner)
-    return F.when(found.isin(*STATION_NAMES), "station").otherwise("video")
+    return F.when(F.coalesce(found.isin(*STATION_NAMES), F.lit(False)), "station").otherwise("video")
 
 
 def text_format(df: DataFrame, domain: str | None = None, providers: dict[str, str] | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantaloom.functions.fields import get_path
-from quantaloom.functions.text import clean_values, scalar_or_missing, split_values
+from quantaloom.functions.text import clean_values, let, scalar_or_missing, split_values
 from quantaloom.operators.metrics import level_columns, prefix_buckets
 from quantaloom.operators.ranking import first_rows
 from quantaloom.session import broadcast_if_small
@@ -67,6 +67,12 @@ SALE_PATHS = [
 ]
 
 
+def _sale_value(text: Column) -> Column:
+    """FREE and PAY in capitals, digits without leading zeros, anything else as it is."""
+    digits = F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint").cast("string"))
+    return F.when(F.upper(text).isin("FREE", "PAY"), F.upper(text)).otherwise(F.coalesce(digits, text))
+
+
 def first_path_distribution(
     df: DataFrame, paths: list[str] | None = None, top: int = 127, raw: str = "raw", idx: str = "idx"
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -76,16 +82,11 @@ def first_path_distribution(
     """
     paths = paths or SALE_PATHS
     rows = df.where(F.trim(F.col(raw)) != "").select(F.col(idx).alias("idx"), F.try_parse_json(raw).alias("v"))
-    picks = []
-    for p in paths:
-        value = get_path(F.col("v"), p)
-        picks.append(F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(p).alias("path"))))
-    picked = rows.select("idx", F.col("v").isNotNull().alias("ok"), F.coalesce(*picks).alias("pick"))
-    text = F.trim(F.col("pick.value"))
-    upper = F.upper(text)
-    digits = F.when(text.rlike("^[0-9]+$"), F.coalesce(text.try_cast("bigint").cast("string"), text))
-    value = F.when(upper.isin("FREE", "PAY"), upper).otherwise(F.coalesce(digits, text))
-    flat = picked.select("idx", "ok", value.alias("value"), F.col("pick.path").alias("path"))
+    tried = F.array(*[F.struct(get_path(F.col("v"), p).alias("value"), F.lit(p).alias("path")) for p in paths])
+    found = F.try_element_at(F.filter(tried, lambda x: x["value"].isNotNull()), F.lit(1))
+    normal = let(found, lambda x: F.struct(_sale_value(F.trim(x["value"])).alias("value"), x["path"].alias("path")))
+    picked = rows.select("idx", F.col("v").isNotNull().alias("ok"), normal.alias("pick"))
+    flat = picked.select("idx", "ok", F.col("pick.value").alias("value"), F.col("pick.path").alias("path"))
     stats = flat.agg(
         F.count_if("ok").alias("total"),
         F.count_if(~F.col("ok")).alias("bad_json"),
