@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.functions.fields import MISSING_DOMAIN
-from quantaloom.functions.vectors import as_double, length_or_one, sq_norm
+from quantaloom.functions.vectors import length_or_one, sq_norm
 from quantaloom.operators.metrics import OVERALL, _level_of, level_columns, scope_columns
 from quantaloom.operators.ranking import first_rows
-from quantaloom.operators.sums import dimension, vector_sum
+from quantaloom.operators.sums import component_sums, dimension, in_chunks
 from quantaloom.session import broadcast_if_small
 
 
-def _prepared(df: DataFrame, vector: str, by: str | None, keep: list[str], levels: int | None):
+def _prepared(df: DataFrame, vector: str, dim: int, by: str | None, keep: list[str], levels: int | None):
+    """One row per vector chunk with the vector's length, and the names of the level columns."""
     wide, names = level_columns(df, levels)
     scope = [F.coalesce(F.col(by).cast("string"), F.lit(MISSING_DOMAIN)).alias(by)] if by else []
     rows = wide.select(
@@ -22,17 +23,36 @@ def _prepared(df: DataFrame, vector: str, by: str | None, keep: list[str], level
         *names,
         F.col(vector).alias("__v"),
         length_or_one(F.col(vector)).alias("__len"),
-        (sq_norm(F.col(vector)) > 0).cast("long").alias("__nonzero"),
+        F.exists(vector, lambda x: x != 0).cast("long").alias("__nonzero"),
     )
-    return rows, names
+    chunked, width = in_chunks(rows, "__v", dim)
+    return chunked.drop("__v"), names, width
 
 
-def _means(buckets: DataFrame, scope: list[str]) -> DataFrame:
-    """Mean pairwise cosine per bucket: the squared length of the summed unit vectors, less the self pairs."""
+def _sums(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    return rows.groupBy(*keys, "__chunk").agg(
+        component_sums("__piece", width, "__len").alias("vec_sum"),
+        F.count("*").alias("n"),
+        F.sum("__nonzero").alias("nonzero"),
+    )
+
+
+def _means(buckets: DataFrame, scope: list[str], names: list[str], one_chunk: bool) -> DataFrame:
+    """Mean pairwise cosine per bucket: the squared length of the summed unit vectors, less the self pairs.
+
+    The squared length is itself a sum over chunks of the vector.
+    """
+    sq = sq_norm(F.col("vec_sum"))
+    if one_chunk:
+        whole = buckets.select(*scope, "level", "n", "nonzero", sq.alias("sq"))
+    else:
+        whole = buckets.groupBy(*scope, "level", *names).agg(
+            F.max("n").alias("n"), F.max("nonzero").alias("nonzero"), F.sum(sq).alias("sq")
+        )
     n = F.col("n").cast("double")
     pairs = n * (n - 1) / 2
-    sim = (sq_norm(F.col("vec_sum")) - F.col("nonzero")) / (n * (n - 1))
-    scored = buckets.where(F.col("n") > 1).select(*scope, "level", pairs.alias("pairs"), sim.alias("sim"))
+    sim = (F.col("sq") - F.col("nonzero")) / (n * (n - 1))
+    scored = whole.where(F.col("n") > 1).select(*scope, "level", pairs.alias("pairs"), sim.alias("sim"))
     return scored.groupBy(*scope, "level").agg(
         F.count("*").alias("bucket_count"),
         F.sum("pairs").cast("bigint").alias("pairs"),
@@ -58,7 +78,7 @@ def bucket_cosine(
     evaluated with a capped protocol did (512 there). Levels whose buckets all hold one row are absent.
     """
     dim = dim or dimension(df, vector)
-    rows, names = _prepared(df, vector, by, [idx] if cap else [], levels)
+    rows, names, width = _prepared(df, vector, dim, by, [idx] if cap else [], levels)
     last = len(names) - (1 if exclude_last else 0)
     last = max(min(last, max_level) if max_level is not None else last, 0)
     names = names[:last]
@@ -66,60 +86,44 @@ def bucket_cosine(
         raise ValueError("no level is left to score")
     scope = scope_columns(by)
     group = [by] if by else []
-    side = [("n", F.count("*")), ("nonzero", F.sum("__nonzero"))]
     if cap:
-        return _capped(rows, names, by, cap, idx, dim, side)
+        return _capped(rows, names, by, cap, idx, width, dim <= width)
 
-    paths = vector_sum(rows, [*group, *names], "__v", dim, side, divisor="__len")
-    prefixes = [names[: i + 1] for i in range(last)]
+    # sums per path once, then per shorter prefix from those: a hot prefix is already small by then
+    paths = _sums(rows, [*group, *names], width)
+    prefixes = [[*names[: i + 1], "__chunk"] for i in range(last)]
     sets = [group + p for p in prefixes] + (prefixes if by else [])
-    parts = [F.get("vec_sum", F.lit(i)).alias(f"__s{i}") for i in range(dim)]
-    flat = paths.select(*group, *names, *parts, "n", "nonzero")
-    merged = flat.groupingSets(sets, *group, *names).agg(
-        *[F.sum(f"__s{i}").alias(f"__s{i}") for i in range(dim)],
+    merged = paths.groupingSets(sets, *group, "__chunk", *names).agg(
+        component_sums("vec_sum", width).alias("vec_sum"),
         F.sum("n").alias("n"),
         F.sum("nonzero").alias("nonzero"),
         _level_of(names).alias("level"),
-        F.shiftright(F.grouping_id(), last).alias("__all"),
+        F.shiftright(F.grouping_id(), last + 1).alias("__all"),
     )
     named = [F.when(F.col("__all") == 1, OVERALL).otherwise(by).alias("scope"), F.col(by)] if by else []
-    vec = F.array(*[f"__s{i}" for i in range(dim)]).alias("vec_sum")
-    return _means(merged.select(*named, "level", vec, "n", "nonzero"), scope)
+    return _means(merged.select(*named, "level", *names, "vec_sum", "n", "nonzero"), scope, names, dim <= width)
 
 
-def _capped(rows, names, by, cap, idx, dim, side) -> DataFrame:
+def _capped(
+    rows: DataFrame, names: list[str], by: str | None, cap: int, idx: str, width: int, one_chunk: bool
+) -> DataFrame:
     """Per level, find the last admitted row of each over-full bucket on narrow columns, then sum."""
     out = None
+    single = rows.where(F.col("__chunk") == 0)
     for group in ([by], []) if by else ([],):
         for level in range(1, len(names) + 1):
             keys = group + names[:level]
-            narrow = rows.select(*keys, idx)
-            cutoff = first_rows(narrow, keys, cap, [F.col(idx)]).where(F.col("rn") == cap)
+            cutoff = first_rows(single.select(*keys, idx), keys, cap, [F.col(idx)]).where(F.col("rn") == cap)
             cutoff = cutoff.select(*keys, F.col(idx).alias("__last"))
             admitted = rows.join(broadcast_if_small(cutoff, 64), keys, "left").where(
                 F.col("__last").isNull() | (F.col(idx) <= F.col("__last"))
             )
-            sums = vector_sum(admitted, keys, "__v", dim, side, divisor="__len")
             named = []
             if by:
-                named = [
-                    F.lit(by if group else OVERALL).alias("scope"),
-                    F.col(by) if group else F.lit(None).cast("string").alias(by),
-                ]
-            one = sums.select(*named, F.lit(level).alias("level"), "vec_sum", "n", "nonzero")
+                own = F.col(by) if group else F.lit(None).cast("string").alias(by)
+                named = [F.lit(by if group else OVERALL).alias("scope"), own]
+            codes = [F.col(n) if i < level else F.lit(None).cast("int").alias(n) for i, n in enumerate(names)]
+            sums = _sums(admitted, keys, width)
+            one = sums.select(*named, F.lit(level).alias("level"), *codes, "vec_sum", "n", "nonzero")
             out = one if out is None else out.unionByName(one)
-    return _means(out, scope_columns(by))
-
-
-def bucket_sums(df: DataFrame, keys: list[str], vector: str = "embedding", dim: int | None = None) -> DataFrame:
-    """Rows, non-zero rows and the sum of unit vectors per key: enough for any later cosine mean."""
-    dim = dim or dimension(df, vector)
-    rows = df.select(
-        *keys,
-        as_double(F.col(vector)).alias("__v"),
-        length_or_one(F.col(vector)).alias("__len"),
-        (sq_norm(F.col(vector)) > 0).cast("long").alias("__nonzero"),
-    )
-    return vector_sum(
-        rows, keys, "__v", dim, [("n", F.count("*")), ("nonzero", F.sum("__nonzero"))], divisor="__len"
-    )
+    return _means(out, scope_columns(by), names, one_chunk)

@@ -17,6 +17,21 @@ def dimension(df: DataFrame, vector: str = "embedding") -> int:
     return row[0]
 
 
+def component_sums(vector: str, width: int, divisor: str | None = None) -> Column:
+    """Array of one sum per component: one double buffer each, with partial sums before the shuffle."""
+    over = f" / `{divisor}`" if divisor else ""
+    one = "coalesce(sum(cast(get(`{v}`, {i}) AS DOUBLE){over}), 0.0D)"
+    return F.expr("array(" + ", ".join(one.format(v=vector, i=i, over=over) for i in range(width)) + ")")
+
+
+def in_chunks(df: DataFrame, vector: str, dim: int) -> tuple[DataFrame, int]:
+    """One row per vector chunk, as ``__chunk, __piece``; a short vector is its own only chunk."""
+    if dim <= CHUNK:
+        return df.select("*", F.lit(0).alias("__chunk"), F.col(vector).alias("__piece")), dim
+    pieces = F.array(*[F.slice(vector, c * CHUNK + 1, CHUNK) for c in range(-(-dim // CHUNK))])
+    return df.select("*", F.posexplode(pieces).alias("__chunk", "__piece")), CHUNK
+
+
 def vector_sum(
     df: DataFrame,
     keys: list[str],
@@ -28,30 +43,17 @@ def vector_sum(
 ) -> DataFrame:
     """Sum a vector column per key, with further aggregates alongside.
 
-    One double buffer per component keeps the work in the JVM with map-side partial sums, so a hot key
-    sends one row per task. Vectors wider than ``CHUNK`` are cut into chunk rows first.
+    The sums stay in the JVM and are combined before the shuffle, so a hot key sends one row per task.
+    Vectors wider than ``CHUNK`` are cut into chunk rows first.
     """
-    aggs = list(aggs)
-
-    def part(source: str, i: int) -> Column:
-        x = F.get(F.col(source), F.lit(i)).cast("double")
-        return x / F.col(divisor) if divisor else x
-
+    side = [a.alias(n) for n, a in aggs]
+    names = [n for n, _ in aggs]
     if dim <= CHUNK:
-        sums = [F.sum(part(vector, i)).alias(f"__s{i}") for i in range(dim)]
-        grouped = df.groupBy(*keys).agg(*sums, *[a.alias(n) for n, a in aggs])
-        return grouped.select(*keys, F.array(*[f"__s{i}" for i in range(dim)]).alias(name), *[n for n, _ in aggs])
-
-    chunks = -(-dim // CHUNK)
-    pieces = F.array(*[F.slice(vector, c * CHUNK + 1, CHUNK) for c in range(chunks)])
-    long = df.select("*", F.posexplode(pieces).alias("__chunk", "__piece"))
-    sums = [F.sum(part("__piece", i)).alias(f"__s{i}") for i in range(CHUNK)]
-    grouped = long.groupBy(*keys, "__chunk").agg(*sums, *[a.alias(n) for n, a in aggs])
-    packed = grouped.select(
-        *keys,
-        F.struct("__chunk", F.array(*[f"__s{i}" for i in range(CHUNK)]).alias("v")).alias("__c"),
-        *[n for n, _ in aggs],
-    )
+        return df.groupBy(*keys).agg(component_sums(vector, dim, divisor).alias(name), *side)
+
+    long, width = in_chunks(df, vector, dim)
+    part = long.groupBy(*keys, "__chunk").agg(component_sums("__piece", width, divisor).alias("__v"), *side)
+    packed = part.select(*keys, F.struct("__chunk", F.col("__v").alias("v")).alias("__c"), *names)
     whole = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list("__c")), lambda c: c["v"])), 1, dim)
     # every chunk group has seen each row once, so any of them carries the right side aggregates
-    return packed.groupBy(*keys).agg(whole.alias(name), *[F.max(n).alias(n) for n, _ in aggs])
+    return packed.groupBy(*keys).agg(whole.alias(name), *[F.max(n).alias(n) for n in names])

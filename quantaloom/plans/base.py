@@ -187,11 +187,12 @@ def mean_codebook(df: DataFrame, code: str, level: int, vector: str = "embedding
 def two_level_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level 1: mean vector per label. Level 2: mean residual per row number modulo 16."""
     from quantaloom.operators.assign import encode
+    from quantaloom.session import cut
 
     rows = vectors(spark, sf_dir)
-    first = mean_codebook(rows, "label", 1)
+    first = cut(mean_codebook(rows, "label", 1))
     left = encode(rows, first, residual=True).withColumn("slot", F.col("idx") % 16)
-    return first.unionByName(mean_codebook(left, "slot", 2, "residual"))
+    return cut(first.unionByName(mean_codebook(left, "slot", 2, "residual")))
 
 
 def _minus(a: str, b: str) -> str:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quantaloom.plans import code_queries, record_queries, text_queries  # noqa: F401
+from quantaloom.plans import code_queries, record_queries, text_queries, vector_queries  # noqa: F401
 from quantaloom.plans.base import ORACLE, QUERIES  # noqa: F401
