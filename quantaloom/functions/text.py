@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 # The separator between list items, the tag and multi-value separators, and the
 # placeholder of an absent scalar.
 LIST_SEPARATOR = "、"
-TAG_SPLIT = "[、,;；]+"
-VALUE_SPLIT = "[;,；、|]+"
+TAG_SEPARATORS = "、,;；"
+VALUE_SEPARATORS = ";,；、|"
 MISSING_SCALAR = "(缺失)"
 
 # Labels of the canonical texts, in output order.
@@ -78,6 +78,14 @@ def top_artists(c: Column, n: int = 3) -> Column:
     return F.array_join(F.slice(F.split(s, LIST_SEPARATOR), 1, n), LIST_SEPARATOR)
 
 
+def split_any(c: Column, separators: str) -> Column:
+    """Split on any of several characters; blanks between neighbours stay for the caller to drop.
+
+    Mapping them to one comma first keeps the split off the regular-expression engine.
+    """
+    return F.split(F.translate(c.cast("string"), separators, "," * len(separators)), ",")
+
+
 def distinct_folded(items: Column) -> Column:
     """Drop later items equal to an earlier one up to case; order and first spelling are kept."""
     keyed = F.transform(items, lambda x: F.struct(x.alias("v"), fold(x).alias("k")))
@@ -88,10 +96,9 @@ def distinct_folded(items: Column) -> Column:
     return first["v"]
 
 
-def merge_tags(*cs: Column, sep: str = TAG_SPLIT) -> Column:
-    """Split each column on ``sep``, trim, drop blanks and case-insensitive repeats, rejoin."""
-    parts = [F.coalesce(F.split(c.cast("string"), sep), F.array().cast("array<string>")) for c in cs]
-    return merge_tag_lists(*parts)
+def merge_tags(*cs: Column, sep: str = TAG_SEPARATORS) -> Column:
+    """Split each column on the characters of ``sep``, trim, drop blanks and case-insensitive repeats, rejoin."""
+    return merge_tag_lists(*[split_any(c, sep) for c in cs])
 
 
 def merge_tag_lists(*cs: Column) -> Column:
@@ -163,7 +170,7 @@ def _tags(df: DataFrame, names: list[str], sep: str) -> Column:
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
             arrays.append(F.col(name).cast("array<string>"))
         else:
-            arrays.append(F.split(_col(df, name).cast("string"), sep))
+            arrays.append(split_any(_col(df, name), sep))
     return merge_tag_lists(*arrays)
 
 
@@ -173,7 +180,7 @@ def video_text(df: DataFrame) -> Column:
         "导演": top_artists(_text(df, "directors")),
         "演员": top_artists(_first_filled(df, "main_actors", "actors")),
         "角色": top_artists(_text(df, "characters")),
-        "标签": _tags(df, ["llm_tag"], TAG_SPLIT),
+        "标签": _tags(df, ["llm_tag"], TAG_SEPARATORS),
         "描述": _text(df, "rec_tag_desc"),
         "IP系列名": _text(df, "patchwall_ip_name"),
         "出版时间": _text(df, "publish_year"),
@@ -290,7 +297,7 @@ def texts_long(df: DataFrame, id_cols: list[str], fields: list[str]) -> DataFram
 
 def split_values(c: Column) -> Column:
     """Multi-valued string to an array of trimmed, non-blank values; empty array for null."""
-    parts = F.filter(F.transform(F.split(c.cast("string"), VALUE_SPLIT), strip), lambda x: x != "")
+    parts = F.filter(F.transform(split_any(c, VALUE_SEPARATORS), strip), lambda x: x != "")
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 

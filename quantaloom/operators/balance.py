@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.functions.vectors import as_double
@@ -129,6 +129,12 @@ def _candidates(
     return df.select(idx, vector).mapInArrow(run, f"`{idx}` {kind}, picks array<struct<at:int,score:double>>")
 
 
+def _literal(values: np.ndarray) -> Column:
+    """One array literal holding a number or flag per code."""
+    kind = {"b": "boolean", "i": "int" if values.dtype.itemsize <= 4 else "bigint"}[values.dtype.kind]
+    return F.expr(f"cast(array({', '.join(str(v).lower() for v in values.tolist())}) AS array<{kind}>)")
+
+
 def balance(
     df: DataFrame,
     codebook: DataFrame,
@@ -159,7 +165,7 @@ def balance(
     waiting = cut(_candidates(rows, level, potential, tau, room > 0, topk, vector, idx))
     placed, done = None, 0
     while done < n:
-        usable = F.array(*[F.lit(bool(r > 0)) for r in room])
+        usable = _literal(room > 0)
         asked = F.try_element_at(F.filter("picks", lambda p: F.get(usable, p["at"])), F.lit(1))
         asking = waiting.select(idx, "picks", asked.alias("ask"))
         stuck = asking.where(F.col("ask").isNull()).select(idx)
@@ -169,7 +175,7 @@ def balance(
         flat = asking.select(idx, "picks", F.col("ask.at").alias("at"), F.col("ask.score").alias("score"))
         flat = flat.withColumn("tie", F.xxhash64(F.lit(seed), F.col(idx)))
         ranked = rank_within(flat, ["at"], [F.col("score").desc(), F.col("tie"), F.col(idx)])
-        limit = F.get(F.array(*[F.lit(int(r)).cast("bigint") for r in room]), F.col("at"))
+        limit = F.get(_literal(room), F.col("at"))
         ranked = cut(ranked.select(idx, "picks", "at", (F.col("rank") <= limit).alias("taken")))
         taken = {r["at"]: r["n"] for r in ranked.where("taken").groupBy("at").agg(F.count("*").alias("n")).collect()}
         for at, count in taken.items():
@@ -178,7 +184,7 @@ def balance(
         got = ranked.where("taken").select(idx, "at")
         placed = got if placed is None else placed.unionByName(got)
         waiting = ranked.where(~F.col("taken")).select(idx, "picks")
-    names = F.array(*[F.lit(int(c)) for c in level.codes])
+    names = _literal(level.codes)
     if placed is None:
         return rows.select(idx, F.lit(None).cast("int").alias("code"))
     return placed.select(idx, F.get(names, F.col("at")).alias("code"))

@@ -13,7 +13,7 @@ from quantaloom.functions.fields import get_path
 from quantaloom.functions.text import clean_values, let, scalar_or_missing, split_values
 from quantaloom.operators.metrics import level_columns, prefix_buckets
 from quantaloom.operators.ranking import first_rows
-from quantaloom.session import broadcast_if_small
+from quantaloom.session import broadcast_if_small, cut
 
 # Bucket limits of the historical protocol and of its report.
 JACCARD_CAP = 256
@@ -207,7 +207,7 @@ def jaccard(
     rows, names = _sets(df, level, field, idx, is_array)
     if cap is not None:
         rows = first_rows(rows, names, cap, [F.col("idx")]).drop("rn")
-    weighted = rows.groupBy(*names, "tags").agg(F.count("*").alias("w"))
+    weighted = cut(rows.groupBy(*names, "tags").agg(F.count("*").alias("w")))
     totals = weighted.groupBy(*names).agg(
         F.sum("w").cast("bigint").alias("sets"),
         F.count("*").alias("distinct_sets"),

@@ -77,7 +77,10 @@ def _typed_keys(df: DataFrame) -> DataFrame:
     idx, item = [F.coalesce(F.col(k).cast("string").try_cast("bigint"), F.lit(-1)) for k in ("idx", "id")]
     out = df.select("*", idx.alias("__idx"), item.alias("__id"))
     good = (F.col("__idx") >= 0) & (F.col("__id") >= 0) & F.col("domain").isNotNull() & (F.size("indices") >= 5)
-    return out.withColumn("__good", F.coalesce(good, F.lit(False)))
+    out = out.withColumn("__good", F.coalesce(good, F.lit(False)))
+    # rows without usable keys match nothing: distinct negative numbers keep them from meeting in one task
+    spread = F.when(F.col("__good"), F.col("__idx")).otherwise(-1 - F.monotonically_increasing_id())
+    return out.withColumn("__idx", spread)
 
 
 def patch_layer5(target: DataFrame, source: DataFrame, order: str = "line") -> tuple[DataFrame, DataFrame]:

@@ -274,7 +274,8 @@ def before_after(before: DataFrame, after: DataFrame, sizes: list[int] | None =
 
 
 def best_runs(runs: DataFrame, save_limit: int = 3) -> DataFrame:
-    """Which runs to keep: lowest collision, lowest loss and the newest ``save_limit`` by epoch.
+    """Which runs to keep: the best by collision and by loss, the ``save_limit`` lowest collisions and the
+    ``save_limit`` newest epochs; the older run wins a tie.
 
     ``runs`` has ``run, epoch, collision_rate, loss``.
     """
@@ -287,7 +288,8 @@ def best_runs(runs: DataFrame, save_limit: int = 3) -> DataFrame:
         F.struct(F.lit("best_loss").alias("reason"), F.col("best_loss").alias("run")),
     )).alias("x")).select("x.reason", "x.run")
     newest = runs.orderBy(F.col("epoch").desc(), "run").limit(save_limit).select(F.lit("newest").alias("reason"), "run")
-    return picked.unionByName(newest)
+    lowest = runs.orderBy("collision_rate", "epoch", "run").limit(save_limit)
+    return picked.unionByName(newest).unionByName(lowest.select(F.lit("lowest_collision").alias("reason"), "run"))
 
 
 def metrics_long(df: DataFrame, ids: list[str]) -> DataFrame:

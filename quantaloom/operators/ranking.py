@@ -42,18 +42,35 @@ def with_row_idx(df: DataFrame, order: list[Column], name: str = "idx") -> DataF
     return ranked.withColumn(name, F.col(name) - 1)
 
 
-def first_rows(df: DataFrame, keys: list[str], n: int, order: list[Column], name: str = "rn") -> DataFrame:
-    """First ``n`` rows of each group.
+# Task slots from which a per-group limit is merged in two steps, and the groups of the first step.
+WIDE_CLUSTER, MERGE_GROUPS = 256, 256
+
+
+def first_rows(
+    df: DataFrame, keys: list[str], n: int, order: list[Column], name: str = "rn", merge_groups: int | None = None
+) -> DataFrame:
+    """First ``n`` rows of each group; ``order`` must be total within a group.
 
     Catalyst turns the bound on the row number into a limit per group before the shuffle, so at most
-    ``n`` rows of a group leave each input partition; for ``n`` beyond that limit the exact ranks of
-    ``rank_within`` are used.
+    ``n`` rows of a group leave each input partition. With very many input partitions even those are too
+    many for one task per hot group: they are first cut to ``n`` per group of input partitions. For ``n``
+    beyond the limit Catalyst supports, the exact ranks of ``rank_within`` are used.
     """
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n <= threshold:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
-    return rank_within(df, keys, order, name).where(F.col(name) <= n)
+    spark = df.sparkSession
+    if n > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        return rank_within(df, keys, order, name).where(F.col(name) <= n)
+    if merge_groups is None:
+        merge_groups = MERGE_GROUPS if spark.sparkContext.defaultParallelism >= WIDE_CLUSTER else 1
+
+    def limited(rows: DataFrame, by: list[str]) -> DataFrame:
+        window = Window.partitionBy(*by).orderBy(*order)
+        return rows.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
+
+    if merge_groups > 1:
+        # every input partition falls in one merge group, so the limit before the shuffle still bites
+        grouped = df.withColumn("__merge", F.spark_partition_id() % merge_groups)
+        df = limited(grouped, [*keys, "__merge"]).drop("__merge", name)
+    return limited(df, keys)
 
 
 def slice_rows(df: DataFrame, start: int, end: int | None = None, idx: str = "idx") -> DataFrame:

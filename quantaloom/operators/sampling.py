@@ -18,20 +18,21 @@ def draw_key(idx: str, seed: int) -> Column:
 def sample_rows(df: DataFrame, n: int, seed: int = 0, idx: str = "idx") -> DataFrame:
     """At most ``n`` rows without replacement: those with the smallest draw keys.
 
-    A key bound that keeps a little more than ``n`` rows is applied first, so the final top-n sees about
-    ``n`` rows however large the table is; if the bound ever keeps too few, it is not used.
+    Only the n-th smallest key is searched for, on narrow rows and below a bound that keeps a little more
+    than ``n`` of them (if it ever keeps fewer, it is not used). The sample is then a plain filter: no row
+    moves, and none is gathered in one task.
     """
     total = df.count()
-    keyed = df.withColumn("__draw", draw_key(idx, seed))
-    if total > n:
-        share = min((n + 8 * math.sqrt(n) + 64) / total, 1.0)
-        if share < 1.0:
-            bound = format(int(share * (1 << 60)), "015x")
-            near = keyed.where(F.col("__draw") < bound)
-            if near.count() >= n:
-                keyed = near
-        keyed = keyed.orderBy("__draw", idx).limit(n)
-    return keyed.drop("__draw")
+    if n <= 0 or total <= n:
+        return df.limit(0) if n <= 0 else df
+    keys = df.select(F.struct(draw_key(idx, seed).alias("draw"), F.col(idx).alias("idx")).alias("k"))
+    share = (n + 8 * math.sqrt(n) + 64) / total
+    if share < 1.0:
+        near = keys.where(F.col("k.draw") < format(int(share * (1 << 60)), "015x"))
+        keys = near if near.count() >= n else keys
+    last = keys.orderBy("k").limit(n).agg(F.max("k").alias("k")).head()["k"]
+    draw = draw_key(idx, seed)
+    return df.where((draw < last["draw"]) | ((draw == last["draw"]) & (F.col(idx) <= F.lit(last["idx"]))))
 
 
 def balanced_sample(

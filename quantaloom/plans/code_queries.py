@@ -358,7 +358,8 @@ FROM ({cte(RUNS, 'orders')}) GROUP BY run, epoch"""
     f"""WITH r AS (SELECT run || '/' || epoch AS run, epoch, loss, collision_rate FROM ({RUNS_SQL}))
 SELECT 'best_collision' AS reason, arg_min(run, collision_rate) AS run FROM r UNION ALL
 SELECT 'best_loss', arg_min(run, loss) FROM r UNION ALL
-SELECT 'newest', run FROM (SELECT run FROM r ORDER BY epoch DESC, run LIMIT 3)""",
+SELECT 'newest', run FROM (SELECT run FROM r ORDER BY epoch DESC, run LIMIT 3) UNION ALL
+SELECT 'lowest_collision', run FROM (SELECT run FROM r ORDER BY collision_rate, epoch, run LIMIT 3)""",
 )
 def best_runs(spark, sf_dir):
     rows = picked(table(spark, sf_dir, "orders"), RUNS)

@@ -48,5 +48,9 @@ def fits_broadcast(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_LIM
 
 
 def broadcast_if_small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Hint a broadcast for a side of proven size; otherwise leave the join to Catalyst."""
-    return F.broadcast(df) if fits_broadcast(df, bytes_per_row, limit) else df
+    """Hint a broadcast for a side of proven size; otherwise leave the join to Catalyst.
+
+    The side is materialised first, so that counting it does not compute it again.
+    """
+    held = cut(df)
+    return F.broadcast(held) if fits_broadcast(held, bytes_per_row, limit) else held

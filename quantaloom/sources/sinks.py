@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from quantaloom.operators.records import overlay
 
 
-def indices_json(df: DataFrame, precedence: str = "new") -> DataFrame:
+# The fields a code record adds to an item's own.
+CODE_FIELDS = ["idx", "indices", "tokens", "sid", "sid_subspace1", "sid_subspace2", "saletype", "publish_year"]
+
+
+def indices_json(df: DataFrame, precedence: str = "new", keep: list[str] = ()) -> DataFrame:
     """``idx, value``: one JSON record per row, the item's own fields with the code fields laid over them."""
-    names = [c for c in ("idx", "indices", "tokens", "sid", "sid_subspace1", "sid_subspace2", "saletype", "publish_year") if c in df.columns]
-    return df.select("idx", overlay(F.col("rec"), {n: F.col(n) for n in names}, precedence).alias("value"))
+    fields = {n: F.col(n) for n in CODE_FIELDS if n in df.columns}
+    return df.select("idx", overlay(F.col("rec"), fields, precedence).alias("value"), *keep)
 
 
 def write_indices(df: DataFrame, path: str, precedence: str = "new", partition_by: list[str] | None = None, mode: str = "error") -> None:
     """UTF-8 JSON lines, sorted by row number inside each file."""
     keep = partition_by or []
-    lines = indices_json(df, precedence).select("idx", "value")
-    if keep:
-        lines = lines.join(df.select("idx", *keep), "idx")
+    lines = indices_json(df, precedence, keep)
     out = lines.sortWithinPartitions(*keep, "idx").select("value", *keep)
     writer = out.write.mode(mode)
     (writer.partitionBy(*keep) if keep else writer).text(path)

@@ -228,3 +228,20 @@ def test_comparison_is_pivoted(spark):
     assert (row.a, row.b) == (2, 1)
     long = metrics.metrics_long(metrics.core_metrics(a), ["level"]).where("metric = 'icr'").head()
     assert long.value == 1.0
+
+
+@pytest.mark.parametrize("n", [3, 1200])
+def test_first_rows_in_two_steps(spark, n):
+    df = spark.range(9000).select(F.col("id"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 7).alias("k"))
+    df = df.repartition(11)
+    one = ranking.first_rows(df, ["k"], n, [F.col("id").desc()], merge_groups=1)
+    two = ranking.first_rows(df, ["k"], n, [F.col("id").desc()], merge_groups=4)
+    assert sorted(map(tuple, one.select("k", "id", "rn").collect())) == sorted(map(tuple, two.select("k", "id", "rn").collect()))
+
+
+def test_runs_to_keep(spark):
+    rows = [("a", 0, 0.3, 9.0), ("b", 1, 0.1, 5.0), ("c", 2, 0.1, 4.0), ("d", 3, 0.2, 6.0)]
+    runs = spark.createDataFrame(rows, "run string, epoch int, collision_rate double, loss double")
+    got = sorted(map(tuple, metrics.best_runs(runs, 2).collect()))
+    want = [("best_collision", "b"), ("best_loss", "c"), ("lowest_collision", "b"), ("lowest_collision", "c"), ("newest", "c"), ("newest", "d")]
+    assert got == want
