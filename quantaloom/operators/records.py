@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.functions.codes import codes_of, format_sid, replace_level, trim_levels
+from quantaloom.functions.codes import format_sid, parse_sid, replace_level, trim_levels
 from quantaloom.functions.fields import (
     UNKNOWN_YEAR,
     first_present,
@@ -228,16 +228,33 @@ def fix_layer5(df: DataFrame, layout: str = "legacy_b") -> DataFrame:
 
 def record_codes(df: DataFrame, strict: bool = True) -> DataFrame:
     """Adds ``codes`` from ``indices``, ``tokens`` or ``sid`` of each record, whichever is filled first."""
+    return df.withColumn("codes", F.coalesce(*[_listed_codes(n, strict) for n in ("indices", "tokens", "sid")]))
+
+
+def _listed_codes(name: str, strict: bool) -> Column:
+    """Codes in one list field of the record, held as numbers or as tokens; null when empty or absent."""
+    numbers = field(F.col("rec"), name, as_type="array<int>")
+    tokens = field(F.col("rec"), name, as_type="array<string>")
+    # a token read as a number is a null inside the list
+    numeric = (F.size(numbers) > 0) & F.forall(numbers, lambda x: x.isNotNull())
+    return F.when(numeric, numbers).when(F.size(tokens) > 0, parse_sid(tokens, strict))
+
+
+def item_columns(df: DataFrame, strings: list[str], lists: list[str] = (), holder: str | None = None) -> DataFrame:
+    """Typed columns of the record's known fields, from the record itself or from a nested object.
+
+    Fields in ``lists`` may hold a list or a single string and become arrays either way.
+    """
     rec = F.col("rec")
-    return df.withColumn(
-        "codes",
-        codes_of(
-            field(rec, "indices", as_type="array<int>"),
-            F.coalesce(field(rec, "tokens", as_type="array<string>"), field(rec, "indices", as_type="array<string>")),
-            field(rec, "sid", as_type="array<string>"),
-            strict,
-        ),
-    )
+    at = (holder,) if holder else ()
+    out = [field(rec, *at, n).alias(n) for n in strings]
+    for n in lists:
+        single = field(rec, *at, n)
+        # an empty string is an empty list, so that fallbacks still see it as unfilled
+        alone = F.when(single == "", F.array().cast("array<string>")).when(single.isNotNull(), F.array(single))
+        out.append(F.coalesce(field(rec, *at, n, as_type="array<string>"), alone).alias(n))
+    kept = [c for c in df.columns if c not in {*strings, *lists}]
+    return df.select(*kept, *out)
 
 
 def filter_domain(df: DataFrame, name: str, domain: str = "domain") -> DataFrame:

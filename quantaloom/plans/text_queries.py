@@ -156,6 +156,26 @@ def rebuild_text_format(spark, sf_dir):
     return X.rebuild_text_format(catalogue(spark, sf_dir), PROVIDERS).select("idx", "name", "text_format")
 
 
+@query(
+    "video_text_from_json",
+    f"SELECT idx, {VIDEO_TEXT} AS text_format FROM ({PREPARED})",
+)
+def video_text_from_json(spark, sf_dir):
+    """The same texts from JSON records whose people fields are lists or strings, by turns."""
+    from quantaloom.operators.records import item_columns, parse_records
+
+    strings = ["meta_main_name", "meta_origin_name", "llm_tag", "rec_tag_desc", "patchwall_ip_name", "publish_year", "pay_type"]
+    lists = ["directors", "main_actors", "actors", "characters"]
+    df = catalogue(spark, sf_dir)
+    people = F.struct(*[F.split(n, "、").alias(n) if n == "directors" else F.col(n) for n in lists])
+    plain = F.struct(*lists)
+    as_json = [F.to_json(F.struct(F.struct(*strings, p.alias("people")).alias("meta"))) for p in (people, plain)]
+    rows = df.select("idx", F.when(F.col("idx") % 2 == 0, as_json[0]).otherwise(as_json[1]).alias("raw"))
+    flat = item_columns(parse_records(rows), strings, holder="meta")
+    flat = item_columns(flat.withColumn("rec", F.try_variant_get("rec", "$.meta.people", "variant")), [], lists)
+    return flat.select("idx", X.video_text(flat).alias("text_format"))
+
+
 def t_extract(label: str) -> str:
     return f"""CASE WHEN contains(text_format, '{label}：') THEN regexp_extract(text_format, '{label}：“([^”]*)', 1) END"""
 

@@ -224,3 +224,17 @@ def test_vector_filters(spark):
     kept = sampling.finite_rows(df)
     assert sorted(r.idx for r in kept.collect()) == [0, 3, 4]
     assert sorted(r.idx for r in sampling.dedup_vectors(kept).collect()) == [0, 4]
+
+
+def test_codes_held_as_numbers_or_tokens(spark):
+    rows = [{"indices": ["<a_1>", "<b_2>"], "tokens": ["<a_9>"]}, {"sid": [3, 4]}, {"indices": [], "sid": []}]
+    got = [r.codes for r in records.record_codes(parsed(spark, rows)).orderBy("idx").collect()]
+    assert got == [[1, 2], [3, 4], None]
+
+
+def test_typed_columns(spark):
+    rows = [{"name": "n", "tags": "a"}, {"tags": ["a", "b"], "meta": {"name": 5}}]
+    df = parsed(spark, rows)
+    got = records.item_columns(df, ["name"], ["tags"]).orderBy("idx").collect()
+    assert [(r.name, r.tags) for r in got] == [("n", ["a"]), (None, ["a", "b"])]
+    assert [r.name for r in records.item_columns(df, ["name"], holder="meta").orderBy("idx").collect()] == [None, "5"]
