@@ -25,8 +25,7 @@ def sq_l2(a: Column, b: Column) -> Column:
 
 
 def length_or_one(c: Column) -> Column:
-    norm = F.sqrt(sq_norm(c))
-    return F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+    return F.coalesce(F.nullif(F.sqrt(sq_norm(c)), F.lit(0.0)), F.lit(1.0))
 
 
 def unit(c: Column) -> Column:

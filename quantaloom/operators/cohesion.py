@@ -89,10 +89,14 @@ def bucket_cosine(
     if cap:
         return _capped(rows, names, by, cap, idx, width, dim <= width)
 
-    # sums per path once, then per shorter prefix from those: a hot prefix is already small by then
+    # sums per path are the last level already; shorter prefixes add those up, so a hot one is small by then
     paths = _sums(rows, [*group, *names], width)
+    named = [F.lit(by).alias("scope"), F.col(by)] if by else []
+    whole = paths.select(*named, F.lit(last).alias("level"), *names, "vec_sum", "n", "nonzero")
     prefixes = [[*names[: i + 1], "__chunk"] for i in range(last)]
-    sets = [group + p for p in prefixes] + (prefixes if by else [])
+    sets = [group + p for p in prefixes[:-1]] + (prefixes if by else [])
+    if not sets:
+        return _means(whole, scope, names, dim <= width)
     merged = paths.groupingSets(sets, *group, "__chunk", *names).agg(
         component_sums("vec_sum", width).alias("vec_sum"),
         F.sum("n").alias("n"),
@@ -101,7 +105,8 @@ def bucket_cosine(
         F.shiftright(F.grouping_id(), last + 1).alias("__all"),
     )
     named = [F.when(F.col("__all") == 1, OVERALL).otherwise(by).alias("scope"), F.col(by)] if by else []
-    return _means(merged.select(*named, "level", *names, "vec_sum", "n", "nonzero"), scope, names, dim <= width)
+    buckets = whole.unionByName(merged.select(*named, "level", *names, "vec_sum", "n", "nonzero"))
+    return _means(buckets, scope, names, dim <= width)
 
 
 def _capped(
