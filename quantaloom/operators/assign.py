@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,15 @@ class Level:
         return self.codes.nbytes + self.centroids.nbytes
 
 
+def share(df: DataFrame, levels: list[Level]) -> Broadcast:
+    """Ship levels as plain arrays; ``opened`` makes levels of them again inside a task."""
+    return df.sparkSession.sparkContext.broadcast([(level.codes, level.centroids) for level in levels])
+
+
+def opened(shared: Broadcast) -> list[Level]:
+    return [Level(*pair) for pair in shared.value]
+
+
 def codebook_bytes(codebook: DataFrame) -> int:
     row = codebook.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).head()
     return int(row["n"] or 0) * (int(row["d"] or 0) + 2) * 8
@@ -110,11 +120,11 @@ def _extend(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBat
 
 def encode_levels(df: DataFrame, levels: list[Level], vector: str = "embedding", residual: bool = False) -> DataFrame:
     """Residual codes of each row against broadcast levels, in one narrow pass."""
-    shared = df.sparkSession.sparkContext.broadcast(levels)
+    shared = share(df, levels)
     dim = levels[0].centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = shared.value
+        stack = opened(shared)
         for batch in batches:
             rest = matrix(batch.column(vector), dim).copy()
             codes = np.empty((len(rest), len(stack)), dtype=np.int32)
@@ -171,13 +181,14 @@ def nearest(
 
 
 def _nearest_slice(df: DataFrame, level: Level, vector: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(level)
+    shared = share(df, [level])
     dim = level.centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (book,) = opened(shared)
         for batch in batches:
-            best, dist = nearest_rows(matrix(batch.column(vector), dim), shared.value)
-            yield _extend(batch, {"code": pa.array(shared.value.codes[best]), "sq_dist": pa.array(dist)})
+            best, dist = nearest_rows(matrix(batch.column(vector), dim), book)
+            yield _extend(batch, {"code": pa.array(book.codes[best]), "sq_dist": pa.array(dist)})
 
     return df.mapInArrow(run, _schema(df, "code int", "sq_dist double"))
 
@@ -208,13 +219,13 @@ def decode(df: DataFrame, codebook: DataFrame, upto: int | None = None, codes: s
     levels = load_levels(codebook)
     dim = levels[0].centroids.shape[1]
     levels = levels if upto is None else levels[:upto]
-    shared = df.sparkSession.sparkContext.broadcast(levels)
+    shared = share(df, levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             picked = matrix(batch.column(codes)).astype(np.int64) if batch.num_rows else np.zeros((0, 0), np.int64)
             total = np.zeros((batch.num_rows, dim))
-            for l, level in enumerate(shared.value):
+            for l, level in enumerate(opened(shared)):
                 column = picked[:, l] if batch.num_rows else picked.reshape(-1)
                 at = np.clip(np.searchsorted(level.codes, column), 0, len(level.codes) - 1)
                 unknown = (level.codes[at] != column) & (column != -1)
@@ -298,7 +309,7 @@ def sinkhorn_batch(
     levels = load_levels(codebook)
     if len(eps) != len(levels):
         raise ValueError("one epsilon per level is needed")
-    shared = df.sparkSession.sparkContext.broadcast(levels)
+    shared = share(df, levels)
     dim = levels[0].centroids.shape[1]
 
     def run(table: pa.Table) -> pa.Table:
@@ -306,8 +317,9 @@ def sinkhorn_batch(
             raise ValueError("row numbers repeat: a batch holds more rows than its size")
         table = table.sort_by(idx)
         rest = matrix(table[vector], dim).copy()
-        codes = np.empty((len(rest), len(shared.value)), dtype=np.int32)
-        for l, level in enumerate(shared.value):
+        stack = opened(shared)
+        codes = np.empty((len(rest), len(stack)), dtype=np.int32)
+        for l, level in enumerate(stack):
             if eps[l] > 0:
                 best = balanced_batch(distances(rest, level), eps[l], iters, center)
             else:

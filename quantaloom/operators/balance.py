@@ -16,7 +16,9 @@ from quantaloom.operators.assign import (
     distances,
     load_levels,
     matrix,
+    opened,
     residual,
+    share,
 )
 from quantaloom.operators.ranking import rank_within
 from quantaloom.operators.sampling import sample_rows
@@ -32,13 +34,14 @@ def estimate_tau(
 ) -> float:
     """A tenth of the median, over a row sample, of the 90th percentile of distances above the row minimum."""
     level = load_levels(codebook)[0]
-    shared = df.sparkSession.sparkContext.broadcast(level)
+    shared = share(df, [level])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (book,) = opened(shared)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            d = distances(matrix(batch.column(vector)), shared.value)
+            d = distances(matrix(batch.column(vector)), book)
             spread = np.percentile(d - d.min(1, keepdims=True), TAU_PERCENTILE, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(spread)], names=["spread"])
 
@@ -77,7 +80,7 @@ def column_potentials(
     """
     spark = df.sparkSession
     k = len(level.codes)
-    book = spark.sparkContext.broadcast(level)
+    shared = share(df, [level])
     potential = np.zeros(k)
     goal = np.log(np.maximum(target, 1e-300))
     n = float(target.sum())
@@ -85,10 +88,11 @@ def column_potentials(
         scaled = spark.sparkContext.broadcast(potential)
 
         def run(batches: Iterator[pa.RecordBatch], scaled=scaled) -> Iterator[pa.RecordBatch]:
+            (book,) = opened(shared)
             total = np.zeros(k)
             for batch in batches:
                 for part in _blocks(matrix(batch.column(vector)), k):
-                    total += np.exp(_log_plan(part, book.value, scaled.value, tau)).sum(0)
+                    total += np.exp(_log_plan(part, book, scaled.value, tau)).sum(0)
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["mass"])
 
         mass = np.array(vector_sum(df.select(vector).mapInArrow(run, "mass array<double>"), [], "mass", k).head()[0])
@@ -102,12 +106,12 @@ def _candidates(
     df: DataFrame, level: Level, potential: np.ndarray, tau: float, open_codes: np.ndarray, topk: int, vector: str, idx: str
 ) -> DataFrame:
     """The ``topk`` open codes each row prefers: ``idx, picks array<struct<at, score>>``, best first."""
-    context = df.sparkSession.sparkContext
-    shared = context.broadcast((level, potential, open_codes))
+    shared = share(df, [level])
+    state = df.sparkSession.sparkContext.broadcast((potential, open_codes))
     width = int(min(topk, open_codes.sum()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, scaled, usable = shared.value
+        (book,), (scaled, usable) = opened(shared), state.value
         for batch in batches:
             places, scores = [], []
             for part in _blocks(matrix(batch.column(vector)), len(book.codes)):

@@ -21,6 +21,9 @@ from quantaloom.operators.assign import (
     load_levels,
     matrix,
     nearest,
+    nearest_rows,
+    opened,
+    share,
 )
 from quantaloom.operators.sampling import balanced_sample, dedup_vectors, finite_rows, sample_rows
 from quantaloom.operators.sums import dimension, vector_sum
@@ -174,13 +177,12 @@ def encode_parts(df: DataFrame, codebook: DataFrame, vector: str = "embedding",
     """
     parts = [r[0] for r in codebook.select("part").distinct().orderBy("part").collect()]
     stacks = [load_levels(codebook.where(F.col("part") == p)) for p in parts]
-    shared = df.sparkSession.sparkContext.broadcast((stacks, rotation))
+    shared = [share(df, stack) for stack in stacks]
+    turned = df.sparkSession.sparkContext.broadcast(rotation)
     width = stacks[0][0].centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quantaloom.operators.assign import nearest_rows
-
-        books, turn = shared.value
+        books, turn = [opened(s) for s in shared], turned.value
         for batch in batches:
             x = matrix(batch.column(vector))
             x = x if turn is None else x @ turn.T
