@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.functions.fields import MISSING_DOMAIN
-from quantaloom.functions.vectors import length_or_one, sq_norm
+from quantaloom.functions.vectors import sq_norm
 from quantaloom.operators.metrics import OVERALL, _level_of, level_columns, scope_columns
 from quantaloom.operators.ranking import first_rows
-from quantaloom.operators.sums import component_sums, dimension, in_chunks
+from quantaloom.operators.sums import component_sums, dimension, flat_norm, in_chunks
 from quantaloom.session import broadcast_if_small
 
 
@@ -17,13 +17,12 @@ def _prepared(df: DataFrame, vector: str, dim: int, by: str | None, keep: list[s
     """One row per vector chunk with the vector's length, and the names of the level columns."""
     wide, names = level_columns(df, levels)
     scope = [F.coalesce(F.col(by).cast("string"), F.lit(MISSING_DOMAIN)).alias(by)] if by else []
-    rows = wide.select(
-        *scope,
-        *keep,
-        *names,
-        F.col(vector).alias("__v"),
-        length_or_one(F.col(vector)).alias("__len"),
-        F.exists(vector, lambda x: x != 0).cast("long").alias("__nonzero"),
+    rows = wide.select(*scope, *keep, *names, F.col(vector).alias("__v"), flat_norm(vector, dim).alias("__norm"))
+    zero = F.col("__norm") == 0
+    rows = rows.select(
+        *[c for c in rows.columns if c != "__norm"],
+        F.when(zero, F.lit(1.0)).otherwise(F.col("__norm")).alias("__len"),
+        (~zero).cast("long").alias("__nonzero"),
     )
     chunked, width = in_chunks(rows, "__v", dim)
     return chunked.drop("__v"), names, width

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantaloom.functions.vectors import sq_norm
+
 # Components summed side by side in one aggregate; longer vectors are summed in chunks of this width.
 CHUNK = 256
 
@@ -24,6 +26,24 @@ def component_sums(vector: str, width: int, divisor: str | None = None) -> Colum
     return F.expr("array(" + ", ".join(one.format(v=vector, i=i, over=over) for i in range(width)) + ")")
 
 
+def flat_norm(vector: str, dim: int) -> Column:
+    """Euclidean length of a vector.
+
+    Written out per component where that is short enough to stay in generated code, which a lambda leaves.
+    """
+    if dim > CHUNK:
+        return F.sqrt(sq_norm(F.col(vector)))
+
+    def total(lo: int, hi: int) -> str:
+        if hi - lo == 1:
+            x = f"cast(get(`{vector}`, {lo}) AS DOUBLE)"
+            return f"{x} * {x}"
+        mid = (lo + hi) // 2
+        return f"({total(lo, mid)} + {total(mid, hi)})"
+
+    return F.expr(f"sqrt({total(0, dim)})")
+
+
 def in_chunks(df: DataFrame, vector: str, dim: int) -> tuple[DataFrame, int]:
     """One row per vector chunk, as ``__chunk, __piece``; a short vector is its own only chunk."""
     if dim <= CHUNK:
