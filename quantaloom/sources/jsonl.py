@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from quantaloom.session import broadcast_if_small
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``line, value`` over all shards, numbered 0, 1, … in shard order; a missing shard is an error.
+SPLIT = ["shard", "file", "block"]
 
-    A line's number is the count of lines in earlier file splits plus its place in its own split, so
-    the text itself is never shuffled: only one small row per split is.
-    """
+
+def _scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines with the file split they come from; a missing shard is an error."""
     shards = [paths] if isinstance(paths, str) else list(paths)
     if not shards:
         raise ValueError("no shards given")
@@ -26,35 +25,56 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             "value",
         )
         rows = one if rows is None else rows.unionByName(one)
-    rows = rows.withColumn("pos", F.monotonically_increasing_id())
-    key = ["shard", "file", "block"]
-    splits = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("pos").alias("start"))
-    before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(*key, "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    joined = rows.join(broadcast_if_small(offsets, 512), key)
-    return joined.select((F.col("offset") + F.col("pos") - F.col("start")).cast("bigint").alias("line"), "value")
+    return rows
+
+
+def _offsets(rows: DataFrame, pos: str) -> DataFrame:
+    """Per file split, what turns the running ``pos`` of its rows into a number over all splits.
+
+    The rows of a split follow each other in one partition, so their positions are consecutive.
+    """
+    splits = rows.groupBy(*SPLIT).agg(F.count("*").alias("n"), F.min(pos).alias("start"))
+    before = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select(*SPLIT, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("start")).alias(f"{pos}_offset"))
+
+
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``line, value`` over all shards, numbered 0, 1, … in shard order.
+
+    A line's number is the count of lines in earlier file splits plus its place in its own split, so the
+    text itself is never shuffled: only one small row per split is.
+    """
+    rows = _scan(spark, paths).withColumn("pos", F.monotonically_increasing_id())
+    joined = rows.join(broadcast_if_small(_offsets(rows, "pos"), 512), SPLIT)
+    return joined.select((F.col("pos") + F.col("pos_offset")).alias("line"), "value")
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], mode: str = "strict", dense: bool = False) -> DataFrame:
     """``line, raw, rec`` of the non-blank lines.
 
-    ``strict`` fails with the line number on malformed JSON; ``drop`` leaves such lines out; ``keep``
-    gives them a null record (see ``scan_stats``). ``dense`` adds ``idx`` numbering the rows kept.
+    ``strict`` fails with the line number where a malformed record is read; ``drop`` leaves such lines out; ``keep``
+    gives them a null record (see ``scan_stats``). ``dense`` adds ``idx`` numbering the rows kept, again
+    from counts per split and without moving a row.
     """
-    lines = read_lines(spark, paths).where(F.trim("value") != "")
-    parsed = lines.select("line", F.trim("value").alias("raw"), F.try_parse_json("value").alias("rec"))
-    if mode == "strict":
-        message = F.concat(F.lit("malformed JSON at line "), (F.col("line") + 1).cast("string"))
-        parsed = parsed.withColumn("rec", F.when(F.col("rec").isNotNull(), F.col("rec")).otherwise(F.raise_error(message).cast("variant")))
-    elif mode == "drop":
-        parsed = parsed.where(F.col("rec").isNotNull())
-    elif mode != "keep":
+    if mode not in ("strict", "drop", "keep"):
         raise ValueError(f"unknown mode {mode!r}")
-    if not dense:
-        return parsed
-    from quantaloom.operators.ranking import with_row_idx
-
-    return with_row_idx(parsed.drop("rec"), [F.col("line")]).withColumn("rec", F.try_parse_json("raw"))
+    rows = _scan(spark, paths).withColumn("pos", F.monotonically_increasing_id())
+    kept = rows.where(F.trim("value") != "")
+    if mode == "drop":
+        kept = kept.where(F.try_parse_json("value").isNotNull())
+    # counted again after the filter: consecutive over the rows kept of each split
+    kept = kept.withColumn("kept", F.monotonically_increasing_id())
+    offsets = _offsets(rows, "pos")
+    if dense:
+        offsets = offsets.join(_offsets(kept, "kept"), SPLIT, "left")
+    joined = kept.join(broadcast_if_small(offsets, 512), SPLIT)
+    line = F.col("pos") + F.col("pos_offset")
+    rec = F.try_parse_json("value")
+    if mode == "strict":
+        message = F.concat(F.lit("malformed JSON at line "), (line + 1).cast("string"))
+        rec = F.coalesce(rec, F.raise_error(message).cast("variant"))
+    idx = [(F.col("kept") + F.col("kept_offset")).alias("idx")] if dense else []
+    return joined.select(*idx, line.alias("line"), F.trim("value").alias("raw"), rec.alias("rec"))
 
 
 def scan_stats(df: DataFrame, raw: str = "raw") -> DataFrame:

@@ -238,3 +238,19 @@ def test_typed_columns(spark):
     got = records.item_columns(df, ["name"], ["tags"]).orderBy("idx").collect()
     assert [(r.name, r.tags) for r in got] == [("n", ["a"]), (None, ["a", "b"])]
     assert [r.name for r in records.item_columns(df, ["name"], holder="meta").orderBy("idx").collect()] == [None, "5"]
+
+
+def test_dense_numbers_across_splits(spark, tmp_path):
+    body = "".join(f'{{"n": {i}}}\n' if i % 5 else ("\n" if i % 2 else "{bad\n") for i in range(4000))
+    shards = [lines(tmp_path, "b.jsonl", body), lines(tmp_path, "a.jsonl", body)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        got = jsonl.read_jsonl(spark, shards, mode="drop", dense=True)
+        rows = got.select("idx", "line", records.field(F.col("rec"), "n", as_type="bigint").alias("n")).orderBy("idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    good = [i for i in range(4000) if i % 5]
+    assert [r.idx for r in rows] == list(range(2 * len(good)))
+    assert [r.n for r in rows] == good * 2
+    assert [r.line for r in rows] == good + [4000 + i for i in good]
