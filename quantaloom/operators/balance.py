@@ -173,9 +173,12 @@ def balance(
         asked = F.try_element_at(F.filter("picks", lambda p: F.get(usable, p["at"])), F.lit(1))
         asking = waiting.select(idx, "picks", asked.alias("ask"))
         stuck = asking.where(F.col("ask").isNull()).select(idx)
-        fresh = _candidates(rows.join(stuck, idx, "left_semi"), level, potential, tau, room > 0, topk, vector, idx)
-        fresh = fresh.select(idx, "picks", F.try_element_at("picks", F.lit(1)).alias("ask"))
-        asking = asking.where(F.col("ask").isNotNull()).unionByName(fresh)
+        # a list over all codes cannot run out while any has room
+        if topk < k and not stuck.isEmpty():
+            again = rows.join(stuck, idx, "left_semi")
+            fresh = _candidates(again, level, potential, tau, room > 0, topk, vector, idx)
+            fresh = fresh.select(idx, "picks", F.try_element_at("picks", F.lit(1)).alias("ask"))
+            asking = asking.where(F.col("ask").isNotNull()).unionByName(fresh)
         flat = asking.select(idx, "picks", F.col("ask.at").alias("at"), F.col("ask.score").alias("score"))
         flat = flat.withColumn("tie", F.xxhash64(F.lit(seed), F.col(idx)))
         ranked = rank_within(flat, ["at"], [F.col("score").desc(), F.col("tie"), F.col(idx)])

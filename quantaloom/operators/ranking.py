@@ -31,7 +31,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str =
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
     )
     match = [F.col(k).eqNullSafe(F.col("__k_" + k)) for k in keys] + [F.col("__part") == F.col("__p")]
-    joined = placed.join(broadcast_if_small(runs, 64 + 32 * len(keys)), reduce(lambda a, b: a & b, match))
+    joined = placed.join(broadcast_if_small(runs, 64 + 32 * len(keys), hold=False), reduce(lambda a, b: a & b, match))
     rank = F.col("__before") + F.col("__pos") - F.col("__start") + 1
     return joined.select(*df.columns, rank.cast("bigint").alias(name))
 

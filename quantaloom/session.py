@@ -47,10 +47,13 @@ def fits_broadcast(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_LIM
     return df.limit(allowed + 1).count() <= allowed
 
 
-def broadcast_if_small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def broadcast_if_small(
+    df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_LIMIT, hold: bool = True
+) -> DataFrame:
     """Hint a broadcast for a side of proven size; otherwise leave the join to Catalyst.
 
-    The side is materialised first, so that counting it does not compute it again.
+    The side is materialised first, so that counting it does not compute it again; ``hold=False`` is for
+    a side that is cheap to compute twice.
     """
-    held = cut(df)
+    held = cut(df) if hold else df
     return F.broadcast(held) if fits_broadcast(held, bytes_per_row, limit) else held
