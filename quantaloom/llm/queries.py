@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm import decontamination, fingerprints
+from quantaloom.llm import decontamination, fingerprints, mixing, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,147 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_next",
         F.size("packed").cast("long").alias("n_grams"),
     )
+
+
+# -- mixing: domains stand for groups of sources, weights are whole numbers ---------------------------
+
+MIX_DOMAIN = "CASE WHEN source LIKE 'src%' THEN concat('d', cast(cast(substr(source, 4) AS int) % 3 AS {text})) ELSE 'other' END"
+MIX_DOMAIN_WEIGHTS = {"d0": 2, "d1": 5, "d2": 3, "other": 1}
+MIX_LANGUAGE_WEIGHTS = {"en": 6, "fr": 2, "de": 2, "es": 1}
+MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 0.8, 3, 17
+
+
+def weight_case(column: str, weights: dict[str, int]) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+def mix_documents(documents: DataFrame) -> DataFrame:
+    """The documents in the proportions above; sources of one language weigh the same."""
+    path = [F.expr(MIX_DOMAIN.format(text="string")), F.col("lang"), F.col("source")]
+    tree = documents.select(*[c.cast("string").alias(f"key_{i}") for i, c in enumerate(path)]).distinct()
+    weights = [
+        tree.select("key_0").distinct().withColumn("weight", F.expr(weight_case("key_0", MIX_DOMAIN_WEIGHTS))),
+        tree.select("key_0", "key_1").distinct().withColumn("weight", F.expr(weight_case("key_1", MIX_LANGUAGE_WEIGHTS))),
+        tree.withColumn("weight", F.lit(1)),
+    ]
+    return mixing.mix(documents, path, weights, MIX_BUDGET, MIX_EPOCHS, MIX_SEED)
+
+
+def _share_sql(name: str, level: str, parent: str, keys: str) -> str:
+    """CTEs that divide ``given`` of each parent among the rows of ``level`` by weight, within capacity."""
+    over = f"(PARTITION BY {parent} ORDER BY capacity::DOUBLE / weight, {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+{name}_a AS (
+  SELECT *, given - coalesce(sum(capacity) OVER {over}, 0) AS rest,
+    sum(weight) OVER (PARTITION BY {parent}) - coalesce(sum(weight) OVER {over}, 0) AS open FROM {level}
+), {name}_b AS (
+  SELECT *, capacity * open <= rest * weight AS filled FROM {name}_a
+), {name}_c AS (
+  SELECT *, min_by(rest, capacity::DOUBLE / weight) FILTER (NOT filled) OVER (PARTITION BY {parent}) AS r,
+    max(open) FILTER (NOT filled) OVER (PARTITION BY {parent}) AS o FROM {name}_b
+), {name} AS (
+  SELECT * EXCLUDE (given), CASE WHEN filled THEN capacity ELSE least(r * weight // o, capacity) END::HUGEINT AS given FROM {name}_c
+)"""
+
+
+MIXING_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, text, {MIX_DOMAIN.format(text="varchar")} AS k0, lang AS k1, source AS k2,
+    coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents
+), leaves AS (
+  SELECT k0, k1, k2, sum(tokens)::HUGEINT AS tokens, (sum(tokens) * {MIX_EPOCHS})::HUGEINT AS capacity FROM docs GROUP BY ALL
+), one AS (
+  SELECT least(sum(capacity), floor(sum(tokens)::DOUBLE * {MIX_BUDGET})::HUGEINT) AS given FROM leaves
+), l0 AS (
+  SELECT 1 AS root, k0, sum(capacity)::HUGEINT AS capacity, ({weight_case("k0", MIX_DOMAIN_WEIGHTS)})::HUGEINT AS weight, any_value(given) AS given
+  FROM leaves, one GROUP BY k0
+), {_share_sql("s0", "l0", "root", "k0")}, l1 AS (
+  SELECT k0, k1, sum(l.capacity)::HUGEINT AS capacity, ({weight_case("k1", MIX_LANGUAGE_WEIGHTS)})::HUGEINT AS weight, any_value(s0.given) AS given
+  FROM leaves l JOIN s0 USING (k0) GROUP BY k0, k1
+), {_share_sql("s1", "l1", "k0", "k1")}, l2 AS (
+  SELECT k0, k1, k2, l.tokens, l.capacity, 1::HUGEINT AS weight, s1.given AS given FROM leaves l JOIN s1 USING (k0, k1)
+), {_share_sql("s2", "l2", "k0, k1", "k2")}, runs AS (
+  SELECT d.doc_id, d.k0, d.k1, d.k2, d.tokens, s.given // s.tokens AS whole, s.given % s.tokens AS part,
+    sum(d.tokens) OVER (PARTITION BY d.k0, d.k1, d.k2 ORDER BY
+      md5(concat_ws(':', '{MIX_SEED}', (s.given // s.tokens)::VARCHAR, d.doc_id::VARCHAR)), md5(coalesce(d.text, ''))) AS upto
+  FROM docs d JOIN s2 s USING (k0, k1, k2) WHERE s.tokens > 0
+), taken AS (
+  SELECT *, whole + (part > 0 AND upto <= part)::INT AS n FROM runs
+)
+SELECT doc_id, unnest(range(0, n::BIGINT))::INT AS epoch, k0 AS domain, k1 AS lang, k2 AS source, tokens::BIGINT AS tokens FROM taken WHERE n > 0
+"""
+
+
+@query("op6_mixing", MIXING_SQL)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixed.select(
+        "doc_id",
+        "epoch",
+        F.expr(MIX_DOMAIN.format(text="string")).alias("domain"),
+        "lang",
+        "source",
+        mixing.count_tokens(F.col("text")).alias("tokens"),
+    )
+
+
+# -- URL filters: captures get a day, and dated list entries are made of the hosts and paths that occur --
+
+CAPTURE_DAY = "cast(page_id * 37 % 900 AS int)"
+ENTRY_CODES = {f"c{i}": f"ascii(substr(m, {i}, 1))" for i in range(1, 10)}
+ENTRY_DAY = "cast(c1 * 3 + k * (50 + c2 + c3) % 700 AS int)"
+ENTRY_LIST = "concat('list', cast((c4 + k) % 2 AS {text}))"
+ENTRY_ACTION = "CASE WHEN (c5 + k) % 5 = 0 THEN 'allow' ELSE 'block' END"
+ENTRY_OP = "CASE WHEN (c6 + k) % 3 = 0 THEN 'remove' ELSE 'add' END"
+ENTRY_KEPT = "c7 % 3 > 0"
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A log of eight dated entries for two thirds of the hosts, parent domains and first path segments."""
+    host, first = url_filters.host_of(F.col("url")), F.regexp_extract("url", "^[a-z]+://[^/?#]*/([^/?#]+)", 1)
+    seen = pages.select(host.alias("host"), first.alias("first")).distinct()
+    patterns = F.array("host", F.regexp_replace("host", r"^[^.]*\.", ""), F.concat_ws("/", "host", "first"))
+    seen = seen.select(F.explode(patterns).alias("pattern")).distinct().withColumn("m", F.md5("pattern"))
+    coded = seen.select("pattern", *[F.expr(e).alias(c) for c, e in ENTRY_CODES.items()]).where(ENTRY_KEPT)
+    coded = coded.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return coded.select(
+        F.expr(ENTRY_LIST.format(text="string")).alias("list"),
+        F.expr(ENTRY_ACTION).alias("action"),
+        "pattern",
+        F.expr(ENTRY_DAY).alias("day"),
+        F.expr(ENTRY_OP).alias("op"),
+    )
+
+
+URL_FILTER_SQL = rf"""
+WITH caps AS (
+  SELECT page_id, url, {CAPTURE_DAY} AS day, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
+    regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS place, regexp_extract(url, '^[a-z]+://[^/?#]*/([^/?#]+)', 1) AS first FROM pages
+), patterns AS (
+  SELECT host AS pattern FROM caps UNION SELECT regexp_replace(host, '^[^.]*\.', '') FROM caps UNION SELECT host || '/' || first FROM caps
+), coded AS (
+  SELECT pattern, {", ".join(f"{e} AS {c}" for c, e in ENTRY_CODES.items())} FROM (SELECT pattern, md5(pattern) AS m FROM patterns)
+), entries AS (
+  SELECT {ENTRY_LIST.format(text="varchar")} AS list, {ENTRY_ACTION} AS action, pattern, {ENTRY_DAY} AS day, {ENTRY_OP} AS op
+  FROM coded, range(0, 8) t(k) WHERE {ENTRY_KEPT}
+), seen AS (
+  SELECT page_id, list, action, pattern, arg_max(op, (e.day, op)) AS op
+  FROM caps c JOIN entries e ON e.day <= c.day
+    AND (c.host = pattern OR ends_with(c.host, '.' || pattern) OR (contains(pattern, '/') AND starts_with(c.place || '/', pattern || '/')))
+  GROUP BY ALL
+), active AS (
+  SELECT page_id, list, action, pattern, rank() OVER (PARTITION BY page_id ORDER BY len(pattern) DESC, action DESC) AS r,
+    count(*) OVER (PARTITION BY page_id) AS n FROM seen WHERE op = 'add'
+), best AS (
+  SELECT page_id, any_value(action) AS verdict, any_value(pattern) AS pattern, string_agg(list, ',' ORDER BY list) AS lists, any_value(n) AS n
+  FROM active WHERE r = 1 GROUP BY page_id
+)
+SELECT page_id, day, coalesce(verdict, 'none') AS verdict, pattern, lists, coalesce(n, 0)::BIGINT AS n_active FROM caps LEFT JOIN best USING (page_id)
+"""
+
+
+@query("op7_url_filters", URL_FILTER_SQL)
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", F.expr(CAPTURE_DAY))
+    return url_filters.judge(captures, list_entries(pages)).drop("url")
