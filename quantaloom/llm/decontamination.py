@@ -87,7 +87,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, n: int = 10, limit: int
     for block in range(blocks):
         part = windows.where(F.pmod(F.col("gram"), F.lit(blocks)) == block) if blocks > 1 else windows
         hit = grams.join(F.broadcast(part), ["length", "gram"])
-        same = F.transform(F.slice("words", F.col("at") + 1, F.col("length")), lower_ascii) == F.col("window")
+        # taken from the row by a generator, so that the comparison is not moved into the join: there it would
+        # end generated code and copy the word list of a text once per gram
+        taken = F.explode(F.array(F.slice("words", F.col("at") + 1, F.col("length"))))
+        hit = hit.select("doc_id", "digest", "at", "length", "items", "window", taken.alias("taken"))
+        same = F.transform("taken", lower_ascii) == F.col("window")
         found.append(hit.where(same).select("doc_id", "digest", "at", "length", "items"))
     return reduce(DataFrame.unionByName, found)
 
