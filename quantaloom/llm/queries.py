@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm import decontamination, fingerprints, mixing, token_files, url_filters
+from quantaloom.llm import decontamination, fingerprints, mixing, token_files, toxicity, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -239,3 +239,11 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), public_tokenizer()))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    scored = documents.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(model, documents).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
