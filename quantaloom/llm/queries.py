@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm import decontamination, fingerprints, mixing, token_files, toxicity, url_filters
+from quantaloom.llm import decontamination, fingerprints, language_id, mixing, token_files, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -247,3 +247,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
     scored = documents.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(model, documents).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    trees = language_id.fit(documents)
+    found = documents.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), language_id.predict(documents, trees).alias("p"))
+    return found.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+@query("op5_warc")
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_read(warc.read(spark, warc.write(table(spark, sf_dir, "pages"))))
