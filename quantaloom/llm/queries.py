@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm import decontamination, fingerprints, language_id, mixing, token_files, toxicity, url_filters, warc
+from quantaloom.llm import decontamination, fingerprints, jaccard_join, language_id, mixing, token_files, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -260,3 +260,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_warc")
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_read(warc.read(spark, warc.write(table(spark, sf_dir, "pages"))))
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_copies(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
