@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm import decontamination, fingerprints, jaccard_join, language_id, mixing, token_files, toxicity, url_filters, warc
+from quantaloom.llm import decontamination, fingerprints, jaccard_join, language_id, licences, mixing, token_files, toxicity, url_filters, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -266,3 +266,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.near_copies(table(spark, sf_dir, "documents"), k=3, percent=90)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op9_licences")
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = licences.scan(documents, licences.fit(documents))
+    return found.select("doc_id", "n_notices", F.array_join("families", ",").alias("families"), F.round("best", 6).alias("best"))
