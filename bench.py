@@ -35,7 +35,6 @@ HEADLINE = [
     "encode_two_levels",
     "bucket_cosine",
     "item_cosine",
-    "item_cosine_capped",
     "dedup_vectors",
     "seeded_sample",
     "residual_training",

@@ -21,18 +21,48 @@ from quantaloom.operators.assign import (
     share,
 )
 from quantaloom.operators.ranking import rank_within
-from quantaloom.operators.sampling import sample_rows
 from quantaloom.operators.sums import vector_sum
 from quantaloom.session import cut
 
-# Sample size, percentile, share and floor of the temperature estimate.
-TAU_SAMPLE, TAU_PERCENTILE, TAU_SHARE, TAU_FLOOR = 4000, 90, 0.1, 1e-6
+# Percentile, share and floor of the temperature estimate.
+TAU_PERCENTILE, TAU_SHARE, TAU_FLOOR = 90, 0.1, 1e-6
+BINS, FEW_VALUES = 65_536, 10_000
 
 
-def estimate_tau(
-    df: DataFrame, codebook: DataFrame, vector: str = "residual", idx: str = "idx", seed: int = 0, sample: int = TAU_SAMPLE
-) -> float:
-    """A tenth of the median, over a row sample, of the 90th percentile of distances above the row minimum."""
+def _nth(df: DataFrame, column: str, n: int, low: float, high: float) -> float:
+    """The n-th smallest value (from 0) of a column that lies between ``low`` and ``high``.
+
+    Bin counts narrow the interval down until few values are left; only those are sorted.
+    """
+    own = df.where(F.col(column).between(low, high))
+    count = own.count()
+    while count > FEW_VALUES and low < high:
+        width = (high - low) / BINS
+        bin_ = F.least(F.floor((F.col(column) - low) / width), F.lit(BINS - 1)).alias("bin")
+        ends = [F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")]
+        for r in sorted(own.groupBy(bin_).agg(*ends).collect()):
+            if n < r["n"]:
+                break
+            n -= r["n"]
+        if (r["low"], r["high"]) == (low, high):
+            break
+        low, high, count = r["low"], r["high"], r["n"]
+        own = own.where(F.col(column).between(low, high))
+    return low if low == high else sorted(r[0] for r in own.select(column).collect())[n]
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a column; the mean of the two middle values for an even count."""
+    ends = df.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).head()
+    if not ends["n"]:
+        return None
+    middle = {(ends["n"] - 1) // 2, ends["n"] // 2}
+    values = [_nth(df, column, m, ends["low"], ends["high"]) for m in middle]
+    return sum(values) / len(values)
+
+
+def estimate_tau(df: DataFrame, codebook: DataFrame, vector: str = "residual", idx: str = "idx") -> float:
+    """A tenth of the median, over all rows, of the 90th percentile of distances above the row minimum."""
     level = load_levels(codebook)[0]
     shared = share(df, [level])
 
@@ -45,9 +75,8 @@ def estimate_tau(
             spread = np.percentile(d - d.min(1, keepdims=True), TAU_PERCENTILE, axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(spread)], names=["spread"])
 
-    picked = sample_rows(df.select(idx, vector), sample, seed, idx)
-    middle = picked.mapInArrow(run, "spread double").agg(F.median("spread")).head()[0]
-    return max(float(middle or 0.0) * TAU_SHARE, TAU_FLOOR)
+    spreads = cut(df.select(idx, vector).mapInArrow(run, "spread double"))
+    return max((exact_median(spreads, "spread") or 0.0) * TAU_SHARE, TAU_FLOOR)
 
 
 def capacities(n: int, k: int) -> np.ndarray:
@@ -163,7 +192,7 @@ def balance(
     room = capacities(n, k) if sizes is None else np.asarray(sizes, dtype=np.int64)
     if room.sum() < n:
         raise ValueError(f"capacities hold {room.sum()} of {n} rows")
-    tau = tau if tau is not None else estimate_tau(rows, codebook, vector, idx, seed)
+    tau = tau if tau is not None else estimate_tau(rows, codebook, vector, idx)
     potential = column_potentials(rows, level, room.astype(np.float64) * n / max(room.sum(), 1), tau, iters, vector)
 
     waiting = cut(_candidates(rows, level, potential, tau, room > 0, topk, vector, idx))

@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from quantaloom.functions.fields import MISSING_DOMAIN
 from quantaloom.functions.vectors import sq_norm
 from quantaloom.operators.metrics import OVERALL, _level_of, level_columns, scope_columns
-from quantaloom.operators.ranking import first_rows
 from quantaloom.operators.sums import component_sums, dimension, flat_norm, in_chunks
-from quantaloom.session import broadcast_if_small
 
 
-def _prepared(df: DataFrame, vector: str, dim: int, by: str | None, keep: list[str], levels: int | None):
+def _prepared(df: DataFrame, vector: str, dim: int, by: str | None, levels: int | None):
     """One row per vector chunk with the vector's length, and the names of the level columns."""
     wide, names = level_columns(df, levels)
     scope = [F.coalesce(F.col(by).cast("string"), F.lit(MISSING_DOMAIN)).alias(by)] if by else []
-    rows = wide.select(*scope, *keep, *names, F.col(vector).alias("__v"), flat_norm(vector, dim).alias("__norm"))
+    rows = wide.select(*scope, *names, F.col(vector).alias("__v"), flat_norm(vector, dim).alias("__norm"))
     zero = F.col("__norm") == 0
     rows = rows.select(
         *[c for c in rows.columns if c != "__norm"],
@@ -51,33 +49,32 @@ def _means(buckets: DataFrame, scope: list[str], names: list[str], one_chunk: bo
     n = F.col("n").cast("double")
     pairs = n * (n - 1) / 2
     sim = (F.col("sq") - F.col("nonzero")) / (n * (n - 1))
-    scored = whole.where(F.col("n") > 1).select(*scope, "level", pairs.alias("pairs"), sim.alias("sim"))
+    several = n > 1
+    scored = whole.select(*scope, "level", F.when(several, pairs).alias("pairs"), F.when(several, sim).alias("sim"))
+    zero = F.lit(0.0)
     return scored.groupBy(*scope, "level").agg(
-        F.count("*").alias("bucket_count"),
-        F.sum("pairs").cast("bigint").alias("pairs"),
-        (F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs")).alias("weighted_sim"),
-        F.avg("sim").alias("unweighted_sim"),
+        F.count("pairs").alias("bucket_count"),
+        F.coalesce(F.sum("pairs"), zero).cast("bigint").alias("pairs"),
+        F.coalesce(F.sum(F.col("sim") * F.col("pairs")) / F.sum("pairs"), zero).alias("weighted_sim"),
+        F.coalesce(F.avg("sim"), zero).alias("unweighted_sim"),
     )
 
 
 def bucket_cosine(
     df: DataFrame,
-    cap: int | None = None,
     max_level: int | None = None,
     exclude_last: bool = False,
     by: str | None = None,
     vector: str = "embedding",
-    idx: str = "idx",
     dim: int | None = None,
     levels: int | None = None,
 ) -> DataFrame:
     """Pair-weighted and plain mean of within-bucket cosine per prefix level.
 
-    Every row counts by default. ``cap`` limits a bucket to its first rows in record order, as runs
-    evaluated with a capped protocol did (512 there). Levels whose buckets all hold one row are absent.
+    Every row counts. A level whose buckets all hold one row has no pairs and similarity 0.
     """
     dim = dim or dimension(df, vector)
-    rows, names, width = _prepared(df, vector, dim, by, [idx] if cap else [], levels)
+    rows, names, width = _prepared(df, vector, dim, by, levels)
     last = len(names) - (1 if exclude_last else 0)
     last = max(min(last, max_level) if max_level is not None else last, 0)
     names = names[:last]
@@ -85,9 +82,6 @@ def bucket_cosine(
         raise ValueError("no level is left to score")
     scope = scope_columns(by)
     group = [by] if by else []
-    if cap:
-        return _capped(rows, names, by, cap, idx, width, dim <= width)
-
     # sums per path are the last level already; shorter prefixes add those up, so a hot one is small by then
     paths = _sums(rows, [*group, *names], width)
     named = [F.lit(by).alias("scope"), F.col(by)] if by else []
@@ -106,28 +100,3 @@ def bucket_cosine(
     named = [F.when(F.col("__all") == 1, OVERALL).otherwise(by).alias("scope"), F.col(by)] if by else []
     buckets = whole.unionByName(merged.select(*named, "level", *names, "vec_sum", "n", "nonzero"))
     return _means(buckets, scope, names, dim <= width)
-
-
-def _capped(
-    rows: DataFrame, names: list[str], by: str | None, cap: int, idx: str, width: int, one_chunk: bool
-) -> DataFrame:
-    """Per level, find the last admitted row of each over-full bucket on narrow columns, then sum."""
-    out = None
-    single = rows.where(F.col("__chunk") == 0)
-    for group in ([by], []) if by else ([],):
-        for level in range(1, len(names) + 1):
-            keys = group + names[:level]
-            cutoff = first_rows(single.select(*keys, idx), keys, cap, [F.col(idx)]).where(F.col("rn") == cap)
-            cutoff = cutoff.select(*keys, F.col(idx).alias("__last"))
-            admitted = rows.join(broadcast_if_small(cutoff, 64), keys, "left").where(
-                F.col("__last").isNull() | (F.col(idx) <= F.col("__last"))
-            )
-            named = []
-            if by:
-                own = F.col(by) if group else F.lit(None).cast("string").alias(by)
-                named = [F.lit(by if group else OVERALL).alias("scope"), own]
-            codes = [F.col(n) if i < level else F.lit(None).cast("int").alias(n) for i, n in enumerate(names)]
-            sums = _sums(admitted, keys, width)
-            one = sums.select(*named, F.lit(level).alias("level"), *codes, "vec_sum", "n", "nonzero")
-            out = one if out is None else out.unionByName(one)
-    return _means(out, scope_columns(by), names, one_chunk)

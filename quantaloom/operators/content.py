@@ -16,7 +16,6 @@ from quantaloom.operators.ranking import first_rows
 from quantaloom.session import broadcast_if_small, cut
 
 # Bucket limits of the historical protocol and of its report.
-JACCARD_CAP = 256
 SAMPLE_TITLES, SAMPLE_ROWS, TITLE_CHARS, TEXT_CHARS = 3, 5, 55, 160
 
 
@@ -193,20 +192,16 @@ def jaccard(
     df: DataFrame,
     level: int,
     field: str,
-    cap: int | None = JACCARD_CAP,
     idx: str = "idx",
     is_array: bool = False,
     block: int = 256,
 ) -> DataFrame:
     """Mean pairwise Jaccard of the non-empty tag sets in each bucket: ``c1…, sets, pairs, jaccard``.
 
-    ``cap`` is the protocol's own bound: the first sets of a bucket in record order. ``cap=None`` covers
-    every pair. Equal sets are merged to one with a weight first; distinct sets are dealt to blocks and
+    Every pair counts. Equal sets are merged to one with a weight first; distinct sets are dealt to blocks and
     each pair of blocks is scored as one small matrix product, so no task sees a whole bucket.
     """
     rows, names = _sets(df, level, field, idx, is_array)
-    if cap is not None:
-        rows = first_rows(rows, names, cap, [F.col("idx")]).drop("rn")
     weighted = cut(rows.groupBy(*names, "tags").agg(F.count("*").alias("w")))
     totals = weighted.groupBy(*names).agg(
         F.sum("w").cast("bigint").alias("sets"),

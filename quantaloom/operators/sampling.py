@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.functions.vectors import finite
 
 
+FEW_KEYS = 4096
+
+
 def draw_key(idx: str, seed: int) -> Column:
     """Uniform 128-bit key of a row, the same on every run and every partitioning."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(idx).cast("string")).cast("binary"))
@@ -18,19 +19,26 @@ def draw_key(idx: str, seed: int) -> Column:
 def sample_rows(df: DataFrame, n: int, seed: int = 0, idx: str = "idx") -> DataFrame:
     """At most ``n`` rows without replacement: those with the smallest draw keys.
 
-    Only the n-th smallest key is searched for, on narrow rows and below a bound that keeps a little more
-    than ``n`` of them (if it ever keeps fewer, it is not used). The sample is then a plain filter: no row
-    moves, and none is gathered in one task.
+    Only the n-th smallest key is searched for: counts by the next four digits of the key (at most 65,536)
+    narrow it down until few keys share its prefix. The sample is then a plain filter: no row moves, and no
+    more than ``FEW_KEYS`` keys are gathered in one task.
     """
     total = df.count()
     if n <= 0 or total <= n:
         return df.limit(0) if n <= 0 else df
     keys = df.select(F.struct(draw_key(idx, seed).alias("draw"), F.col(idx).alias("idx")).alias("k"))
-    share = (n + 8 * math.sqrt(n) + 64) / total
-    if share < 1.0:
-        near = keys.where(F.col("k.draw") < format(int(share * (1 << 60)), "015x"))
-        keys = near if near.count() >= n else keys
-    last = keys.orderBy("k").limit(n).agg(F.max("k").alias("k")).head()["k"]
+    left, here, prefix = n, total, ""
+    while here > FEW_KEYS and len(prefix) < 32:
+        digits = F.substring("k.draw", len(prefix) + 1, 4).alias("digits")
+        counts = keys.groupBy(digits).agg(F.count("*").alias("n")).collect()
+        for digits, here in sorted((r["digits"], r["n"]) for r in counts):
+            if here >= left:
+                break
+            left -= here
+        prefix += digits
+        keys = keys.where(F.col("k.draw").startswith(prefix))
+    # more than FEW_KEYS keys with one draw value would be rows that share a number
+    last = keys.orderBy("k").limit(left).agg(F.max("k").alias("k")).head()["k"]
     draw = draw_key(idx, seed)
     return df.where((draw < last["draw"]) | ((draw == last["draw"]) & (F.col(idx) <= F.lit(last["idx"]))))
 
@@ -38,14 +46,15 @@ def sample_rows(df: DataFrame, n: int, seed: int = 0, idx: str = "idx") -> DataF
 def balanced_sample(
     df: DataFrame,
     domains: tuple[str, str] = ("station", "video"),
-    per_domain: int = 100_000,
+    per_domain: int | None = None,
     seed: int = 0,
     idx: str = "idx",
     domain: str = "domain",
 ) -> DataFrame:
-    """Equal numbers of rows from two domains: as many as the smaller one has, up to ``per_domain``."""
+    """Equal numbers of rows from two domains: as many as the smaller one has, or ``per_domain`` if that is less."""
     counts = {r[0]: r[1] for r in df.where(F.col(domain).isin(*domains)).groupBy(domain).count().collect()}
-    take = min(per_domain, *[counts.get(d, 0) for d in domains])
+    take = min(counts.get(d, 0) for d in domains)
+    take = take if per_domain is None else min(take, per_domain)
     if take <= 0:
         raise ValueError(f"not enough rows for a balanced sample: {counts}")
     a, b = [sample_rows(df.where(F.col(domain) == d), take, seed, idx) for d in domains]

@@ -31,7 +31,7 @@ from quantaloom.session import cut
 
 CODEBOOK = "level int, code int, centroid array<double>"
 
-# Largest rotation the driver decomposes.
+# Largest rotation the driver decomposes: 4096 squared doubles are 128 MB.
 MAX_ROTATION = 4096
 
 
@@ -41,9 +41,9 @@ def codebook_frame(df: DataFrame, centroids: np.ndarray, level: int = 1) -> Data
 
 
 def training_rows(
-    df: DataFrame, max_samples: int | None = 200_000, seed: int = 0, dedup: bool = True, vector: str = "embedding", idx: str = "idx"
+    df: DataFrame, max_samples: int | None = None, seed: int = 0, dedup: bool = True, vector: str = "embedding", idx: str = "idx"
 ) -> DataFrame:
-    """Finite rows, sampled to a bound, without exact copies."""
+    """Finite rows without exact copies; all of them unless the caller asks for a sample."""
     rows = finite_rows(df.select(idx, vector), vector)
     if max_samples is not None:
         rows = sample_rows(rows, max_samples, seed, idx)
@@ -55,19 +55,21 @@ def fit_codebook(
     k: int,
     iters: int = 10,
     seed: int = 0,
-    max_samples: int | None = 200_000,
+    max_samples: int | None = None,
     dedup: bool = True,
     vector: str = "embedding",
     idx: str = "idx",
     level: int = 1,
     dim: int | None = None,
+    prepared: bool = False,
 ) -> DataFrame:
     """K-means codebook of exactly ``k`` centroids.
 
     With fewer rows than ``k`` the centroids are rows drawn with replacement; without any valid row they
-    are random normal. Empty clusters are refilled from the rows.
+    are random normal. Empty clusters are refilled from the rows. ``prepared`` rows are used as they are: a
+    caller that trains several codebooks cleans and materialises its rows once.
     """
-    rows = cut(training_rows(df, max_samples, seed, dedup, vector, idx))
+    rows = df.select(idx, vector) if prepared else cut(training_rows(df, max_samples, seed, dedup, vector, idx))
     rng = np.random.default_rng(seed)
     n = rows.count()
     if n == 0:
@@ -101,22 +103,23 @@ def fit_rq(
     sizes: list[int],
     iters: int = 10,
     seed: int = 0,
-    max_samples: int | None = 200_000,
+    max_samples: int | None = None,
     dedup: bool = True,
     vector: str = "embedding",
     idx: str = "idx",
+    prepared: bool = False,
 ) -> DataFrame:
     """Residual codebooks, level by level; sizes must be powers of two.
 
-    The sample is drawn once; each level trains on what the levels above leave of it.
+    Rows are cleaned once; each level trains on what the levels above leave of them.
     """
     for size in sizes:
         if size < 1 or size & (size - 1):
             raise ValueError(f"codebook size {size} is not a power of two")
-    rest = cut(training_rows(df, max_samples, seed, dedup, vector, idx))
+    rest = df.select(idx, vector) if prepared else cut(training_rows(df, max_samples, seed, dedup, vector, idx))
     books = None
     for l, size in enumerate(sizes, start=1):
-        book = fit_codebook(rest, size, iters, seed + l - 1, None, dedup, vector, idx, l)
+        book = fit_codebook(rest, size, iters, seed + l - 1, vector=vector, idx=idx, level=l, prepared=True)
         books = book if books is None else books.unionByName(book)
         if l < len(sizes):
             rest = cut(subtract_nearest(rest, book, vector))
@@ -127,7 +130,7 @@ def fit_rq_balanced(
     df: DataFrame,
     sizes: list[int],
     domains: tuple[str, str],
-    per_domain: int = 100_000,
+    per_domain: int | None = None,
     seed: int = 0,
     literal: bool = False,
     iters: int = 10,
@@ -142,10 +145,10 @@ def fit_rq_balanced(
     sample = balanced_sample(df, domains, per_domain, seed, idx, domain).select(idx, vector)
     if not literal:
         return fit_rq(sample, sizes, iters, seed, None, True, vector, idx)
-    sample = cut(sample)
+    sample = cut(training_rows(sample, None, seed, True, vector, idx))
     books = None
     for l, size in enumerate(sizes, start=1):
-        book = fit_codebook(sample, size, iters, seed, None, True, vector, idx, l)
+        book = fit_codebook(sample, size, iters, seed, vector=vector, idx=idx, level=l, prepared=True)
         books = book if books is None else books.unionByName(book)
     return books
 
@@ -157,13 +160,14 @@ def split_parts(df: DataFrame, m: int, vector: str = "embedding", dim: int | Non
 
 
 def fit_pq(
-    df: DataFrame, m: int, k: int, iters: int = 10, seed: int = 0, max_samples: int | None = 200_000,
-    vector: str = "embedding", idx: str = "idx",
+    df: DataFrame, m: int, k: int, iters: int = 10, seed: int = 0, max_samples: int | None = None,
+    vector: str = "embedding", idx: str = "idx", prepared: bool = False,
 ) -> DataFrame:
-    """One codebook per part of the vector: ``part, level, code, centroid``."""
+    """One codebook per part of the vector: ``part, level, code, centroid``; rows are cleaned once, as whole vectors."""
+    whole = df.select(idx, vector) if prepared else cut(training_rows(df, max_samples, seed, True, vector, idx))
     books = None
-    for part, rows in enumerate(split_parts(df, m, vector), start=1):
-        book = fit_codebook(rows, k, iters, seed + part, max_samples, True, vector, idx)
+    for part, rows in enumerate(split_parts(whole, m, vector), start=1):
+        book = fit_codebook(rows, k, iters, seed + part, vector=vector, idx=idx, prepared=True)
         book = book.select(F.lit(part).alias("part"), "*")
         books = book if books is None else books.unionByName(book)
     return books
@@ -243,35 +247,36 @@ def cross_moment(df: DataFrame, a: str, b: str) -> np.ndarray:
 
 def fit_opq(
     df: DataFrame, m: int, k: int, niter: int = 5, iters: int = 10, seed: int = 0,
-    max_samples: int | None = 200_000, vector: str = "embedding", idx: str = "idx",
+    max_samples: int | None = None, vector: str = "embedding", idx: str = "idx", prepared: bool = False,
 ) -> tuple[np.ndarray, DataFrame]:
     """Rotation and product codebooks that lower the quantization error together.
 
     Alternates product training in the rotated space with the orthogonal Procrustes solution between the
-    rows and their reconstruction. Apply with ``encode_parts(…, rotation=…)``.
+    rows and their reconstruction. Apply with ``encode_parts(…, rotation=…)``. The rotation is solved on the
+    driver, for vectors of at most ``MAX_ROTATION`` components.
     """
-    rows = cut(training_rows(df, max_samples, seed, True, vector, idx))
+    rows = df.select(idx, vector) if prepared else cut(training_rows(df, max_samples, seed, True, vector, idx))
     dim = dimension(rows, vector)
     if dim % m:
         raise ValueError(f"{dim} components do not split into {m} parts")
     rotation = np.eye(dim)
     for _ in range(niter):
-        book = fit_pq(rotate(rows, rotation, vector), m, k, iters, seed, None, vector, idx)
+        book = fit_pq(rotate(rows, rotation, vector), m, k, iters, seed, vector=vector, idx=idx, prepared=True)
         coded = encode_parts(rows, book, vector, rotation)
         left, _, right = np.linalg.svd(cross_moment(coded, "decoded", vector))
         rotation = left @ right
-    return rotation, fit_pq(rotate(rows, rotation, vector), m, k, iters, seed, None, vector, idx)
+    return rotation, fit_pq(rotate(rows, rotation, vector), m, k, iters, seed, vector=vector, idx=idx, prepared=True)
 
 
 def fit_rq_pq(
     df: DataFrame, sizes: list[int], m: int = 2, k: int = 1024, niter: int = 5, iters: int = 10, seed: int = 0,
-    max_samples: int | None = 200_000, vector: str = "embedding", idx: str = "idx",
+    max_samples: int | None = None, vector: str = "embedding", idx: str = "idx",
 ) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """Residual levels, then a rotated product quantizer on what they leave."""
     rows = cut(training_rows(df, max_samples, seed, True, vector, idx))
-    book = fit_rq(rows, sizes, iters, seed, None, True, vector, idx)
+    book = fit_rq(rows, sizes, iters, seed, vector=vector, idx=idx, prepared=True)
     rest = cut(subtract_nearest(rows, book, vector))
-    rotation, parts = fit_opq(rest, m, k, niter, iters, seed, None, vector, idx)
+    rotation, parts = fit_opq(rest, m, k, niter, iters, seed, vector=vector, idx=idx, prepared=True)
     return book, rotation, parts
 
 
@@ -285,7 +290,7 @@ def encode_rq_pq(
 
 
 def fit_subspace_rq(
-    df: DataFrame, m: int, sizes: list[int], iters: int = 10, seed: int = 0, max_samples: int | None = 50_000,
+    df: DataFrame, m: int, sizes: list[int], iters: int = 10, seed: int = 0, max_samples: int | None = None,
     rotation: np.ndarray | None = None, vector: str = "embedding", idx: str = "idx",
 ) -> DataFrame:
     """Independent residual codebooks per part: ``part, level, code, centroid``."""
@@ -293,7 +298,7 @@ def fit_subspace_rq(
     rows = rows if rotation is None else rotate(rows, rotation, vector)
     books = None
     for part, one in enumerate(split_parts(rows, m, vector), start=1):
-        book = fit_rq(one, sizes, iters, seed + 100 * part, None, True, vector, idx)
+        book = fit_rq(one, sizes, iters, seed + 100 * part, vector=vector, idx=idx, prepared=True)
         book = book.select(F.lit(part).alias("part"), "*")
         books = book if books is None else books.unionByName(book)
     return books

@@ -5,7 +5,6 @@ A derived table is stated once as SQL expressions that Spark and DuckDB read ali
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantaloom.functions.fields import pack_hardcode
+from quantaloom.session import shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,9 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder next to the session's checkpoints, or a temporary one where none are configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantaloom-")
-    return f"{root}/quantaloom-{uuid.uuid4().hex}"
+    """A new folder next to the session's checkpoints."""
+    return f"{shared_root(spark)}/quantaloom-{uuid.uuid4().hex}"
 
 
 def picked(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -443,9 +443,5 @@ FROM p JOIN c USING ({keys})"""
 
 @query("bucket_jaccard", _jaccard_sql(2, None))
 def bucket_jaccard(spark, sf_dir):
-    return rounded(content.jaccard(order_codes(spark, sf_dir), 2, "genre_types", cap=None), "jaccard")
+    return rounded(content.jaccard(order_codes(spark, sf_dir), 2, "genre_types"), "jaccard")
 
-
-@query("bucket_jaccard_capped", _jaccard_sql(1, 256))
-def bucket_jaccard_capped(spark, sf_dir):
-    return rounded(content.jaccard(order_codes(spark, sf_dir), 1, "genre_types"), "jaccard")

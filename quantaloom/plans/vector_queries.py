@@ -207,17 +207,6 @@ def item_cosine(spark, sf_dir):
     return rounded(cohesion.bucket_cosine(item_vectors(spark, sf_dir)), "weighted_sim", "unweighted_sim")
 
 
-@query(
-    "item_cosine_capped",
-    _summed_sql(
-        f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY idx) AS rn FROM ({ITEM_VECTORS_SQL})) WHERE rn <= 512"
-    ),
-)
-def item_cosine_capped(spark, sf_dir):
-    out = cohesion.bucket_cosine(item_vectors(spark, sf_dir), cap=512)
-    return rounded(out, "weighted_sim", "unweighted_sim")
-
-
 @query(
     "blend_vectors",
     """SELECT vec_id AS idx, round(0.2 * ((e[1] + e[2] + e[3]) / 3) + 0.8 * e[4], 6) AS head FROM (

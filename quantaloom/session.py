@@ -30,21 +30,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable shared storage and drop its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session without
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session without
     that setting (a test) gets a temporary folder of its own.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quantaloom-checkpoint-"))
+        context.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one for local sessions that name none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quantaloom-")
+
+
 def fits_broadcast(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_LIMIT) -> bool:
-    """True when at most ``limit`` bytes would be shipped; counts no further than the bound."""
-    allowed = max(limit // max(bytes_per_row, 1), 1)
-    return df.limit(allowed + 1).count() <= allowed
+    """True when at most ``limit`` bytes would be shipped."""
+    return df.count() <= max(limit // max(bytes_per_row, 1), 1)
 
 
 def broadcast_if_small(

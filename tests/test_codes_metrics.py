@@ -110,7 +110,7 @@ def test_unpack_bits_with_uneven_widths(spark):
     assert df.select(K.unpack_bits(F.col("v"), [4, 4, 10])).head()[0] == [5, 9, 1023]
 
 
-def brute_cosine(x, codes, level, cap=None):
+def brute_cosine(x, codes, level):
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     unit = x / np.where(norm == 0, 1, norm)
     buckets = {}
@@ -118,7 +118,6 @@ def brute_cosine(x, codes, level, cap=None):
         buckets.setdefault(tuple(c[:level]), []).append(i)
     sims, pairs = [], []
     for rows in buckets.values():
-        rows = rows[:cap] if cap else rows
         if len(rows) > 1:
             s = unit[rows] @ unit[rows].T
             sims.append(s[np.triu_indices(len(rows), 1)].mean())
@@ -127,16 +126,22 @@ def brute_cosine(x, codes, level, cap=None):
 
 
 @pytest.mark.parametrize("dim", [5, 300])
-@pytest.mark.parametrize("cap", [None, 4])
-def test_cosine_equals_pairs(spark, dim, cap):
+def test_cosine_equals_pairs(spark, dim):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, dim))
     x[3] = 0
     codes = rng.integers(0, 3, size=(60, 2))
     rows = [(i, [int(v) for v in codes[i]], [float(v) for v in x[i]]) for i in range(60)]
     df = spark.createDataFrame(rows, "idx bigint, codes array<int>, embedding array<double>").repartition(5)
-    for r in cohesion.bucket_cosine(df, cap=cap).collect():
-        assert (r.weighted_sim, r.unweighted_sim) == pytest.approx(brute_cosine(x, codes, r.level, cap), abs=1e-6)
+    for r in cohesion.bucket_cosine(df).collect():
+        assert (r.weighted_sim, r.unweighted_sim) == pytest.approx(brute_cosine(x, codes, r.level), abs=1e-6)
+
+
+def test_a_level_without_pairs_has_similarity_zero(spark):
+    rows = [(0, [1, 1], [1.0, 0.0]), (1, [1, 2], [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "idx bigint, codes array<int>, embedding array<double>")
+    got = {r.level: (r.bucket_count, r.pairs, r.weighted_sim, r.unweighted_sim) for r in cohesion.bucket_cosine(df).collect()}
+    assert got == {1: (1, 1, 1.0, 1.0), 2: (0, 0, 0.0, 0.0)}
 
 
 def test_cosine_levels_and_domains(spark):
@@ -150,22 +155,22 @@ def test_cosine_levels_and_domains(spark):
     assert [r.level for r in only] == [1]
 
 
-def brute_jaccard(sets, cap=None):
-    sets = [s for s in sets if s][:cap]
+def brute_jaccard(sets):
+    sets = [s for s in sets if s]
     values = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2)]
     return np.mean(values) if values else None
 
 
-@pytest.mark.parametrize("cap,block", [(None, 256), (None, 4), (9, 4)])
-def test_jaccard_equals_pairs(spark, cap, block):
+@pytest.mark.parametrize("block", [256, 4])
+def test_jaccard_equals_pairs(spark, block):
     rnd = random.Random(3)
     tags = [";".join(rnd.sample("abcdef", rnd.randint(0, 4))) for _ in range(80)]
     # one bucket holds most of the rows, with many equal sets
     codes = [(0 if rnd.random() < 0.7 else rnd.randint(1, 3),) for _ in range(80)]
     df = frame(spark, codes, tags=tags).repartition(4)
-    got = {r.c1: r for r in content.jaccard(df, 1, "tags", cap=cap, block=block).collect()}
+    got = {r.c1: r for r in content.jaccard(df, 1, "tags", block=block).collect()}
     for code in {c[0] for c in codes}:
-        want = brute_jaccard([set(filter(None, t.split(";"))) for t, c in zip(tags, codes) if c[0] == code], cap)
+        want = brute_jaccard([set(filter(None, t.split(";"))) for t, c in zip(tags, codes) if c[0] == code])
         if want is None:
             assert code not in got
         else:

@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
-from quantaloom.plans import training_queries
+from quantaloom.plans import catalog, training_queries
 from tools.check_oracle import TABLES, compare
 
 # trained codebooks are covered by the operator tests; the rest runs here
-SLOW = {n for n, f in spark_entry.queries().items() if f.__module__ == training_queries.__name__ and "training" in n}
+SLOW = {n for n, f in catalog.QUERIES.items() if f.__module__ == training_queries.__name__ and "training" in n}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def con(sf_dir):
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(spark_entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
 def test_query(spark, con, sf_dir, name):
     line = compare(spark, con, name, sf_dir)
     assert line.startswith(("ok", "rows")), line
