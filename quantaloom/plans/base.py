@@ -194,7 +194,7 @@ def two_level_codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(first.unionByName(mean_codebook(left, "slot", 2, "residual")))
 
 
-def _minus(a: str, b: str) -> str:
+def minus_sql(a: str, b: str) -> str:
     return f"list_transform(list_zip({a}, {b}), lambda z: z[1] - z[2])"
 
 
@@ -205,7 +205,7 @@ cb1 AS (SELECT label AS code, list(m ORDER BY pos) AS centroid
         FROM (SELECT label, pos, avg(val) AS m FROM ve GROUP BY label, pos) GROUP BY label),
 n1 AS (SELECT idx, arg_min(code, d) AS code, min(d) AS d
        FROM (SELECT idx, code, list_distance(x, centroid) AS d FROM v, cb1) GROUP BY idx),
-r1 AS (SELECT v.idx, v.label, v.x, n1.code AS c1, {_minus('v.x', 'cb1.centroid')} AS r
+r1 AS (SELECT v.idx, v.label, v.x, n1.code AS c1, {minus_sql('v.x', 'cb1.centroid')} AS r
        FROM v JOIN n1 ON v.idx = n1.idx JOIN cb1 ON n1.code = cb1.code),
 re AS (SELECT idx % 16 AS slot, unnest(r) AS val, generate_subscripts(r, 1) AS pos FROM r1),
 cb2 AS (SELECT slot AS code, list(m ORDER BY pos) AS centroid
@@ -213,7 +213,7 @@ cb2 AS (SELECT slot AS code, list(m ORDER BY pos) AS centroid
 n2 AS (SELECT idx, arg_min(code, d) AS code, min(d) AS d
        FROM (SELECT r1.idx, cb2.code, list_distance(r, centroid) AS d FROM r1, cb2) GROUP BY idx),
 coded AS (SELECT r1.idx, r1.label, r1.x, r1.c1::INT AS c1, n2.code::INT AS c2, n2.d * n2.d AS err,
-                 {_minus('r1.r', 'cb2.centroid')} AS r2
+                 {minus_sql('r1.r', 'cb2.centroid')} AS r2
           FROM r1 JOIN n2 ON r1.idx = n2.idx JOIN cb2 ON n2.code = cb2.code)
 """
 

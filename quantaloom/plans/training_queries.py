@@ -1,7 +1,8 @@
 """Queries over trained codebooks and balanced assignment.
 
-Training has no closed form in SQL, so these return facts that must hold whatever the centroids are:
-sizes, exact usage, and errors that may not grow. Each is computed from the whole vector table.
+Training has no closed form in SQL, so these return facts that must hold whatever the centroids are: sizes, exact
+usage, errors that may not grow, and the error of the one mean vector, which SQL computes too and which every
+trained codebook must beat by a stated factor. Each is computed from the whole vector table.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from quantaloom.operators import assign, balance, metrics, training
 from quantaloom.plans.base import (
     VECTOR_CTES,
     mean_codebook,
+    minus_sql,
     query,
     rounded,
     scratch,
@@ -21,7 +23,7 @@ from quantaloom.plans.base import (
     vectors,
     with_ctes,
 )
-from quantaloom.plans.vector_queries import _EMA
+from quantaloom.plans.vector_queries import _EMA, ITEM_VECTORS_SQL, item_vectors
 from quantaloom.session import cut
 from quantaloom.streaming.upkeep import CodebookUpkeep, encode_stream
 
@@ -29,6 +31,27 @@ K, LEVELS, ITERS = 16, 2, 5
 
 
 
+# squared error of the mean vector, summed over all rows
+MEAN_ERROR = "(SELECT round(sum(d), 3) FROM (SELECT pos, sum((val - m) ** 2) AS d FROM (SELECT pos, val, avg(val) OVER (PARTITION BY pos) AS m FROM ve) GROUP BY pos))"
+
+
+def mean_error(rows):
+    """One row: the error above."""
+    mean = mean_codebook(rows.withColumn("all", F.lit(0)), "all", 1)
+    return assign.encode(rows.select("idx", "embedding"), mean).agg(F.sum("sq_error").alias("mean_error"))
+
+
+def beside_mean(errors, rows, factor: float):
+    """``errors`` (with ``sq_error``) and the rounded mean error, and whether the first is below ``factor`` of it."""
+    both = errors.withColumn("one", F.lit(1)).join(F.broadcast(mean_error(rows).withColumn("one", F.lit(1))), "one").drop("one")
+    below = (F.col("sq_error") < F.col("mean_error") * factor).alias("below")
+    return both.select(*[c for c in errors.columns if c != "sq_error"], F.round("mean_error", 3).alias("mean_error"), below)
+
+
+def part_error(coded, vector: str = "embedding"):
+    return coded.agg(F.count("*").alias("n"), F.sum(V.sq_l2(F.col(vector), F.col("decoded"))).alias("sq_error"))
+
+
 def level_errors(df, books, levels: int):
     """``level, n, codes, sq_error`` after each number of levels."""
     out = None
@@ -46,23 +69,23 @@ def level_errors(df, books, levels: int):
 
 @query(
     "kmeans_codebook",
-    f"SELECT {K}::BIGINT AS codes, 64::INT AS dim, count(*)::BIGINT AS n, true AS better_than_mean FROM embeddings",
+    with_ctes(f"SELECT {K}::BIGINT AS codes, 64::INT AS dim, count(*)::BIGINT AS n, {MEAN_ERROR} AS mean_error, true AS below FROM embeddings", VECTOR_CTES),
 )
 def kmeans_codebook(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     book = cut(training.fit_codebook(rows, K, ITERS))
-    mean = mean_codebook(rows.withColumn("all", F.lit(0)), "all", 1)
-    fitted = assign.encode(rows, book).agg(F.count("*").alias("n"), F.sum("sq_error").alias("e"))
-    plain = assign.encode(rows, mean).agg(F.sum("sq_error").alias("m"))
-    shape = book.agg(F.count("*").alias("codes"), F.max(F.size("centroid")).alias("dim"))
-    one = [d.withColumn("one", F.lit(1)) for d in (shape, fitted, plain)]
-    return one[0].join(one[1], "one").join(one[2], "one").select("codes", "dim", "n", (F.col("e") < F.col("m")).alias("better_than_mean"))
+    fitted = assign.encode(rows, book).agg(F.count("*").alias("n"), F.sum("sq_error").alias("sq_error"), F.lit(1).alias("one"))
+    shape = book.agg(F.count("*").alias("codes"), F.max(F.size("centroid")).alias("dim"), F.lit(1).alias("one"))
+    return beside_mean(shape.join(fitted, "one").drop("one"), rows, 0.95)
 
 
 @query(
     "residual_training",
-    f"""SELECT level::INT AS level, count(*)::BIGINT AS n, true AS codes_in_range, true AS error_not_larger
+    with_ctes(
+        f"""SELECT level::INT AS level, count(*)::BIGINT AS n, true AS codes_in_range, true AS error_not_larger, {MEAN_ERROR} AS mean_error, true AS below
 FROM embeddings, (VALUES (1), (2)) l(level) GROUP BY level""",
+        VECTOR_CTES,
+    ),
 )
 def residual_training(spark, sf_dir):
     from pyspark.sql import Window
@@ -70,12 +93,14 @@ def residual_training(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     errors = level_errors(rows, cut(training.fit_rq(rows, [K] * LEVELS, ITERS)), LEVELS)
     before = F.lag("sq_error").over(Window.orderBy("level"))
-    return errors.select(
+    checked = errors.select(
         "level",
         "n",
         (F.col("top") < K).alias("codes_in_range"),
         F.coalesce(F.col("sq_error") <= before, F.lit(True)).alias("error_not_larger"),
+        "sq_error",
     )
+    return beside_mean(checked, rows, 0.95)
 
 
 @query(
@@ -92,20 +117,34 @@ def trained_codes_summary(spark, sf_dir):
 
 @query(
     "balanced_init_training",
-    f"""SELECT level::INT AS level, {K}::BIGINT AS codes, (SELECT count(*) FROM embeddings)::BIGINT AS n FROM (VALUES (1), (2)) l(level)""",
+    with_ctes(
+        f"""SELECT level::INT AS level, {K}::BIGINT AS codes, (SELECT count(*) FROM embeddings)::BIGINT AS n, {MEAN_ERROR} AS mean_error, true AS below
+FROM (VALUES (1), (2)) l(level)""",
+        VECTOR_CTES,
+    ),
 )
 def balanced_init_training(spark, sf_dir):
     rows = vectors(spark, sf_dir).withColumn("domain", F.when(F.col("label") < 3, "station").otherwise("video"))
     books = cut(training.fit_rq_balanced(rows, [K] * LEVELS, ("station", "video"), iters=ITERS))
-    coded = assign.encode(rows, books).agg(F.count("*").alias("n"), F.lit(1).alias("one"))
+    coded = assign.encode(rows, books).agg(F.count("*").alias("n"), F.sum("sq_error").alias("sq_error"), F.lit(1).alias("one"))
     sizes = books.groupBy("level").agg(F.count("*").alias("codes")).withColumn("one", F.lit(1))
-    return sizes.join(coded, "one").select("level", "codes", "n")
+    return beside_mean(sizes.join(coded, "one").select("level", "codes", "n", "sq_error"), rows, 0.95)
 
 
-@query("product_training", f"SELECT part::INT AS part, {K}::BIGINT AS codes, 32::INT AS dim FROM (VALUES (1), (2)) p(part)")
+@query(
+    "product_training",
+    with_ctes(
+        f"""SELECT part::INT AS part, {K}::BIGINT AS codes, 32::INT AS dim, (SELECT count(*) FROM embeddings)::BIGINT AS n, {MEAN_ERROR} AS mean_error,
+true AS below FROM (VALUES (1), (2)) p(part)""",
+        VECTOR_CTES,
+    ),
+)
 def product_training(spark, sf_dir):
-    book = training.fit_pq(vectors(spark, sf_dir), 2, K, ITERS)
-    return book.groupBy("part").agg(F.count("*").alias("codes"), F.max(F.size("centroid")).alias("dim"))
+    rows = vectors(spark, sf_dir)
+    book = cut(training.fit_pq(rows, 2, K, ITERS))
+    shape = book.groupBy("part").agg(F.count("*").alias("codes"), F.max(F.size("centroid")).alias("dim")).withColumn("one", F.lit(1))
+    error = part_error(training.encode_parts(rows, book)).withColumn("one", F.lit(1))
+    return beside_mean(shape.join(error, "one").drop("one"), rows, 0.95)
 
 
 @query(
@@ -115,7 +154,7 @@ def product_training(spark, sf_dir):
 def rotated_product_training(spark, sf_dir):
     """The rotation is orthogonal, and the rotated quantizer is no worse than a twentieth above the plain one."""
     rows = vectors(spark, sf_dir).drop("label")
-    rotation, parts = training.fit_opq(rows, 2, K, niter=2, iters=ITERS)
+    rotation, parts = training.fit_opq(rows, 2, K, iters=ITERS)
     orthogonal = bool(np.abs(rotation @ rotation.T - np.eye(len(rotation))).max() < 1e-8)
 
     def error(book, turn, name):
@@ -132,31 +171,42 @@ def rotated_product_training(spark, sf_dir):
 
 @query(
     "composite_training",
-    "SELECT count(*)::BIGINT AS n, 3::INT AS levels, true AS in_range FROM embeddings",
+    with_ctes(f"SELECT count(*)::BIGINT AS n, 5::INT AS levels, true AS in_range, {MEAN_ERROR} AS mean_error, true AS below FROM embeddings", VECTOR_CTES),
 )
 def composite_training(spark, sf_dir):
+    """Three residual levels, then a rotated product quantizer of two parts; the error of all five codes."""
     rows = vectors(spark, sf_dir)
-    book, rotation, parts = training.fit_rq_pq(rows, [K], m=2, k=K, niter=1, iters=ITERS)
-    coded = training.encode_rq_pq(rows, cut(book), rotation, cut(parts))
-    return coded.agg(
+    book, rotation, parts = training.fit_rq_pq(rows, [K, K, K], m=2, k=K, iters=ITERS)
+    book, parts = cut(book), cut(parts)
+    coded = training.encode_rq_pq(rows, book, rotation, parts)
+    left = training.subtract_nearest(rows.select("idx", "embedding"), book, "embedding")
+    error = part_error(training.encode_parts(training.rotate(left, rotation), parts)).withColumn("one", F.lit(1)).drop("n")
+    shape = coded.agg(
         F.count("*").alias("n"),
         F.max(F.size("codes")).alias("levels"),
         (F.max(F.array_max("codes")) < K).alias("in_range"),
+        F.lit(1).alias("one"),
     )
+    return beside_mean(shape.join(error, "one").drop("one"), rows, 0.8)
 
 
 @query(
     "subspace_training",
-    f"SELECT level::INT AS level, count(*)::BIGINT AS n, true AS in_range FROM embeddings, generate_series(1, 4) l(level) GROUP BY level",
+    with_ctes(
+        f"""SELECT level::INT AS level, count(*)::BIGINT AS n, true AS in_range, {MEAN_ERROR} AS mean_error, true AS below
+FROM embeddings, generate_series(1, 4) l(level) GROUP BY level""",
+        VECTOR_CTES,
+    ),
 )
 def subspace_training(spark, sf_dir):
-    """Two parts with two levels each; usage of the four code columns."""
+    """Two parts with two levels each; usage of the four code columns, and the error of all of them."""
     rows = vectors(spark, sf_dir)
     book = cut(training.fit_subspace_rq(rows, 2, [8, 8], ITERS))
-    counts = metrics.code_counts(training.encode_parts(rows, book).select("codes"), levels=4)
-    return counts.groupBy("level").agg(
-        F.sum("n").cast("bigint").alias("n"), (F.max("code") < 8).alias("in_range")
-    )
+    coded = training.encode_parts(rows, book)
+    counts = metrics.code_counts(coded.select("codes"), levels=4)
+    used = counts.groupBy("level").agg(F.sum("n").cast("bigint").alias("n"), (F.max("code") < 8).alias("in_range"), F.lit(1).alias("one"))
+    error = part_error(coded).withColumn("one", F.lit(1)).drop("n")
+    return beside_mean(used.join(error, "one").drop("one"), rows, 0.95)
 
 
 @query(
@@ -196,22 +246,78 @@ def temperature_estimate(spark, sf_dir):
     return rounded(rows.select(F.lit(tau).alias("tau")).limit(1), "tau")
 
 
-@query("batch_balanced_codes")
+# item vectors, shifted a little by row so that all distances differ: more rows than embeddings has
+SHIFTED = "list_transform(x, lambda v: v + (idx % 97) * 0.001)"
+
+
+@query(
+    "temperature_of_items",
+    with_ctes(
+        f"""SELECT round(greatest(median(p) * 0.1, 1e-6), 9) AS tau FROM (SELECT idx, quantile_cont(d - low, 0.9) AS p FROM (
+SELECT idx, d, min(d) OVER (PARTITION BY idx) AS low FROM (
+SELECT idx, list_distance({SHIFTED}, centroid) ** 2 AS d FROM ({ITEM_VECTORS_SQL}), cb1)) GROUP BY idx)""",
+        VECTOR_CTES,
+    ),
+)
+def temperature_of_items(spark, sf_dir):
+    shifted = F.transform("embedding", lambda v: v.cast("double") + (F.col("idx") % 97) * F.lit(0.001))
+    items = item_vectors(spark, sf_dir).select("idx", shifted.alias("embedding"))
+    tau = balance.estimate_tau(items, cut(mean_codebook(vectors(spark, sf_dir), "label", 1)), "embedding")
+    return rounded(items.select(F.lit(tau).alias("tau")).limit(1), "tau", digits=9)
+
+
+def _balanced_ctes(name: str, distances: str, epsilon: float, center: str, iters: int = 2) -> str:
+    """CTEs that end in ``name(idx, code)``: transport inside batches ``b`` over rows (idx, b, code, d), spelled out."""
+    if center == "global":
+        middle = "((max(d) OVER w + min(d) OVER w) / 2)"
+        scaled, window = f"(d - {middle}) / (max(d) OVER w - {middle} + 1e-5)", "b"
+    else:
+        scaled, window = "(d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w + 1e-8)", "idx"
+    steps = [
+        f"""{name}_0 AS (SELECT idx, b, code, exp(-({scaled}) / {epsilon}) AS k, 1.0::DOUBLE AS c,
+count(*) OVER (PARTITION BY idx) AS m, count(*) OVER (PARTITION BY b) / count(*) OVER (PARTITION BY idx) AS n
+FROM {distances} WINDOW w AS (PARTITION BY {window}))"""
+    ]
+    for i in range(iters):
+        steps.append(
+            f"""{name}_{i + 1} AS (SELECT idx, b, code, k, 1 / (m * sum(k / (n * s)) OVER (PARTITION BY b, code)) AS c, m, n
+FROM (SELECT *, sum(k * c) OVER (PARTITION BY idx) AS s FROM {name}_{i}))"""
+        )
+    return ",\n".join([*steps, f"{name} AS (SELECT idx, arg_max(code, k * c) AS code FROM {name}_{iters} GROUP BY idx)"])
+
+
+@query(
+    "batch_balanced_codes",
+    with_ctes(
+        "SELECT r1.idx, r1.c1::INT AS c1, s2.code::INT AS c2 FROM r1 JOIN s2 USING (idx)",
+        VECTOR_CTES,
+        "d2 AS (SELECT r1.idx, r1.idx // 256 AS b, cb2.code, list_distance(r, centroid) ** 2 AS d FROM r1, cb2)",
+        _balanced_ctes("s2", "d2", 0.003, "global"),
+    ),
+)
 def batch_balanced_codes(spark, sf_dir):
-    """Mini-batch transport at the second level only; usage per batch."""
+    """Mini-batch transport at the second level only, two steps of it."""
     rows, book = vectors(spark, sf_dir), two_level_codebook(spark, sf_dir)
-    out = assign.sinkhorn_batch(rows, book, [0.0, 0.003], iters=50, batch_size=256)
-    usage = out.groupBy(F.floor(F.col("idx") / 256).alias("batch"), F.get("codes", F.lit(1)).alias("code")).agg(F.count("*").alias("n"))
-    return usage.groupBy("batch").agg(
-        F.sum("n").cast("bigint").alias("rows"), F.count("*").alias("used"), F.max("n").cast("bigint").alias("largest")
-    )
+    out = assign.sinkhorn_batch(rows, book, [0.0, 0.003], iters=2, batch_size=256)
+    return out.select("idx", F.get("codes", F.lit(0)).alias("c1"), F.get("codes", F.lit(1)).alias("c2"))
 
 
-@query("row_centred_batch_codes")
+@query(
+    "row_centred_batch_codes",
+    with_ctes(
+        "SELECT s1.idx, s1.code::INT AS c1, s2.code::INT AS c2 FROM s1 JOIN s2 USING (idx)",
+        VECTOR_CTES,
+        "d1 AS (SELECT idx, idx // 256 AS b, code, list_distance(x, centroid) ** 2 AS d FROM v, cb1)",
+        _balanced_ctes("s1", "d1", 0.05, "row"),
+        f"left1 AS (SELECT v.idx, {minus_sql('v.x', 'cb1.centroid')} AS r FROM v JOIN s1 ON v.idx = s1.idx JOIN cb1 ON s1.code = cb1.code)",
+        "d2 AS (SELECT idx, idx // 256 AS b, code, list_distance(r, centroid) ** 2 AS d FROM left1, cb2)",
+        _balanced_ctes("s2", "d2", 0.05, "row"),
+    ),
+)
 def row_centred_batch_codes(spark, sf_dir):
     rows, book = vectors(spark, sf_dir), two_level_codebook(spark, sf_dir)
-    out = assign.sinkhorn_batch(rows, book, [0.05, 0.05], iters=50, batch_size=256, center="row")
-    return out.groupBy(F.get("codes", F.lit(0)).alias("c1")).agg(F.count("*").alias("n"))
+    out = assign.sinkhorn_batch(rows, book, [0.05, 0.05], iters=2, batch_size=256, center="row")
+    return out.select("idx", F.get("codes", F.lit(0)).alias("c1"), F.get("codes", F.lit(1)).alias("c2"))
 
 
 def vector_stream(spark, sf_dir):
