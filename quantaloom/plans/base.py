@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantaloom.functions.fields import pack_hardcode
@@ -218,5 +218,19 @@ coded AS (SELECT r1.idx, r1.label, r1.x, r1.c1::INT AS c1, n2.code::INT AS c2, n
 """
 
 
+# two sums over all components of a vector, weighted by place and by its square: linear, so sums and means keep them
+def whole_sql(x: str, around: str = "{}") -> str:
+    sums = [around.format(f"list_sum(list_transform({x}, lambda e, i: e * {w}))") for w in ("i", "i * i")]
+    return f"round({sums[0]}, 4) AS w1, round({sums[1]}, 4) AS w2"
+
+
+def whole(vector: str) -> list[Column]:
+    def total(power: int) -> Column:
+        weighted = F.transform(vector, lambda e, i: e.cast("double") * F.pow(i + 1, F.lit(power)))
+        return F.round(F.aggregate(weighted, F.lit(0.0), lambda a, e: a + e), 4)
+
+    return [total(1).alias("w1"), total(2).alias("w2")]
+
+
 def with_ctes(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body

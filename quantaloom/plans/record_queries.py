@@ -18,6 +18,8 @@ from quantaloom.plans.base import (
     rounded,
     scratch,
     table,
+    whole,
+    whole_sql,
 )
 from quantaloom.sources import jsonl, sinks
 from quantaloom.sources.vectors import read_vectors
@@ -482,10 +484,10 @@ def metrics_tree_round_trip(spark, sf_dir):
     return spark.read.schema("n bigint, used bigint, run string, strategy string").json(path).select("run", "strategy", "n", "used")
 
 
-@query("vector_scan", "SELECT vec_id AS idx, len(embedding)::INT AS dim, round(embedding[1]::DOUBLE, 6) AS head FROM embeddings")
+@query("vector_scan", f"SELECT vec_id AS idx, len(embedding)::INT AS dim, {whole_sql('embedding::DOUBLE[]')} FROM embeddings")
 def vector_scan(spark, sf_dir):
     rows = read_vectors(spark, f"{sf_dir}/embeddings.parquet", idx="vec_id")
-    return rows.select("idx", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("head"))
+    return rows.select("idx", F.size("embedding").alias("dim"), *whole("embedding"))
 
 
 # -- joins --------------------------------------------------------------------------------------------

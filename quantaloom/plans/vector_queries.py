@@ -11,12 +11,15 @@ from quantaloom.plans.base import (
     ORDER_CODES_SQL,
     VECTOR_CTES,
     mean_codebook,
+    minus_sql,
     order_codes,
     query,
     rounded,
     table,
     two_level_codebook,
     vectors,
+    whole,
+    whole_sql,
     with_ctes,
 )
 from quantaloom.sources import sinks
@@ -53,29 +56,25 @@ _SQ = "list_sum(list_transform({x}, lambda e: e * e))"
 
 @query(
     "residual_after_first_level",
-    with_ctes(f"SELECT idx, round({_SQ.format(x='r')}, 6) AS sq_residual, round(r[1], 6) AS head FROM r1", VECTOR_CTES),
+    with_ctes(f"SELECT idx, round({_SQ.format(x='r')}, 6) AS sq_residual, {whole_sql('r')} FROM r1", VECTOR_CTES),
 )
 def residual_after_first_level(spark, sf_dir):
     rows, book = vectors(spark, sf_dir), two_level_codebook(spark, sf_dir)
     left = assign.residual(assign.encode(rows, book), book, upto=1)
-    out = left.select("idx", V.sq_norm(F.col("residual")).alias("sq_residual"), F.get("residual", F.lit(0)).alias("head"))
-    return rounded(out, "sq_residual", "head")
+    out = left.select("idx", V.sq_norm(F.col("residual")).alias("sq_residual"), *whole("residual"))
+    return rounded(out, "sq_residual")
 
 
 @query(
     "decode_codes",
     with_ctes(
-        f"""SELECT idx, round(x[1] - r2[1], 6) AS head, round(x[64] - r2[64], 6) AS tail FROM coded""", VECTOR_CTES
+        f"""SELECT idx, {whole_sql("dec")} FROM (SELECT idx, {minus_sql("x", "r2")} AS dec FROM coded)""", VECTOR_CTES
     ),
 )
 def decode_codes(spark, sf_dir):
     book = two_level_codebook(spark, sf_dir)
     out = assign.decode(assign.encode(vectors(spark, sf_dir), book), book)
-    return out.select(
-        "idx",
-        F.round(F.get("decoded", F.lit(0)), 6).alias("head"),
-        F.round(F.get("decoded", F.lit(63)), 6).alias("tail"),
-    )
+    return out.select("idx", *whole("decoded"))
 
 
 @query(
@@ -107,15 +106,14 @@ def absolute_error(spark, sf_dir):
 @query(
     "code_statistics",
     with_ctes(
-        """SELECT c1 AS code, count(*)::BIGINT AS n, round(sum(x[1]), 6) AS head, round(sum(x[64]), 6) AS tail FROM coded GROUP BY c1""",
+        f"""SELECT c1 AS code, count(*)::BIGINT AS n, {whole_sql("x", "sum({})")} FROM coded GROUP BY c1""",
         VECTOR_CTES,
     ),
 )
 def code_statistics(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     stats = assign.code_stats(assign.nearest(rows, mean_codebook(rows, "label", 1)))
-    out = stats.select("code", "n", F.get("vec_sum", F.lit(0)).alias("head"), F.get("vec_sum", F.lit(63)).alias("tail"))
-    return rounded(out, "head", "tail")
+    return stats.select("code", "n", *whole("vec_sum"))
 
 
 @query(
@@ -209,13 +207,14 @@ def item_cosine(spark, sf_dir):
 
 @query(
     "blend_vectors",
-    """SELECT vec_id AS idx, round(0.2 * ((e[1] + e[2] + e[3]) / 3) + 0.8 * e[4], 6) AS head FROM (
-SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
+    f"""SELECT idx, {whole_sql("m")} FROM (SELECT vec_id AS idx, list_transform(range(1, 62),
+lambda i: 0.2 * ((e[i] + e[i + 1] + e[i + 2]) / 3) + 0.8 * e[i + 3]) AS m FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings))""",
 )
 def blend_vectors(spark, sf_dir):
-    parts = [F.slice("embedding", i + 1, 60) for i in range(4)]
+    """Four overlapping parts of 61 components, which cover all 64."""
+    parts = [F.slice("embedding", i + 1, 61) for i in range(4)]
     mixed = V.blend(parts[:3], parts[3], 0.2, 0.8)
-    return vectors(spark, sf_dir).select("idx", F.round(F.get(mixed, F.lit(0)), 6).alias("head"))
+    return vectors(spark, sf_dir).select("idx", mixed.alias("m")).select("idx", *whole("m"))
 
 
 @query(
@@ -234,16 +233,14 @@ def subvectors(spark, sf_dir):
 
 @query(
     "zero_filled_vectors",
-    """SELECT doc_id AS idx, embedding IS NULL AS filled, round(coalesce(embedding[1]::DOUBLE, 0), 6) AS head
+    f"""SELECT doc_id AS idx, embedding IS NULL AS filled, {whole_sql("embedding::DOUBLE[]", "coalesce({}, 0.0)::DOUBLE")}
 FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
 )
 def zero_filled_vectors(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"))
     joined = docs.join(vectors(spark, sf_dir).drop("label"), "idx", "left")
     vec = V.zero_fill(F.col("embedding"), 64)
-    return joined.select(
-        "idx", F.col("embedding").isNull().alias("filled"), F.round(F.get(vec, F.lit(0)).cast("double"), 6).alias("head")
-    )
+    return joined.select("idx", F.col("embedding").isNull().alias("filled"), vec.alias("vec")).select("idx", "filled", *whole("vec"))
 
 
 @query(
@@ -308,20 +305,21 @@ def balanced_sample(spark, sf_dir):
 @query(
     "codebook_with_placeholder",
     with_ctes(
-        """SELECT level::INT AS level, code::INT AS code, round(h, 6) AS head FROM (
-SELECT 1 AS level, code, centroid[1] AS h FROM cb1 UNION ALL SELECT 2, code, centroid[1] FROM cb2 UNION ALL SELECT 3, code, 0.0 FROM cb1)""",
+        f"""SELECT level::INT AS level, code::INT AS code, {whole_sql("h")} FROM (
+SELECT 1 AS level, code, centroid AS h FROM cb1 UNION ALL SELECT 2, code, centroid FROM cb2
+UNION ALL SELECT 3, code, list_transform(centroid, lambda e: 0.0::DOUBLE) FROM cb1)""",
         VECTOR_CTES,
     ),
 )
 def codebook_with_placeholder(spark, sf_dir):
     out = sinks.with_placeholder(two_level_codebook(spark, sf_dir))
-    return out.select("level", "code", F.round(F.get("centroid", F.lit(0)), 6).alias("head"))
+    return out.select("level", "code", *whole("centroid"))
 
 
 @query(
     "factored_codebook",
     with_ctes(
-        """SELECT o AS code, round(sum(w * centroid[1]), 6) AS head, round(sum(w * centroid[64]), 6) AS tail FROM (
+        f"""SELECT o AS code, {whole_sql("centroid", "sum(w * {})")} FROM (
 SELECT label AS o, idx % 10 AS b, count(*)::DOUBLE AS w FROM v GROUP BY ALL) JOIN cb1 ON cb1.code = b GROUP BY o""",
         VECTOR_CTES,
     ),
@@ -333,9 +331,7 @@ def factored_codebook(spark, sf_dir):
         F.count("*").cast("double").alias("weight")
     )
     basis = mean_codebook(rows, "label", 1).select(F.col("code").alias("basis_id"), F.col("centroid").alias("vector"))
-    out = training.materialize_codebook(weights, basis)
-    out = out.select("code", F.get("centroid", F.lit(0)).alias("head"), F.get("centroid", F.lit(63)).alias("tail"))
-    return rounded(out, "head", "tail")
+    return training.materialize_codebook(weights, basis).select("code", *whole("centroid"))
 
 
 _EMA = """st AS (SELECT c1 AS code, count(*) AS n, sum(x[1]) AS s FROM coded GROUP BY c1),
@@ -449,12 +445,11 @@ def dense_scoring(spark, sf_dir):
 
 @query(
     "vector_sums_by_label",
-    "SELECT label, round(sum(embedding[1]::DOUBLE), 6) AS head, round(sum(embedding[64]::DOUBLE), 6) AS tail, count(*)::BIGINT AS n FROM embeddings GROUP BY label",
+    f"SELECT label, {whole_sql('embedding::DOUBLE[]', 'sum({})')}, count(*)::BIGINT AS n FROM embeddings GROUP BY label",
 )
 def vector_sums_by_label(spark, sf_dir):
     out = sums.vector_sum(vectors(spark, sf_dir), ["label"], "embedding", 64, [("n", F.count("*"))])
-    out = out.select("label", F.get("vec_sum", F.lit(0)).alias("head"), F.get("vec_sum", F.lit(63)).alias("tail"), "n")
-    return rounded(out, "head", "tail")
+    return out.select("label", *whole("vec_sum"), "n")
 
 
 @query(
