@@ -39,7 +39,7 @@ def parse_token(t: Column, strict: bool = True) -> Column:
     if strict:
         code = F.regexp_extract(t, TOKEN_PATTERN, 2).try_cast("int")
         return F.when(t.rlike(TOKEN_PATTERN), code).otherwise(
-            F.raise_error(F.concat(F.lit("bad index token: "), F.coalesce(t, F.lit("null"))))
+            F.raise_error(F.concat(F.lit("not a level token: "), F.coalesce(t, F.lit("null"))))
         )
     return F.regexp_replace(F.substring_index(t, "_", -1), ".$", "").try_cast("int")
 
@@ -48,15 +48,6 @@ def parse_sid(c: Column, strict: bool = True) -> Column:
     return F.transform(c, lambda t: parse_token(t, strict))
 
 
-def codes_of(indices: Column, tokens: Column, sid: Column, strict: bool = True) -> Column:
-    """First non-empty of integer ``indices``, ``tokens`` and ``sid`` as an array of codes."""
-    return F.coalesce(
-        F.when(F.size(indices) > 0, indices.cast("array<int>")),
-        F.when(F.size(tokens) > 0, parse_sid(tokens, strict)),
-        F.when(F.size(sid) > 0, parse_sid(sid, strict)),
-    )
-
-
 def require_levels(c: Column, levels: int) -> Column:
     """The codes, or a failed job when a row has another number of levels."""
     message = F.concat(F.lit(f"expected {levels} codes, got "), F.coalesce(F.size(c).cast("string"), F.lit("null")))

@@ -28,7 +28,7 @@ EMBEDDED_FIELDS = {
 }
 
 # How title, subtitle and tags are found inside a canonical text.
-MAIN_TITLE_PATTERN = "(主标题：“?.*?”?)(?=[，。,]|$)"
+MAIN_TITLE_PATTERN = "(主标题：[^，。,]*)"
 QUOTED_PATTERN = "{label}：(?:“([^”]*)”?|([^“，。,][^，。,]*))"
 FIELD_LABELS = {"tags": "标签", "subname": "副标题"}
 

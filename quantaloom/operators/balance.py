@@ -145,7 +145,10 @@ def _candidates(
             places, scores = [], []
             for part in _blocks(matrix(batch.column(vector)), len(book.codes)):
                 plan = np.where(usable[None, :], _log_plan(part, book, scaled, tau), -np.inf)
-                order = np.argsort(-plan, axis=1, kind="stable")[:, :width]
+                # the best few without sorting all codes: picked in the order of codes, then by score
+                order = np.sort(np.argpartition(-plan, width - 1, axis=1)[:, :width], axis=1)
+                best = np.argsort(-np.take_along_axis(plan, order, 1), axis=1, kind="stable")
+                order = np.take_along_axis(order, best, 1)
                 places.append(order)
                 scores.append(np.take_along_axis(plan, order, 1))
             if not places:

@@ -19,10 +19,22 @@ from quantaloom.session import broadcast_if_small, cut
 SAMPLE_TITLES, SAMPLE_ROWS, TITLE_CHARS, TEXT_CHARS = 3, 5, 55, 160
 
 
-def _counted(values: DataFrame, top: int) -> DataFrame:
-    """``value, n`` of the most frequent values; ties go to the value seen first."""
-    counts = values.groupBy("value").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
-    return counts.orderBy(F.col("n").desc(), F.col("first_idx")).limit(top)
+def _most(counts: DataFrame, top: int) -> DataFrame:
+    """The most frequent values; ties go to the value seen first."""
+    return counts.select("value", "n", "first_idx").orderBy(F.col("n").desc(), F.col("first_idx")).limit(top)
+
+
+def _totals() -> list[Column]:
+    """Totals over counts by ``ok`` and ``value``."""
+
+    def rows(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).cast("bigint")
+
+    return [
+        rows(F.col("ok")).alias("total"),
+        rows(~F.col("ok")).alias("bad_json"),
+        rows(F.col("ok") & F.col("value").isNull()).alias("missing"),
+    ]
 
 
 def _with_ratio(top: DataFrame, stats: DataFrame) -> DataFrame:
@@ -42,15 +54,13 @@ def value_distribution(
     """
     rows = df.where(F.trim(F.col(raw)) != "").select(F.col(idx).alias("idx"), F.try_parse_json(raw).alias("v"))
     good = rows.select("idx", F.col("v").isNotNull().alias("ok"), F.trim(get_path(F.col("v"), path)).alias("value"))
-    stats = good.agg(
-        F.count_if("ok").alias("total"),
-        F.count_if(F.col("ok") & F.col("value").isNull()).alias("missing"),
-        F.count_if(~F.col("ok")).alias("bad_json"),
-    )
-    kept = good.where(F.col("value").isNotNull())
-    unique = kept.groupBy("value").count().agg(F.count("*").alias("unique"))
-    stats = stats.withColumn("__one", F.lit(1)).join(unique.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return _with_ratio(_counted(kept, top), stats), stats
+    # read and parsed once: values, totals and the number of values all come from these counts
+    counts = cut(good.groupBy("ok", "value").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx")))
+    stats = counts.agg(
+        *_totals(),
+        F.count("value").alias("unique"),
+    ).select("total", "missing", "bad_json", "unique")
+    return _with_ratio(_most(counts.where(F.col("value").isNotNull()), top), stats), stats
 
 
 SALE_PATHS = [
@@ -86,14 +96,15 @@ def first_path_distribution(
     normal = let(found, lambda x: F.struct(_sale_value(F.trim(x["value"])).alias("value"), x["path"].alias("path")))
     picked = rows.select("idx", F.col("v").isNotNull().alias("ok"), normal.alias("pick"))
     flat = picked.select("idx", "ok", F.col("pick.value").alias("value"), F.col("pick.path").alias("path"))
-    stats = flat.agg(
-        F.count_if("ok").alias("total"),
-        F.count_if(~F.col("ok")).alias("bad_json"),
-        F.count_if(F.col("ok") & F.col("value").isNull()).alias("missing"),
-    )
-    kept = flat.where(F.col("value").isNotNull())
-    sources = _with_ratio(_counted(kept.select("idx", F.col("path").alias("value")), len(paths)), stats)
-    return _with_ratio(_counted(kept, top), stats), sources, stats
+    counts = cut(flat.groupBy("ok", "value", "path").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx")))
+    stats = counts.agg(*_totals())
+    kept = counts.where(F.col("value").isNotNull())
+
+    def by(column: str, most: int) -> DataFrame:
+        grouped = kept.groupBy(F.col(column).alias("value")).agg(F.sum("n").alias("n"), F.min("first_idx").alias("first_idx"))
+        return _with_ratio(_most(grouped, most), stats)
+
+    return by("value", top), by("path", len(paths)), stats
 
 
 def _bucketed(df: DataFrame, level: int) -> tuple[DataFrame, list[str]]:

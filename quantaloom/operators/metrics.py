@@ -20,7 +20,9 @@ def level_columns(df: DataFrame, levels: int | None = None, codes: str = "codes"
     if codes in df.columns:
         if levels is None:
             row = df.where(F.col(codes).isNotNull()).select(F.size(codes)).head()
-            levels = row[0] if row else 0
+            if row is None:
+                raise ValueError("no row tells how many codes there are: pass levels")
+            levels = row[0]
         checked = [require_levels(F.col(codes), levels)] + [F.col(codes)] * (levels - 1)
         cols = [F.coalesce(F.get(checked[i], F.lit(i)).cast("int"), F.lit(-1)) for i in range(levels)]
         rest = [c for c in df.columns if c != codes]
@@ -82,6 +84,11 @@ def prefix_buckets(
     return whole.unionByName(grouped.select(*scope, "level", *names, *out))
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b, and 0 where there is nothing to divide."""
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
 def level_metrics(
     df: DataFrame,
     sizes: list[int] | None = None,
@@ -91,7 +98,7 @@ def level_metrics(
 ) -> DataFrame:
     """Core metrics and bucket statistics, one row per level (and group).
 
-    ``sizes`` lists known codebook sizes; missing ones are the largest code plus one, and without any
+    Without any row there are rows of zeros for the ``levels`` given. ``sizes`` lists known codebook sizes; missing ones are the largest code plus one, and without any
     list the first four levels count at least 1024 codes.
     """
     buckets = prefix_buckets(df, levels, by, overall)
@@ -114,6 +121,10 @@ def level_metrics(
     else:
         floor = F.greatest(inferred, F.lit(MIN_LEADING_SIZE).cast("bigint"))
         size = F.when(F.col("level") <= LEADING_LEVELS, floor).otherwise(inferred)
+    if not by and levels:
+        # levels of an empty input have rows too, with zeros
+        every = df.sparkSession.range(1, levels + 1).select(F.col("id").cast("int").alias("level"))
+        stats = every.join(stats, "level", "left").na.fill(0, ["bucket_count", "rows", "max", "top"])
     stats = stats.withColumn("codebook_size", size)
     group = Window.partitionBy(*scope)
     running = group.orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -125,16 +136,14 @@ def level_metrics(
         "level",
         n.alias("n"),
         "unique_paths",
-        ((n - unique) / n).alias("collision_rate"),
-        (unique / n).alias("icr"),
-        (used / n).alias("coverage"),
+        _ratio(n - unique, n).alias("collision_rate"),
+        _ratio(unique, n).alias("icr"),
+        _ratio(used, n).alias("coverage"),
         "codebook_size",
         (used / F.col("__capacity")).alias("capacity_use"),
         "bucket_count",
-        (n / used).alias("mean"),
-        F.get("q", F.lit(1)).alias("median"),
-        F.get("q", F.lit(0)).alias("p25"),
-        F.get("q", F.lit(2)).alias("p75"),
+        _ratio(n, used).alias("mean"),
+        *[F.coalesce(F.get("q", F.lit(i)), F.lit(0.0)).alias(name) for i, name in ((1, "median"), (0, "p25"), (2, "p75"))],
         "max",
     )
 
@@ -190,9 +199,14 @@ def domain_metrics(df: DataFrame, domain: str = "domain", sizes: list[int] | Non
     return level_metrics(df, sizes, by=domain)
 
 
-def collision_rate(df: DataFrame) -> DataFrame:
+def _levels_or_none(df: DataFrame) -> int | None:
+    """One level for an empty array column, whose rows can't tell."""
+    return 1 if "codes" in df.columns and df.where(F.col("codes").isNotNull()).isEmpty() else None
+
+
+def collision_rate(df: DataFrame, levels: int | None = None) -> DataFrame:
     """One row ``n, unique_paths, collision_rate``; an empty input has collision rate 1."""
-    wide, names = level_columns(df)
+    wide, names = level_columns(df, levels if levels is not None else _levels_or_none(df))
     paths = wide.groupBy(*names).agg(F.count("*").alias("n"))
     one = paths.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"), F.count("*").alias("unique_paths"))
     rate = F.when(F.col("n") == 0, F.lit(1.0)).otherwise((F.col("n") - F.col("unique_paths")) / F.col("n"))

@@ -285,7 +285,3 @@ def code_validity(df: DataFrame, min_len: int, domains: list[str], domain: str =
         F.count_if(known & ~enough).alias("missing_indices"),
     )
     return df.where(known & enough), stats
-
-
-def nested_value(rec: Column, path: str) -> Column:
-    return get_path(rec, path)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quantaloom.functions.vectors import sq_norm
 
-# Components summed side by side in one aggregate; longer vectors are summed in chunks of this width.
-CHUNK = 256
+# Components summed side by side in one aggregate; longer vectors are summed in chunks of this width, which
+# stays below the number of fields (100) up to which Spark compiles an aggregate.
+CHUNK = 64
 
 
 def dimension(df: DataFrame, vector: str = "embedding") -> int:

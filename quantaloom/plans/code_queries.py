@@ -445,3 +445,15 @@ FROM p JOIN c USING ({keys})"""
 def bucket_jaccard(spark, sf_dir):
     return rounded(content.jaccard(order_codes(spark, sf_dir), 2, "genre_types"), "jaccard")
 
+
+@query(
+    "three_way_wide",
+    f"""WITH s AS ({_stacked("system", THREE_WAY)}) SELECT level, max(collision_rate) FILTER (WHERE system = 'baseline') AS baseline,
+max(collision_rate) FILTER (WHERE system = 'same_source') AS same_source, max(collision_rate) FILTER (WHERE system = 'variant') AS variant
+FROM s GROUP BY level""",
+)
+def three_way_wide(spark, sf_dir):
+    base = line_codes(spark, sf_dir)
+    four = ["c1", "c2", "c3", "c4"]
+    runs = {"baseline": base.where(F.col("domain") == "A").select(*four), "same_source": base.select(*four), "variant": _balanced(base)}
+    return rounded(metrics.compare_wide(runs, "collision_rate"), "baseline", "same_source", "variant")

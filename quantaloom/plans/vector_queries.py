@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quantaloom.functions import vectors as V
-from quantaloom.operators import assign, cohesion, joins, sampling, sums, training
+from quantaloom.operators import assign, cohesion, joins, metrics, sampling, sums, training
 from quantaloom.plans.base import (
     ORDER_CODES_SQL,
     VECTOR_CTES,
@@ -458,3 +458,29 @@ def vector_sums_by_label(spark, sf_dir):
 )
 def vectors_of_coded_rows(spark, sf_dir):
     return joins.attach(vectors(spark, sf_dir).select("idx", "label"), order_codes(spark, sf_dir).select("idx", "c1"))
+
+
+def _summary_sql() -> str:
+    inner = _cosine_sql(False)
+    return f"""WITH cosine AS ({inner}), coded AS ({with_ctes("SELECT idx, c1, c2 FROM coded", VECTOR_CTES)}),
+b AS (SELECT 1 AS level, c1, NULL AS c2, count(*) AS n FROM coded GROUP BY c1 UNION ALL SELECT 2, c1, c2, count(*) FROM coded GROUP BY c1, c2),
+m AS (SELECT level, sum(n) AS n, count(*) AS used, max(n) AS largest FROM b GROUP BY level),
+v AS (SELECT view, m.*, max(used) OVER (PARTITION BY view) AS u FROM m, (VALUES (1), (2)) w(view) WHERE level <= view)
+SELECT view::INT AS view, v.level::INT AS level, n::BIGINT AS n, u::BIGINT AS unique_paths, round((n - u)::DOUBLE / n, 6) AS collision_rate,
+largest::BIGINT AS max, weighted_sim, unweighted_sim FROM v LEFT JOIN cosine ON cosine.level = v.level AND v.level < 2"""
+
+
+@query("summary_with_cosine", _summary_sql())
+def summary_with_cosine(spark, sf_dir):
+    """Both views with the similarity of every level but the last."""
+    rows = coded_rows(spark, sf_dir).select("idx", "embedding", "codes")
+    sims = cohesion.bucket_cosine(rows, exclude_last=True, levels=2)
+    out = metrics.summarize(rows.select("codes"), views=(1, 2), cosine=sims)
+    keep = ["view", "level", "n", "unique_paths", "collision_rate", "max", "weighted_sim", "unweighted_sim"]
+    return rounded(out.select(*keep), "collision_rate", "weighted_sim", "unweighted_sim")
+
+
+@query("cosine_of_leading_levels", f"SELECT * FROM ({_cosine_sql(False)}) WHERE level <= 1")
+def cosine_of_leading_levels(spark, sf_dir):
+    rows = coded_rows(spark, sf_dir).select("idx", "embedding", "codes")
+    return rounded(cohesion.bucket_cosine(rows, max_level=1), "weighted_sim", "unweighted_sim")

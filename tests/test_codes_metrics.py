@@ -95,7 +95,7 @@ def test_strict_tokens(spark):
     df = spark.createDataFrame([(["<a_-1>"],)], "t array<string>")
     assert df.select(K.parse_sid(F.col("t"))).head()[0] == [-1]
     bad = spark.createDataFrame([(["<a1_3>"],)], "t array<string>")
-    with pytest.raises(Exception, match="bad index token"):
+    with pytest.raises(Exception, match="not a level token"):
         bad.select(K.parse_sid(F.col("t"))).collect()
     assert bad.select(K.parse_sid(F.col("t"), strict=False)).head()[0] == [3]
 
@@ -250,3 +250,12 @@ def test_runs_to_keep(spark):
     got = sorted(map(tuple, metrics.best_runs(runs, 2).collect()))
     want = [("best_collision", "b"), ("best_loss", "c"), ("lowest_collision", "b"), ("lowest_collision", "c"), ("newest", "c"), ("newest", "d")]
     assert got == want
+
+
+def test_metrics_of_an_empty_table(spark):
+    empty = spark.createDataFrame([], "codes array<int>")
+    got = [(r.level, r.n, r.unique_paths, r.collision_rate, r.coverage) for r in metrics.core_metrics(empty, levels=2).orderBy("level").collect()]
+    assert got == [(1, 0, 0, 0.0, 0.0), (2, 0, 0, 0.0, 0.0)]
+    with pytest.raises(ValueError, match="pass levels"):
+        metrics.core_metrics(empty)
+    assert tuple(metrics.collision_rate(empty).head()) == (0, 0, 1.0)

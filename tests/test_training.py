@@ -269,3 +269,24 @@ def test_dense_layers(spark, data, activation):
     hidden = encode.ACTIVATIONS[activation](x @ layers[0][0].T + layers[0][1])
     got = encode.dense_score(table(spark, x), layers, activation).orderBy("idx").collect()
     assert np.allclose([r.scored for r in got], hidden @ layers[1][0].T + layers[1][1])
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40, 101])
+def test_exact_median_by_bins(spark, monkeypatch, n):
+    monkeypatch.setattr(balance, "FEW_VALUES", 3)
+    monkeypatch.setattr(balance, "BINS", 4)
+    rng = np.random.default_rng(n)
+    values = np.where(rng.random(n) < 0.3, 0.5, rng.lognormal(0, 3, n))
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(3)
+    assert balance.exact_median(df, "v") == pytest.approx(float(np.median(values)))
+    assert balance.exact_median(df.limit(0), "v") is None
+
+
+def test_sample_of_any_size_is_the_rows_with_the_smallest_keys(spark, monkeypatch):
+    from quantaloom.operators import sampling
+
+    monkeypatch.setattr(sampling, "FEW_KEYS", 2)
+    df = spark.range(500).withColumnRenamed("id", "idx")
+    order = [r[0] for r in df.orderBy(sampling.draw_key("idx", 4), "idx").collect()]
+    for n in (1, 2, 77, 499):
+        assert {r[0] for r in sampling.sample_rows(df, n, 4).collect()} == set(order[:n])
