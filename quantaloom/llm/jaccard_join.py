@@ -27,7 +27,7 @@ sets of equal size are taken as equal only if 64-bit hashes of both agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.llm.common import fresh
-from quantaloom.session import cut
+from quantaloom.session import broadcast_if_small, cut
 
 LANE_GROWTH = 1.5
 COMPARE_COST = 1.0  # cost of one shingle in a comparison, against one list entry
 BLOOM_BITS = 1 << 25
 SEEN_SETS = 1 << 20
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+MASK_WORDS = 8  # 64-bit words of the masks that rule out pairs inside a list
 
 
 # -- sets of shingles -----------------------------------------------------------------------------------
@@ -57,32 +57,84 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BYTE = np.random.default_rng(1).integers(0, 2**63, 256).astype(np.uint64)  # a number per byte, capitals as small letters
+BYTE[65:91] = BYTE[97:123]
+BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+STEP = 1 << 20  # bytes hashed at a time
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base**0 to base**(n-1) modulo 2**64."""
+    if len(_powers.get(base, ())) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        with np.errstate(over="ignore"):
+            _powers[base] = np.multiply.accumulate(steps)
+    return _powers[base][:n]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of an array that may be sorted in place."""
+    values.sort()
+    keep = np.empty(len(values), bool)
+    keep[:1] = True
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each word of the texts, and the words in each text.
+
+    The hash of a word is a polynomial of its bytes, taken from running sums over the whole buffer.
+    """
+    text = b" ".join([t or b"" for t in texts]) + b" "
+    hashes, starts, at = [], [], 0
+    while at < len(text):  # a bounded number of bytes at a time, cut after a space
+        cut_at = text.rfind(b" ", at, at + STEP) + 1 or text.find(b" ", at + STEP) + 1
+        own, start = _word_hashes(np.frombuffer(text, np.uint8, cut_at - at, at))
+        hashes.append(own)
+        starts.append(start + at)
+        at = cut_at
+    limits = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), limits), prepend=0)
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a buffer that ends in a space."""
+    space = SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[::2], edge[1::2]
+    with np.errstate(over="ignore"):
+        sums = np.empty(len(data) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(BYTE[data] * _power(BASE, len(data)), out=sums[1:])
+        hashes = _mix((sums[end] - sums[start]) * _power(INVERSE, len(data))[start] + (end - start).astype(np.uint64))
+    return hashes, start
+
+
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
-    split = [(t or b"").translate(LOWER).split() for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    if not n.sum():
-        return [np.zeros(0, np.uint64)] * len(texts)
-    coded = pa.array(chain.from_iterable(split), pa.large_binary()).dictionary_encode()
-    words = np.empty(len(coded.dictionary), object)
-    words[:] = coded.dictionary.to_pylist()
-    word_hash = pd.util.hash_array(words, categorize=False)
-    word = word_hash[coded.indices.to_numpy(zero_copy_only=False)]
+    word, n = _words(texts)
     starts = np.cumsum(n) - n
     padded = np.concatenate([word, np.zeros(k, np.uint64)])
     rolled = np.zeros(len(word), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            rolled = _mix(rolled * np.uint64(0x9E3779B97F4A7C15) + padded[j : j + len(word)] + np.uint64(j + 1))
+            rolled = _mix(rolled * np.uint64(BASE) + padded[j : j + len(word)] + np.uint64(j + 1))
     out = []
-    for at, count, own in zip(starts.tolist(), n.tolist(), split):
+    for at, count in zip(starts.tolist(), n.tolist()):
         if count >= k:
-            out.append(np.unique(rolled[at : at + count - k + 1]))
+            out.append(_distinct(rolled[at : at + count - k + 1].copy()))
         elif count:
             with np.errstate(over="ignore"):
                 h = np.zeros(1, np.uint64)
                 for w in word[at : at + count]:
-                    h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(977 + count))
+                    h = _mix(h * np.uint64(BASE) + w + np.uint64(977 + count))
             out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
@@ -151,7 +203,7 @@ def light_keys(s: np.ndarray, percent: int) -> np.ndarray:
                 pick = np.array(list(combinations(range(len(s)), d)))
                 left = total - mixed[pick].sum(1, dtype=np.uint64)
             out.append(_mix(left + np.uint64(len(s) - d) * np.uint64(0x9E3779B97F4A7C15)))
-    return np.unique(np.concatenate(out))
+    return _distinct(np.concatenate(out))
 
 
 def heavy_keys(s: np.ndarray, percent: int) -> np.ndarray:
@@ -164,7 +216,7 @@ def heavy_keys(s: np.ndarray, percent: int) -> np.ndarray:
             width = np.uint64((1 << 64) // spare + 1)
             at = (s // width).astype(np.int64)
             sums = np.zeros(spare, np.uint64)
-            edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            edge = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
             sums[at[edge]] = np.add.reduceat(mixed, edge)
             full = np.zeros(spare, bool)
             full[at[edge]] = True
@@ -181,7 +233,7 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def describe(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (size of the set), node (the set's number; 0 without shingles)."""
+    """doc_id, digest (md5 of the text), n (size of the set), node (the set's number; 0 without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,10 +242,10 @@ def describe(documents: DataFrame, k: int) -> DataFrame:
                 sets = shingle_sets(rows.column("text").to_pylist(), k)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 node = pa.array([set_number(s) if len(s) else 0 for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), n, node], ["doc_id", "n", "node"])
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("digest"), n, node], ["doc_id", "digest", "n", "node"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, node long")
+    return rows.withColumn("digest", F.md5("text")).mapInArrow(run, "doc_id long, digest string, n long, node long")
 
 
 def choose_boundary(sizes: dict[int, int], percent: int) -> int:
@@ -326,6 +378,26 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def masks(texts: DataFrame, k: int) -> DataFrame:
+    """node, mask: for each of 64 * MASK_WORDS values of a shingle's hash, whether the set has an odd number of them.
+
+    Two sets differ in at least as many shingles as their masks differ in bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                rows = batch.slice(i, 256)
+                bits = np.zeros((rows.num_rows, 64 * MASK_WORDS), np.uint8)
+                for j, s in enumerate(shingle_sets(rows.column("text").to_pylist(), k)):
+                    bits[j] = np.bincount((s % np.uint64(64 * MASK_WORDS)).astype(np.int64), minlength=64 * MASK_WORDS) & 1
+                words = np.packbits(bits, axis=1).view(np.int64).ravel()
+                offsets = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * MASK_WORDS)
+                yield pa.RecordBatch.from_arrays([rows.column("node"), pa.ListArray.from_arrays(offsets, pa.array(words))], ["node", "mask"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, mask array<long>")
+
+
 # -- components -----------------------------------------------------------------------------------------
 
 
@@ -367,10 +439,13 @@ def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int
     rooted = lists.where(~F.col("light")).select("key", "node", "n").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    left = cut(rooted.join(open_keys.select("key"), "key", "left_semi"))
-    other = left.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"))
+    left = rooted.join(open_keys.select("key"), "key", "left_semi")
+    left = cut(left.join(masks(texts.join(left.select("node").distinct(), "node", "left_semi"), k), "node"))
+    other = left.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("mask").alias("other_mask"))
     fits = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
-    more = left.join(other, "key").where((F.col("root") < F.col("other_root")) & fits)
+    apart = sum((F.bit_count(F.get("mask", F.lit(i)).bitwiseXOR(F.get("other_mask", F.lit(i)))) for i in range(MASK_WORDS)), F.lit(0))
+    alike = apart * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
+    more = left.join(other, "key").where((F.col("root") < F.col("other_root")) & fits & alike)
     more = more.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
@@ -380,7 +455,7 @@ def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int
 
 
 def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, node (equal for equal sets), component_id."""
+    """Per document: doc_id, digest (md5 of the text), n_shingles, node (equal for equal sets), component_id."""
     described = cut(describe(documents, k))
     sizes = {r["n"]: r["count"] for r in described.where("n > 0").groupBy("n").count().collect()}  # by size, not by set
     roots = linked_sets(documents, k, percent, sizes)
@@ -389,16 +464,19 @@ def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     least = least.select(F.col("root").alias("least_root"), "least")
     joined = named.join(least, named["root"] == least["least_root"], "left")
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))
+    return joined.select("doc_id", "digest", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))
 
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns kept, one of each component: that with the least doc_id.
 
-    Rows without shingles all stay; of rows with the same doc_id one stays; a component without any doc_id stays whole.
+    Rows without shingles or without a doc_id all stay; rows equal in doc_id and text stay or go together.
     """
     found = near_copies(documents.select("doc_id", "text"), k, percent)
-    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    name = fresh(documents.columns, "gone")
-    gone = gone.select(F.col("gone").alias(name))
-    return documents.join(gone, documents["doc_id"] == gone[name], "left_anti")
+    gone = found.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id", "digest").distinct()
+    digest = fresh(documents.columns, "text_digest")
+    keyed = documents.withColumn(digest, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    names = {c: fresh(keyed.columns, f"gone_{c}") for c in gone.columns}
+    gone = broadcast_if_small(gone.select(*[F.col(c).alias(n) for c, n in names.items()]), 96)
+    same = (keyed["doc_id"] == gone[names["doc_id"]]) & (keyed[digest] == gone[names["digest"]])
+    return keyed.join(gone, same, "left_anti").select(*documents.columns)

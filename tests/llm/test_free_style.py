@@ -87,11 +87,11 @@ def test_groups_match_brute_force(spark, k, percent):
 
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(100))
-    rows = [(1, text), (2, text + " more"), (3, text.upper()), (4, "another text"), (5, None), (6, ""), (None, text)]
+    rows = [(1, text), (2, text + " more"), (3, text.upper()), (3, "its own text"), (4, "another text"), (5, None), (6, ""), (None, text)]
     docs = frame(spark, [(i, t, "x") for i, t in rows], DOCS + ", gone string")
     kept = jaccard_join.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
-    assert sorted((r[0] for r in kept.collect()), key=str) == [1, 4, 5, 6, None]
+    assert sorted((r[0] for r in kept.collect()), key=str) == [1, 3, 4, 5, 6, None]
     assert jaccard_join.near_copies(docs.limit(0)).count() == 0
 
 
@@ -324,3 +324,11 @@ def test_pieces_of_a_long_text_add_up(monkeypatch, spark, sf_dir):
     monkeypatch.setattr(language_id, "STEP", 100)
     parts = trees.predict(texts)
     assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
+def test_shingles_do_not_depend_on_the_buffer(monkeypatch):
+    texts = [b"One two\tthree four", None, b"", b"x" * 500 + b" tail one two three", b" one  TWO three four ", "é è ü x y".encode()] * 3
+    whole = jaccard_join.shingle_sets(texts, 3)
+    monkeypatch.setattr(jaccard_join, "STEP", 16)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, jaccard_join.shingle_sets(texts, 3)))
+    assert (whole[0] == whole[4]).all() and [len(s) for s in whole[:6]] == [2, 0, 0, 3, 2, 2]
