@@ -33,7 +33,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantaloom.llm.common import fresh
@@ -43,7 +43,7 @@ LANE_GROWTH = 1.5
 COMPARE_COST = 1.0  # cost of one shingle in a comparison, against one list entry
 BLOOM_BITS = 1 << 25
 SEEN_SETS = 1 << 20
-MASK_WORDS = 8  # 64-bit words of the masks that rule out pairs inside a list
+MASK_WORDS = 32  # 64-bit words of the masks that rule out pairs inside a list
 
 
 # -- sets of shingles -----------------------------------------------------------------------------------
@@ -379,9 +379,10 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def masks(texts: DataFrame, k: int) -> DataFrame:
-    """node, mask: for each of 64 * MASK_WORDS values of a shingle's hash, whether the set has an odd number of them.
+    """node, n, mask: for each of 64 * MASK_WORDS values of a shingle's hash, whether the set has an odd number of them.
 
-    Two sets differ in at least as many shingles as their masks differ in bits.
+    Two sets differ in at least as many shingles as their masks differ in bits. The mask folded to one word and to
+    four, which holds as well and is quicker to compare, comes first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,13 +390,33 @@ def masks(texts: DataFrame, k: int) -> DataFrame:
             for i in range(0, batch.num_rows, 256):
                 rows = batch.slice(i, 256)
                 bits = np.zeros((rows.num_rows, 64 * MASK_WORDS), np.uint8)
-                for j, s in enumerate(shingle_sets(rows.column("text").to_pylist(), k)):
+                sets = shingle_sets(rows.column("text").to_pylist(), k)
+                n = pa.array([len(s) for s in sets], pa.int32())
+                for j, s in enumerate(sets):
                     bits[j] = np.bincount((s % np.uint64(64 * MASK_WORDS)).astype(np.int64), minlength=64 * MASK_WORDS) & 1
-                words = np.packbits(bits, axis=1).view(np.int64).ravel()
-                offsets = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * MASK_WORDS)
-                yield pa.RecordBatch.from_arrays([rows.column("node"), pa.ListArray.from_arrays(offsets, pa.array(words))], ["node", "mask"])
+                words = np.packbits(bits, axis=1).view(np.int64)
+                four = np.bitwise_xor.reduce(words.reshape(len(words), -1, 4), axis=1)
+                one = np.bitwise_xor.reduce(four, axis=1)[:, None]
+                words = np.concatenate([one, four, words], axis=1)
+                offsets = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * words.shape[1])
+                mask = pa.ListArray.from_arrays(offsets, pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([rows.column("node"), n, mask], ["node", "n", "mask"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n int, mask array<long>")
+
+
+def _alike(n: str, mask: str, other_n: str, other_mask: str, percent: int) -> Column:
+    """Whether the masks of two sets differ in no more bits than linked sets may differ in shingles."""
+    bits = [F.bit_count(F.get(mask, F.lit(i)).bitwiseXOR(F.get(other_mask, F.lit(i)))) for i in range(MASK_WORDS + 5)]
+    most = (F.col(n) + F.col(other_n)) * (100 - percent)
+    one, four, all_ = ((sum(part[1:], part[0]) * (100 + percent) <= most) for part in (bits[:1], bits[1:5], bits[5:]))
+    return one & four & all_
+
 
-    return texts.select("node", "text").mapInArrow(run, "node long, mask array<long>")
+def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose masks allow a link."""
+    sides = [marks.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("mask").alias(f"mask_{c}")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(_alike("n_a", "mask_a", "n_b", "mask_b", percent)).select("a", "b")
 
 
 # -- components -----------------------------------------------------------------------------------------
@@ -430,21 +451,20 @@ def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int
     light = lists.where(F.col("light") & (F.col("node") != F.col("head")))
     heavy = lists.where(~F.col("light") & (F.col("node") != F.col("head")) & (F.col("head_n") * 100 >= F.col("n") * percent))
     pairs = light.union(heavy).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-    pairs = cut(pairs)
-    nodes = lists.select("node").distinct()
-    texts = cut(texts_of(documents, nodes, k))
+    texts = cut(texts_of(documents, lists.select("node").distinct(), k))
+    marks = cut(masks(texts, k))
+    # most pairs that only share a key end here, on their masks; texts move for the others alone
+    pairs = cut(plausible(pairs, marks, percent))
     edges = cut(verified(pairs, texts, k, percent))
     roots = cut(components(edges))
     # what the heads did not settle: holders of one list in different components
     rooted = lists.where(~F.col("light")).select("key", "node", "n").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    left = rooted.join(open_keys.select("key"), "key", "left_semi")
-    left = cut(left.join(masks(texts.join(left.select("node").distinct(), "node", "left_semi"), k), "node"))
+    left = cut(rooted.join(open_keys.select("key"), "key", "left_semi").join(marks.select("node", "mask"), "node"))
     other = left.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("mask").alias("other_mask"))
     fits = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
-    apart = sum((F.bit_count(F.get("mask", F.lit(i)).bitwiseXOR(F.get("other_mask", F.lit(i)))) for i in range(MASK_WORDS)), F.lit(0))
-    alike = apart * (100 + percent) <= (F.col("n") + F.col("other_n")) * (100 - percent)
+    alike = _alike("n", "mask", "other_n", "other_mask", percent)
     more = left.join(other, "key").where((F.col("root") < F.col("other_root")) & fits & alike)
     more = more.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
