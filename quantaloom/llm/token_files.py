@@ -36,10 +36,12 @@ from quantaloom.llm.common import shared_folder
 
 MAGIC = b"S8BSHRD1"
 END_ID = 0
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}"
 ODD = rf"[{SPACES}][{SPACES}]|[\x00-\x02]"
 CUT = re.compile(r"(?<=\S)(?= \S)")
+# a letter run ends before these signs, so the text can be cut there too; pieces that follow such a cut are marked
+MARKS = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-`{-~])"
 
 
 class Encoder:
@@ -65,10 +67,11 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encode new pieces; those with a leading space or line break can be joined into long texts."""
         flats, sizes, base = [], [], len(self.slot)
-        alone = [p for p in pieces if p[:1] == "\x01" or p in ("", "\n")]
-        joined = [p for p in pieces if p[:1] != "\x01" and p not in ("", "\n")]
-        for piece in alone:
-            flats.append(self._whole(piece[1:] if piece[:1] == "\x01" else piece or " "))
+        alone = [p for p in pieces if p[:1] in ("\x01", "\x02", "") or p == "\n"]
+        joined = [p for p in pieces if p[:1] not in ("\x01", "\x02", "") and p != "\n"]
+        texts = [p[1:] if p[:1] in ("\x01", "\x02") else p or " " for p in alone]
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            flats.append(np.array(found.ids, np.uint32))
             sizes.append([len(flats[-1])])
         for i in range(0, len(joined), 10_000):
             texts = [p if p[0] == "\n" else " " + p for p in joined[i : i + 10_000]]
@@ -90,20 +93,23 @@ class Encoder:
         # the first piece is marked, since it has no space before it; a line break begins a piece of its own
         none, mark = pa.scalar("", pa.large_string()), pa.scalar("\x01", pa.large_string())
         plain = pc.if_else(odd, none, texts)
+        plain = pc.replace_substring_regex(plain, MARKS, r"\1 \x02\2".replace("\\x02", "\x02"))
         marked = pc.binary_join_element_wise(mark, pc.replace_substring(plain, "\n", " \n"), none)
         lists = pc.split_pattern(marked, " ")
         coded = pc.dictionary_encode(lists.flatten())
         pieces = coded.dictionary.to_pylist()
         new = [p for p in pieces if p not in self.slot]
-        if new and len(new) + len(self.slot) > CACHE_PIECES:
-            self._forget()
-            new = pieces
+        kept = len(self.slot), len(self.flat)
         if new:
             self._learn(new)
         slots = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
         which = slots[coded.indices.to_numpy(zero_copy_only=False)]
         size = self.sizes[which]
         ids = _ragged(self.flat, self.starts[which], size)
+        if len(self.slot) > CACHE_PIECES:  # the pieces met first, mostly frequent ones, stay
+            for piece in new:
+                del self.slot[piece]
+            self.starts, self.sizes, self.flat = self.starts[: kept[0]], self.sizes[: kept[0]], self.flat[: kept[1]]
         upto = np.r_[0, np.cumsum(size)]
         edges = np.asarray(lists.offsets)
         length = upto[edges[1:]] - upto[edges[:-1]]
@@ -123,6 +129,17 @@ def _ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
+def encoder_of_process(path: str) -> Encoder:
+    """The encoder that this Python worker keeps from task to task: loading it and filling its cache take a while."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("quantaloom_kept", types.ModuleType("quantaloom_kept"))
+    if getattr(kept, "path", None) != path:
+        kept.path, kept.encoder = path, Encoder(path)
+    return kept.encoder
+
+
 class ShardWriter:
     """Writes one shard as a stream: whole blocks as they fill up, the footer at the end."""
 
@@ -174,7 +191,7 @@ def write(documents: DataFrame, tokenizer_path: str, folder: str | None = None)
             for i in range(0, batch.num_rows, 1000):
                 rows = batch.slice(i, 1000)
                 if writer is None:
-                    encoder = Encoder(tokenizer_path)
+                    encoder = encoder_of_process(tokenizer_path)
                     fs, root = _file_system(folder)
                     fs.create_dir(root, recursive=True)
                     path = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.s8b"
