@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantaloom.llm.common import let
+from quantaloom.session import cut
 
 #: fixed values: short public notices of each licence family
 NOTICES = {
@@ -103,11 +104,14 @@ def terms_of(words: Column) -> Column:
     return let(words, both)
 
 
+def _lines(documents: DataFrame) -> DataFrame:
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+
+
 def paragraphs(documents: DataFrame) -> DataFrame:
     """doc_id, digest (md5 of the text), at (0-based line), words."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.select("doc_id", "digest", "at", words_of(F.col("line")).alias("words"))
+    return _lines(documents).select("doc_id", "digest", "at", words_of(F.col("line")).alias("words"))
 
 
 def _notices(spark: SparkSession) -> DataFrame:
@@ -125,11 +129,12 @@ def _training(spark: SparkSession, documents: DataFrame, background: int) -> Dat
     rows = left_out.select("label", "altered", terms_of(shorter).alias("terms"))
     vocabulary = plain.where(F.col("label") != CLASS_NONE).select(F.explode(terms_of(F.col("words"))).alias("term")).distinct()
     # paragraphs in the order of a hash: the sample is bounded, the same for any layout of the files
-    pars = paragraphs(documents).select(F.xxhash64("digest", "at").alias("place"), "words").where(F.size("words") > 3)
-    some = pars.orderBy("place").limit(2 * background).select("place", F.array_distinct(terms_of(F.col("words"))).alias("terms"))
+    lines = _lines(documents).select(F.xxhash64("digest", "at").alias("place"), "line")
+    some = lines.where(F.length("line") > 20).orderBy("place").limit(2 * background)
+    some = cut(some.select("place", F.array_distinct(terms_of(words_of(F.col("line")))).alias("terms")))
     shared = some.select("place", F.explode("terms").alias("term")).join(F.broadcast(vocabulary), "term").groupBy("place").count()
     close = shared.where(F.col("count") > FEW).select("place")
-    far = some.join(F.broadcast(close), "place", "left_anti").limit(background)
+    far = some.join(F.broadcast(close), "place", "left_anti").orderBy("place").limit(background)
     return rows.union(far.select(F.lit(CLASS_NONE), F.lit(-1), "terms"))
 
 
