@@ -44,6 +44,7 @@ COMPARE_COST = 1.0  # cost of one shingle in a comparison, against one list entr
 BLOOM_BITS = 1 << 25
 SEEN_SETS = 1 << 20
 MASK_WORDS = 32  # 64-bit words of the masks that rule out pairs inside a list
+MASK = [f"m{i}" for i in range(MASK_WORDS + 5)]
 
 
 # -- sets of shingles -----------------------------------------------------------------------------------
@@ -398,25 +399,32 @@ def masks(texts: DataFrame, k: int) -> DataFrame:
                 four = np.bitwise_xor.reduce(words.reshape(len(words), -1, 4), axis=1)
                 one = np.bitwise_xor.reduce(four, axis=1)[:, None]
                 words = np.concatenate([one, four, words], axis=1)
-                offsets = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * words.shape[1])
-                mask = pa.ListArray.from_arrays(offsets, pa.array(words.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column("node"), n, mask], ["node", "n", "mask"])
+                columns = [pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(MASK))]
+                yield pa.RecordBatch.from_arrays([rows.column("node"), n, *columns], ["node", "n", *MASK])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n int, mask array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, n int, " + ", ".join(f"{c} long" for c in MASK))
 
 
-def _alike(n: str, mask: str, other_n: str, other_mask: str, percent: int) -> Column:
-    """Whether the masks of two sets differ in no more bits than linked sets may differ in shingles."""
-    bits = [F.bit_count(F.get(mask, F.lit(i)).bitwiseXOR(F.get(other_mask, F.lit(i)))) for i in range(MASK_WORDS + 5)]
-    most = (F.col(n) + F.col(other_n)) * (100 - percent)
+def _renamed(df: DataFrame, tag: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether the masks of two sets differ in no more bits than linked sets may differ in shingles.
+
+    The words are columns of their own, which keeps the compiled condition small enough for the JVM to optimise.
+    """
+    bits = [F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))) for c in MASK]
+    most = (F.col(f"{a}_n") + F.col(f"{b}_n")) * (100 - percent)
     one, four, all_ = ((sum(part[1:], part[0]) * (100 + percent) <= most) for part in (bits[:1], bits[1:5], bits[5:]))
     return one & four & all_
 
 
 def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose masks allow a link."""
-    sides = [marks.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("mask").alias(f"mask_{c}")) for c in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").where(_alike("n_a", "mask_a", "n_b", "mask_b", percent)).select("a", "b")
+    left, right = _renamed(marks, "a"), _renamed(marks, "b")
+    joined = pairs.join(left, pairs["a"] == left["a_node"]).join(right, pairs["b"] == right["b_node"])
+    return joined.where(_alike("a", "b", percent)).select("a", "b")
 
 
 # -- components -----------------------------------------------------------------------------------------
@@ -458,15 +466,14 @@ def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int
     edges = cut(verified(pairs, texts, k, percent))
     roots = cut(components(edges))
     # what the heads did not settle: holders of one list in different components
-    rooted = lists.where(~F.col("light")).select("key", "node", "n").join(roots, "node", "left")
+    rooted = lists.where(~F.col("light")).select("key", "node").join(roots, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    left = cut(rooted.join(open_keys.select("key"), "key", "left_semi").join(marks.select("node", "mask"), "node"))
-    other = left.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("other_root"), F.col("mask").alias("other_mask"))
-    fits = (F.col("n") * 100 >= F.col("other_n") * percent) & (F.col("other_n") * 100 >= F.col("n") * percent)
-    alike = _alike("n", "mask", "other_n", "other_mask", percent)
-    more = left.join(other, "key").where((F.col("root") < F.col("other_root")) & fits & alike)
-    more = more.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+    left = cut(rooted.join(open_keys.select("key"), "key", "left_semi").join(marks, "node"))
+    one, other = _renamed(left, "a"), _renamed(left, "b")
+    fits = (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
+    more = one.join(other, (one["a_key"] == other["b_key"]) & (F.col("a_root") < F.col("b_root")) & fits & _alike("a", "b", percent))
+    more = more.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return roots
