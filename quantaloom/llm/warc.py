@@ -14,7 +14,7 @@ a last pass follows the chain from there and keeps only the records on it.
 
 Defined results: a null payload is empty; null url and page_id are written as empty fields and come back as nulls;
 equal page_ids with equal payloads: one of the rows is the response, the others revisit it; bytes after the last
-whole record are an error; an empty table gives no archive. Payloads may hold any bytes, record headers included.
+whole record and a record that is broken off are an error; headers may be of any length; an empty table gives no archive. Payloads may hold any bytes, record headers included.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from quantaloom.session import broadcast_if_small, cut
 
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
-MAX_HEADER = 1 << 16
+LOOKAHEAD = 1 << 16  # bytes read beyond a range at first; longer headers are read on
 RANGE_BYTES = 8 << 20
 CANDIDATE = re.compile(rb"(?:(?<=\n)|\A)WARC/1\.1\r\n")
 RECORD_URN = "urn:page:"
@@ -108,18 +108,23 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> li
 # -- reading --------------------------------------------------------------------------------------------
 
 
+def _starts(data: bytes, lead: int, own: int) -> list[int]:
+    """Where the magic stands at the beginning of a line, in the ``own`` bytes after the first ``lead``."""
+    found = CANDIDATE.finditer(data, 0, min(len(data), own + lead + len(MAGIC) - 1))
+    return [m.start() for m in found if m.start() >= lead]
+
+
 def _candidates(data: bytes, base: int, own: int) -> list[tuple[int, int, bytes]]:
     """(place, successor, header) of each well-formed header that begins in the first ``own`` bytes of ``data``.
 
-    ``data`` has one byte before its first place if ``base`` is not 0.
+    ``data`` has one byte before its first place if ``base`` is not 0. A header has no line that is the magic, so it
+    ends before the next such place.
     """
     lead = 1 if base else 0
     out = []
-    for m in CANDIDATE.finditer(data, 0, min(len(data), own + lead + len(MAGIC) - 1)):
-        at = m.start()
-        if at < lead and base:
-            continue
-        end = data.find(END, at, at + MAX_HEADER)
+    starts = _starts(data, lead, own)
+    for at, bound in zip(starts, [*starts[1:], len(data)]):
+        end = data.find(END, at, bound)
         if end < 0:
             continue
         header = data[at + len(MAGIC) : end]
@@ -131,8 +136,8 @@ def _candidates(data: bytes, base: int, own: int) -> list[tuple[int, int, bytes]
 
 
 def _exits(places: np.ndarray, following: np.ndarray, limit: int) -> np.ndarray:
-    """Where the chain from each candidate first leaves the range; -1 where it breaks off inside."""
-    exits = np.where(following >= limit, following, -1)
+    """Where the chain from each candidate first leaves the range, or the place inside where it breaks off."""
+    exits = following.copy()
     for i in range(len(places) - 1, -1, -1):  # successors lie further right, so theirs are known
         if following[i] < limit:
             j = np.searchsorted(places, following[i])
@@ -151,9 +156,23 @@ def _read(path: str, start: int, size: int) -> bytes:
 
 
 def _range_bytes(path: str, start: int, stop: int) -> bytes:
-    """The bytes of a range, the byte before it, and the longest header after it."""
+    """The bytes of a range, the byte before it, and what follows, up to the end of the last header at least."""
+    from pyarrow.fs import FileSystem
+
     lead = 1 if start else 0
-    return _read(path, start - lead, stop - start + lead + MAX_HEADER)
+    fs, name = FileSystem.from_uri(path)
+    with fs.open_input_file(name) as f:
+        f.seek(start - lead)
+        data = f.read(stop - start + lead + LOOKAHEAD)
+        starts = _starts(data, lead, stop - start)
+        seen = starts[-1] if starts else 0
+        while starts and data.find(END, seen) < 0:
+            seen = max(starts[-1], len(data) - len(END) + 1)
+            more = f.read(max(len(data), LOOKAHEAD))
+            if not more:
+                break
+            data += more
+    return data
 
 
 def ranges(spark: SparkSession, archives: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -166,7 +185,10 @@ def ranges(spark: SparkSession, archives: list[tuple[str, int]], range_bytes: in
 
 
 def entries(cuts: DataFrame) -> DataFrame:
-    """Where the true chain of records enters each range it does not skip: path, start, entry."""
+    """Where the true chain of records enters each range it does not skip: path, start, entry.
+
+    The chain of every archive has to end at its last byte; a place where one breaks off is an error.
+    """
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -176,7 +198,7 @@ def entries(cuts: DataFrame) -> DataFrame:
                 out = _exits(places, np.array([c[1] for c in found], np.int64), stop)
                 yield pd.DataFrame({"path": path, "start": start, "place": places, "jump": out})
 
-    hops = cut(cuts.mapInPandas(scan, "path string, start long, place long, jump long").where("jump >= 0"))
+    hops = cut(cuts.mapInPandas(scan, "path string, start long, place long, jump long"))
     # a place matters only if the chain of another range, or of the archive, can enter there
     targets = hops.select("path", F.col("jump").alias("place")).distinct()
     first = cuts.where("start = 0").select("path", F.lit(0).cast("long").alias("place"))
@@ -193,7 +215,13 @@ def entries(cuts: DataFrame) -> DataFrame:
         count = grown
         onward = jumps.select("path", F.col("place").alias("jump"), F.col("jump").alias("next"))
         jumps = cut(jumps.join(onward, ["path", "jump"], "left").select("path", "place", F.coalesce("next", "jump").alias("jump")))
-    return reached.join(nodes, ["path", "place"]).select("path", "start", F.col("place").alias("entry"))
+    entered = cut(reached.join(nodes, ["path", "place"]))
+    ends = entered.select("path", "jump").join(nodes.select("path", F.col("place").alias("jump")), ["path", "jump"], "left_anti")
+    whole = cuts.where("start = 0").select("path", "total").join(ends, "path", "left")
+    broken = whole.select("path", "total", F.coalesce("jump", F.lit(0)).alias("end")).where("end <> total").limit(10).collect()
+    if broken:
+        raise ValueError("; ".join(f"{r['path']}: the records end at byte {r['end']} of {r['total']}" for r in broken))
+    return entered.select("path", "start", F.col("place").alias("entry"))
 
 
 RECORD = "path string, place long, size long, page_id long, url string, record_type string, digest string, payload_bytes long, refers_to long, body_digest string, body_bytes long"
@@ -226,9 +254,12 @@ def _records(path: str, start: int, stop: int, total: int, entry: int) -> pd.Dat
         fields = dict(line.split(b": ", 1) for line in header.split(b"\r\n") if b": " in line)
         size = int(fields[b"Content-Length"])
         first = following - len(END) - size
-        body = data[first - base : first - base + size]
-        if len(body) < size:
-            body = _read(path, first, size)
+        body = data[first - base : following - base]
+        if len(body) < following - first:
+            body = _read(path, first, following - first)
+        if len(body) < following - first or not body.endswith(END):
+            raise ValueError(f"{path}: no whole record at byte {at}")
+        body = body[:size]
         number = lambda name: (lambda m: int(m[1]) if m else None)(re.search(rb"urn:page:(-?[0-9]+)", fields.get(name, b"")))
         rows.append(
             (

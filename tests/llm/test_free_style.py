@@ -259,6 +259,26 @@ def test_warc_edge_cases(spark):
     assert sorted((str(r["page_id"]), r["record_type"]) for r in again) == [("1", "response"), ("1", "response"), ("None", "revisit")]
 
 
+@pytest.mark.parametrize("size", [4096, 8 << 20])
+def test_a_header_of_any_length_is_read(spark, size):
+    rows = [(i, "data:," + "u" * 100_000 if i == 6 else f"http://u/{i}", f"<p>{i}\nWARC/1.1\r\n") for i in range(10)]
+    pages = frame(spark, rows, "page_id long, url string, html string").coalesce(1)
+    found = warc.read(spark, warc.write(pages), size)
+    assert sorted((r["page_id"], r["url"]) for r in found.collect()) == [(r[0], r[1]) for r in rows]
+
+
+@pytest.mark.parametrize("size", [300, 8 << 20])
+@pytest.mark.parametrize("change", [lambda b: b[:-200], lambda b: b[:-1], lambda b: b + b"more", lambda b: b"x" + b, lambda b: b.replace(b"WARC/1.1", b"WARC/9.9", 5)])
+def test_a_broken_archive_is_an_error(spark, tmp_path, size, change):
+    data = b"".join(warc._record(i, "u", b"text " * i, warc.payload_digest(b"text " * i), None) for i in range(9))
+    (tmp_path / "a.warc").write_bytes(change(data))
+    (tmp_path / "b.warc").write_bytes(data)
+    archives = [(f"file://{tmp_path}/{n}.warc", len(x)) for n, x in (("a", change(data)), ("b", data))]
+    assert warc.read(spark, archives[1:], size).count() == 9
+    with pytest.raises(ValueError, match="a.warc: the records end at byte"):
+        warc.read(spark, archives, size)
+
+
 # -- language ID ------------------------------------------------------------------------------------------
 
 
