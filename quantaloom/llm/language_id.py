@@ -10,8 +10,10 @@ turned into weights.
 
 The trees of all languages are folded into one table: a row for each distinct byte sequence of at most ORDER + 1 bytes
 that training met, with its code length and its escape in every language, so that scoring looks up each position once
-and falls back to shorter sequences only where no language has met the longer one. The table keeps the ``entries``
-most frequent sequences (its size in tasks is bounded by that parameter).
+and falls back to shorter sequences only where no language has met the longer one. Every sequence that training met is
+kept. A table of more than ``entries`` sequences is divided by the two bytes before the last one: each block holds its
+own sequences of three bytes and more and all shorter ones, gives the code lengths of the places with these two bytes,
+and is read from the shared folder when its turn comes; the sums over all blocks are exact.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing was learned; ties go
 to the first language in order; texts without a language teach nothing; repeated rows count again. Other columns are
@@ -20,6 +22,8 @@ ignored. Whole texts are read, in steps of bounded size.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantaloom.llm.common import shared_folder
 from quantaloom.session import cut
 
 ORDER = 3
-ENTRIES = 1_000_000
+ENTRIES = 1_000_000  # sequences in a block for up to four languages
 TEMPER = 64
 STEP = 1 << 22  # bytes in one pass
 
@@ -86,16 +91,22 @@ def count_sequences(documents: DataFrame, text: str, lang: str, order: int = ORD
 
 
 class Trees:
-    """Frozen code lengths of all languages, by order: sorted codes, bits of the last byte, escape of the context."""
+    """Frozen code lengths of all languages, by order: sorted codes, bits of the last byte, escape of the context.
 
-    def __init__(self, languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, order: int = ORDER) -> None:
-        self.languages, self.order = languages, order
+    A block has ``short``, the (lang, code, n) of all sequences of two bytes, and ``own``, which tells for each pair of
+    bytes whether the places that follow it are counted here.
+    """
+
+    def __init__(self, languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray, order: int = ORDER, short=None, own: np.ndarray | None = None) -> None:
+        self.languages, self.order, self.own = languages, order, own
         k = len(languages)
+        long = lang, code, n
         empty = np.full((256, k), 8.0)  # below the empty context every byte costs eight bits
         below = (np.arange(256, dtype=np.uint32), empty)
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for size in range(1, order + 2):
             mask = np.uint32((1 << (8 * size)) - 1)
+            lang, code, n = short if short is not None and size < 3 else long
             codes, where = np.unique(code.astype(np.uint32) & mask, return_inverse=True)
             counts = np.zeros((len(codes), k))
             np.add.at(counts, (where, lang), n)
@@ -138,6 +149,10 @@ class Trees:
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The best language's number and its share, for texts that are not empty."""
+        return choose(self.bits(texts), texts)
+
+    def bits(self, texts: list[bytes]) -> np.ndarray:
+        """Code lengths of the texts in all languages; in a block, of the places that belong to it."""
         gap = b"\0" * self.order
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         total = np.zeros((len(texts), len(self.languages)))
@@ -154,9 +169,7 @@ class Trees:
                 lengths = size[begin:end] + self.order
                 total[begin:end] = self._body(data, np.cumsum(lengths) - lengths)
             begin = end
-        best = total.argmin(1)
-        gain = (total - total.min(1, keepdims=True)) / np.maximum(size, 1)[:, None] * TEMPER
-        return best, 1 / np.exp2(-np.minimum(gain, 1000)).sum(1)
+        return total
 
     def _body(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code lengths without the gap bytes that lead each text."""
@@ -165,7 +178,11 @@ class Trees:
         keep[lead.ravel()] = False
         codes = _codes(data, self.order + 1)[keep]
         lengths = np.diff(np.r_[starts, len(data)]) - self.order
-        return self._bits_of(codes, np.repeat(np.arange(len(starts)), lengths), len(starts))
+        doc = np.repeat(np.arange(len(starts)), lengths)
+        if self.own is not None:
+            here = self.own[(codes >> np.uint32(8)) & np.uint32(0xFFFF)]
+            codes, doc = codes[here], doc[here]
+        return self._bits_of(codes, doc, len(starts))
 
     def _bits_of(self, codes: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, len(self.languages)))
@@ -183,28 +200,83 @@ class Trees:
         return out + np.bincount(doc, minlength=n)[:, None] * 8.0
 
 
+def choose(total: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The language with the shortest code length and its share."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    gain = (total - total.min(1, keepdims=True)) / np.maximum(size, 1)[:, None] * TEMPER
+    return total.argmin(1), 1 / np.exp2(-np.minimum(gain, 1000)).sum(1)
+
+
+class Blocks:
+    """Trees in blocks, files of the shared folder; one at a time is in memory."""
+
+    def __init__(self, languages: list[str], paths: list[str]) -> None:
+        self.languages, self.paths = languages, paths
+
+    def ready(self) -> "Blocks":
+        return self
+
+    def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        from pyarrow.fs import FileSystem
+
+        total = np.zeros((len(texts), len(self.languages)))
+        for path in self.paths:
+            fs, name = FileSystem.from_uri(path)
+            with fs.open_input_file(name) as f:
+                total += pickle.loads(f.read()).ready().bits(texts)
+        return choose(total, texts)
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of all documents that no training sees."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, entries: int = ENTRIES, order: int = ORDER) -> Trees | None:
+def fit(documents: DataFrame, entries: int = ENTRIES, order: int = ORDER) -> Trees | Blocks | None:
     """Trees from all documents with a language that are not held out; None where there are none.
 
-    Counts are summed by Spark; the ``entries`` most frequent of all (lang, sequence)
-    rows (fewer with more than four languages) reach the driver.
+    Counts are summed by Spark and all are kept. The driver builds a block of about ``entries`` sequences at a time
+    (fewer with more than four languages).
     """
     counts = cut(count_sequences(documents.where(~held_out(F.col("doc_id"))), "text", "lang", order))
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if not languages:
         return None
-    most = max(1, 4 * entries // max(4, len(languages)))  # sequences times languages stay bounded
-    rows = counts.orderBy(F.desc("n"), "lang", "code").limit(most).toPandas()
-    lang = rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    return Trees(languages, lang, rows["code"].to_numpy(), rows["n"].to_numpy(float), order)
-
-
-def predict(documents: DataFrame, trees: Trees | None, text: str = "text") -> Column:
+    most = max(1, 4 * entries // max(4, len(languages)))  # sequences times languages stay bounded in a block
+    before = F.shiftright("code", 8).bitwiseAND(0xFFFF)  # the two bytes before the last: 65,536 values at most
+    sizes = counts.select("code").distinct().groupBy(before.alias("pair")).count().orderBy("pair").toPandas()
+
+    def arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = rows.select("lang", "code", "n").toPandas()
+        lang = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
+        return lang, got["code"].to_numpy(), got["n"].to_numpy(float)
+
+    if sizes["count"].sum() <= most or order < 2:  # two-byte sequences are never divided
+        return Trees(languages, *arrays(counts), order)
+    block = (sizes["count"].cumsum() - sizes["count"]) // most
+    block_of = np.full(1 << 16, block.iloc[0])  # pairs that training has not met are counted in the first block
+    block_of[sizes["pair"]] = block
+    short = arrays(counts.groupBy("lang", F.col("code").bitwiseAND(0xFFFF).alias("code")).agg(F.sum("n").alias("n")))
+    folder = shared_folder(documents.sparkSession, "languages")
+    paths = []
+    for b, pairs in sizes["pair"].groupby(block):
+        long = arrays(counts.where(before.between(int(pairs.min()), int(pairs.max()))))
+        paths.append(_keep(Trees(languages, *long, order, short, block_of == b), folder))
+    return Blocks(languages, paths)
+
+
+def _keep(trees: Trees, folder: str) -> str:
+    from pyarrow.fs import FileSystem
+
+    fs, root = FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    name = f"block-{uuid.uuid4().hex}"
+    with fs.open_output_stream(f"{root}/{name}") as out:
+        out.write(pickle.dumps(trees, pickle.HIGHEST_PROTOCOL))
+    return f"{folder}/{name}"
+
+
+def predict(documents: DataFrame, trees: Trees | Blocks | None, text: str = "text") -> Column:
     """A column (lang_pred, score) for a text column."""
     shape = "lang_pred string, score double"
     if trees is None:

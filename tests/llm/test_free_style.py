@@ -316,6 +316,22 @@ def test_code_lengths_are_exact(spark, sf_dir):
     assert np.allclose(got, want, rtol=1e-4)
 
 
+def test_blocks_give_the_code_lengths_of_all_sequences(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rare = [(1000 + i, f"zażółć gęślą jaźń numer {i} w języku", "pl") for i in range(10)]
+    docs = docs.union(frame(spark, rare, "doc_id long, text string, lang string"))
+    whole, blocks = language_id.fit(docs), language_id.fit(docs, entries=2000)
+    asked = frame(spark, [(i, t) for i, t in enumerate(["gęślą jaźń", "\x00\x01 漢字 xq", "the house"])]).union(docs.select("doc_id", "text"))
+
+    def found(trees):
+        return asked.select("doc_id", "text", language_id.predict(asked, trees).alias("p")).select("doc_id", "text", "p.*").orderBy("doc_id", "text").collect()
+
+    want, got = found(whole), found(blocks)
+    assert [r["lang_pred"] for r in got] == [r["lang_pred"] for r in want]
+    assert np.allclose([r["score"] for r in got], [r["score"] for r in want], atol=1e-6)
+    assert {r["lang_pred"] for r in got if (r["doc_id"] or 0) >= 1000} == {"pl"} and len(blocks.paths) > 2
+
+
 def test_language_edge_cases(spark, sf_dir):
     known = queries.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     trees = language_id.fit(known)
