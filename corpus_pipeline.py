@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in Simple-8b shards; doc_id, start, n_tokens and ids_crc32 as read back from them."""
-    return token_files.read(spark, token_files.write(docs, queries.public_tokenizer()))
+    return token_files.read(spark, token_files.write(docs, queries.public_tokenizer(), special=True))
 
 
 STAGES = [

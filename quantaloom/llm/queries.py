@@ -238,7 +238,7 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), public_tokenizer()))
+    return token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), public_tokenizer(), special=True))
 
 
 @query("op4_toxicity")

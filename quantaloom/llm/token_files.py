@@ -12,6 +12,9 @@ lost executor leaves nothing behind but an unused file. Shards go to the folder
 Encoding runs in batches. Texts are cut before single spaces and line breaks, where no token of a byte-level
 vocabulary of this kind can reach across; equal pieces are encoded once, many of them in one call.
 
+With ``special`` a special token's string in a text gives its id, as the tokenizer file says; without, it is ordinary
+text. Texts that hold the string of an added token are encoded whole, without cuts.
+
 Defined results: null and empty texts are documents with the end id alone; repeated rows are documents of their own;
 equal doc_ids are ordered by text, null doc_ids come first; an empty table gives no shard with documents. Other
 columns are ignored.
@@ -47,14 +50,17 @@ MARKS = r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([!-&(-/:-@\[-`{-~])
 class Encoder:
     """Ids of many texts, the same as the tokenizer gives for each text alone."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.strings = [t.content for t in added if special or not t.special]
+        self.together = 1 if any(re.search(r"\s", t) for t in self.strings) else 10_000  # pieces joined in one call
         self._forget()
 
     def _forget(self) -> None:
@@ -73,8 +79,8 @@ class Encoder:
         for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             flats.append(np.array(found.ids, np.uint32))
             sizes.append([len(flats[-1])])
-        for i in range(0, len(joined), 10_000):
-            texts = [p if p[0] == "\n" else " " + p for p in joined[i : i + 10_000]]
+        for i in range(0, len(joined), self.together):
+            texts = [p if p[0] == "\n" else " " + p for p in joined[i : i + self.together]]
             found = self.tokenizer.encode("".join(texts), add_special_tokens=False)
             flats.append(np.array(found.ids, np.uint32))
             begin = np.fromiter((o[0] for o in found.offsets), np.int64, len(flats[-1]))
@@ -90,6 +96,10 @@ class Encoder:
         """All ids of the texts in a row, and the ids in each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, ODD)
+        whole = pa.array(np.zeros(len(texts), bool))
+        for string in self.strings:
+            whole = pc.or_(whole, pc.match_substring(texts, string))
+        odd, whole = pc.or_(odd, whole), np.asarray(whole)
         # the first piece is marked, since it has no space before it; a line break begins a piece of its own
         none, mark = pa.scalar("", pa.large_string()), pa.scalar("\x01", pa.large_string())
         plain = pc.if_else(odd, none, texts)
@@ -118,7 +128,8 @@ class Encoder:
             return ids, length
         parts = np.split(ids, np.cumsum(length)[:-1])
         for i in strange:
-            parts[i] = np.concatenate([self._whole(p) for p in CUT.split(texts[int(i)].as_py())])
+            text = texts[int(i)].as_py()
+            parts[i] = np.concatenate([self._whole(p) for p in ([text] if whole[i] else CUT.split(text))])
             length[i] = len(parts[i])
         return np.concatenate(parts), length
 
@@ -129,14 +140,14 @@ def _ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(start - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
 
 
-def encoder_of_process(path: str) -> Encoder:
+def encoder_of_process(path: str, special: bool = False) -> Encoder:
     """The encoder that this Python worker keeps from task to task: loading it and filling its cache take a while."""
     import sys
     import types
 
     kept = sys.modules.setdefault("quantaloom_kept", types.ModuleType("quantaloom_kept"))
-    if getattr(kept, "path", None) != path:
-        kept.path, kept.encoder = path, Encoder(path)
+    if getattr(kept, "made_for", None) != (path, special):
+        kept.made_for, kept.encoder = (path, special), Encoder(path, special)
     return kept.encoder
 
 
@@ -175,7 +186,7 @@ class ShardWriter:
         self.out.close()
 
 
-def write(documents: DataFrame, tokenizer_path: str, folder: str | None = None) -> list[tuple[str, int, int]]:
+def write(documents: DataFrame, tokenizer_path: str, folder: str | None = None, special: bool = False) -> list[tuple[str, int, int]]:
     """Encode the texts, an end id after each, and write the shards; (path, documents, ids) of each in order."""
     spark = documents.sparkSession
     folder = folder or shared_folder(spark, "tokens")
@@ -191,7 +202,7 @@ def write(documents: DataFrame, tokenizer_path: str, folder: str | None = None)
             for i in range(0, batch.num_rows, 1000):
                 rows = batch.slice(i, 1000)
                 if writer is None:
-                    encoder = encoder_of_process(tokenizer_path)
+                    encoder = encoder_of_process(tokenizer_path, special)
                     fs, root = _file_system(folder)
                     fs.create_dir(root, recursive=True)
                     path = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.s8b"

@@ -179,6 +179,21 @@ def test_files_hold_the_corpus_in_order(spark, tokenizer):
     assert token_files.read(spark, token_files.write(docs.limit(0), queries.public_tokenizer())).count() == 0
 
 
+def test_special_strings_in_a_text_are_those_of_the_plain_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.public_tokenizer())
+    end = "<|endoftext|>"
+    texts = [*TEXTS, f"a{end} x", f"two  spaces {end}{end}\n{end} b", f" {end}", f"c {end[:-1]} {end[1:]}", "<|endo ftext|>", end]
+    ids, length = token_files.Encoder(queries.public_tokenizer(), special=True).batch(pa.array(texts))
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [g.tolist() for g in np.split(ids, np.cumsum(length)[:-1])] == want
+    frame(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_token_files(spark, str(tmp_path)).orderBy("start").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(i, len(w) + 1) for i, w in enumerate(want)]
+    assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array([*w, 0], "<u4").tobytes()) for w in want]
+
+
 # -- toxicity ---------------------------------------------------------------------------------------------
 
 
