@@ -241,6 +241,26 @@ def test_every_notice_and_slightly_shortened_notices_are_found(spark, model):
     assert all(got[i] for i in want)
 
 
+FOREIGN = [
+    "Licensed under the EUPL, Version 1.2",
+    "Eclipse Public License - v 2.0",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This is free and unencumbered software released into the public domain.",
+    "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+    "Licensed under the Upstream Compatibility License, Version 1.0",
+]
+
+
+def test_notices_of_other_families_are_unknown(spark, model):
+    assert not set(FOREIGN) & set(licences.OTHERS)
+    prose = ["The house of the old family stood under the trees.", "A copy of the report was free of charge to any person."]
+    later = ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND', "Neither the name of the author nor the names of its contributors may be used"]
+    got = {r["doc_id"]: r["families"] for r in licences.scan(frame(spark, list(enumerate(FOREIGN + prose + later))), model).collect()}
+    n = len(FOREIGN)
+    assert [got[i] for i in range(n + len(prose))] == [["unknown"]] * n + [[]] * len(prose)
+    assert got[n + 2] in (["mit"], ["unknown"]) and got[n + 3] in (["bsd"], ["unknown"])
+
+
 # -- mixing -----------------------------------------------------------------------------------------------
 
 
