@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,27 @@ def stored(df: DataFrame, kind: str = "stage") -> DataFrame:
     path = shared_folder(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+    """``left`` joined with ``right``, whose ``keys`` are unique: a key that many left rows share goes to ``salts`` tasks.
+
+    ``spread`` deals the left rows of a key to these tasks; each row of the right side is sent to all of them.
+    """
+    salt = fresh([*left.columns, *right.columns], "salt")
+    dealt = left.withColumn(salt, F.pmod(F.hash(spread), F.lit(salts)))
+    copies = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*keys, salt], how).drop(salt)
+
+
+def slices(batch: pa.RecordBatch, column: str, rows: int = 256, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most ``rows`` rows and about ``size`` bytes of ``column``; a longer text is a piece."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = taken = 0
+    for i, n in enumerate(length.tolist()):
+        if i > at and (i - at == rows or taken + n > size):
+            yield batch.slice(at, i - at)
+            at, taken = i, 0
+        taken += n
+    if batch.num_rows > at:
+        yield batch.slice(at)

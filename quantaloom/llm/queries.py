@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantaloom.llm import decontamination, fingerprints, jaccard_join, language_id, licences, mixing, token_files, toxicity, url_filters, warc
+from quantaloom.llm import (
+    conversation_repair,
+    decontamination,
+    fingerprints,
+    importance,
+    jaccard_join,
+    language_id,
+    licences,
+    line_frequency,
+    mixing,
+    token_files,
+    toxicity,
+    url_filters,
+    warc,
+)
+from quantaloom.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -273,3 +288,126 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = licences.scan(documents, licences.fit(documents))
     return found.select("doc_id", "n_notices", F.array_join("families", ",").alias("families"), F.round("best", 6).alias("best"))
+
+
+# -- importance resampling ----------------------------------------------------------------------------
+
+# the checksum of each distinct feature, bit by bit: the last state of a fold over its bytes
+IMPORTANCE_SQL = r"""
+WITH low AS (
+  SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark
+), worded AS (
+  SELECT kind, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM low
+), runs AS (
+  SELECT kind, doc_id, f, count(*) AS n FROM (
+    SELECT kind, doc_id, unnest(w) AS f FROM worded
+    UNION ALL SELECT kind, doc_id, w[i] || ' ' || w[i + 1] FROM worded, unnest(range(1, len(w))) t(i)) GROUP BY ALL
+), hashed AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)
+), bytes AS (
+  SELECT f, list_transform(range(1, len(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT) AS b FROM hashed
+), bucketed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: list_reduce(
+    list_prepend(xor(c, x), range(8)), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)),
+    4294967295) % 10000 AS bucket FROM bytes
+), counted AS (
+  SELECT kind, doc_id, bucket, n FROM runs JOIN bucketed USING (f)
+), sides AS (
+  SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t FROM counted GROUP BY 1
+), totals AS (
+  SELECT sum(s) AS s_all, sum(t) AS t_all FROM sides
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM sides, totals
+), weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS total FROM counted JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY 1
+), scored AS (
+  SELECT d.doc_id, len(w) AS words, coalesce(n_features, 0)::BIGINT AS n_features,
+    CASE WHEN n_features > 0 THEN (total - ((total % n_features) + n_features) % n_features) // n_features ELSE 0 END::BIGINT AS weight,
+    ('0x' || sha256('7:' || d.doc_id::VARCHAR)[1:8])::BIGINT AS h
+  FROM worded d LEFT JOIN weights USING (doc_id) WHERE kind = 'd'
+), noisy AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM scored
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM noisy WHERE words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) * 25 // 100 FROM ranked) THEN r END::BIGINT AS rank
+FROM noisy LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query("op11_importance", IMPORTANCE_SQL)
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, columns=["doc_id"])
+
+
+# -- quality rules ------------------------------------------------------------------------------------
+
+LINE_FREQUENCY_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest FROM documents
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS lines FROM docs
+), windows AS (
+  SELECT doc_id, i, (w[i], w[i + 1], w[i + 2]) AS g FROM worded, unnest(range(1, len(w) - 1)) t(i)
+), twice AS (
+  SELECT doc_id, i FROM windows JOIN (SELECT doc_id, g FROM windows GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, g)
+), repeated AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1
+), rows AS (
+  SELECT doc_id, host, digest, l, trim(regexp_replace(regexp_replace(
+    translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
+  FROM worded, unnest(lines) u(l)
+), again AS (
+  SELECT doc_id, (count(*) - count(DISTINCT l))::BIGINT AS n FROM rows WHERE line <> '' GROUP BY 1
+), often AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT digest) AS n FROM rows WHERE line <> '' GROUP BY 1, 2)
+  JOIN (SELECT host, count(DISTINCT digest) AS of_host FROM docs GROUP BY 1) USING (host)
+  WHERE n > {line_frequency.LEAST_DOCUMENTS} AND n > of_host * {line_frequency.SHARE}::DOUBLE
+), removed AS (
+  SELECT doc_id, sum(len(string_split(line, ' '))) AS n FROM rows JOIN often USING (host, line) GROUP BY 1
+), facts AS (
+  SELECT d.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+    len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(a.n, 0) AS n_dup_lines,
+    coalesce(p.n, 0) AS n_repeat_words, coalesce(m.n, 0) AS lost
+  FROM worded d LEFT JOIN again a USING (doc_id) LEFT JOIN repeated p USING (doc_id) LEFT JOIN removed m USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM facts
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+  n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND lost <= n_words * {line_frequency.LOST}::DOUBLE AS kept FROM judged
+"""
+
+
+@query("op12_line_frequency", LINE_FREQUENCY_SQL)
+def op12_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_frequency.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *line_frequency.FACTS, "base_failed", "kept")
+
+
+# -- conversation repair ------------------------------------------------------------------------------
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text after the damage that a row's checksum asks for; ``present`` is false for dropped rows."""
+    conv, turn = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))
+    code = F.crc32(F.concat(conv, F.lit(":"), turn)) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(code == 4, "user").otherwise(role).alias("role"),
+        F.when(code == 1, "").when(code == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (code != 0).alias("present"),
+        F.explode(F.when(code == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, present = damaged(table(spark, sf_dir, "conversations")), F.col("present")
+    judged = cut(conversation_repair.audited(rows, present))
+    digests = conversation_repair.repaired_digests(rows, present, judged).withColumnRenamed("conv_id", "of")
+    found = judged.join(digests, judged["conv_id"].eqNullSafe(digests["of"]))
+    return found.select("conv_id", *conversation_repair.COUNTS, "cost", "audit", "repaired_sha256")

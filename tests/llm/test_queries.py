@@ -17,7 +17,7 @@ def test_query_matches_its_sql(spark, sf_dir, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_the_columns_and_take_effect(spark, sf_dir):
