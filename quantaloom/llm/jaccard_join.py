@@ -7,10 +7,11 @@ symmetric difference that two linked sets of n and m shingles may have.
 * Light sets (few shingles): all subsets of the fixed sizes that a partner can share are enumerated, at most a few
   hundred per set, and sets that share a subset and are small enough together link. The smallest holder of a subset
   links with every other holder that any holder links with, so each list needs one pass against its head.
-* Heavy sets: shingles are dealt to 1 + d ranges of the hash, so that two linked sets agree on one range as a whole.
-  Each range's content is the key of an inverted list. A list is scanned against its head first; what the head does
-  not settle (holders in other components) is compared within the list afterwards. Keys of whole ranges keep the lists
-  of a passage or phrase that many texts share short: a list holds sets that agree on about 1/d of all their shingles.
+* Heavy sets: shingles are dealt to a quarter more than 1 + d ranges of the hash, so that two linked sets agree on many
+  ranges as a whole. Each range's content is the key of an inverted list. A set leaves out as many of its most frequent
+  keys as the number of agreed ranges allows, which takes passages and phrases that many texts share out of the join.
+  A list is scanned against its head first, then against a few others; what these do not settle (holders in other
+  components) is compared within the list afterwards.
 * The boundary between light and heavy is the size with the least total cost, from the counts of sets of each size:
   subsets for light sets; list entries, and one comparison's share of shingles, for heavy ones.
 
@@ -31,18 +32,18 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaloom.llm.common import fresh
+from quantaloom.llm.common import fresh, salted_join
 from quantaloom.session import broadcast_if_small, cut
 
 LANE_GROWTH = 1.5
 COMPARE_COST = 1.0  # cost of one shingle in a comparison, against one list entry
 BLOOM_BITS = 1 << 25
 SEEN_SETS = 1 << 20
+ROUNDS = 2  # further heads of a list before its open pairs are compared
 MASK_WORDS = 32  # 64-bit words of the masks that rule out pairs inside a list
 MASK = [f"m{i}" for i in range(MASK_WORDS + 5)]
 
@@ -189,6 +190,19 @@ def lanes(n: int, percent: int) -> list[int]:
     return out
 
 
+def ranges_of(parts: int) -> int:
+    """Hash ranges of a lane for differences below ``parts``: a quarter more, so that linked sets agree on many."""
+    return parts + parts // 4 + 3
+
+
+def largest_difference(n: int, parts: int, percent: int) -> int:
+    """Bounds the difference of a set of n from all partners that it meets in this lane."""
+    top = largest_partner(n, percent)
+    if percent < 100:
+        top = min(top, (parts * (100 + percent) - 1) // (2 * (100 - percent)))
+    return max(t - 2 * least_common(t, percent) for t in (n + top, n + top - 1))
+
+
 def light_keys(s: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the subsets; a subset's hash is a sum, so leaving shingles out is a subtraction."""
     out = []
@@ -207,23 +221,31 @@ def light_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return _distinct(np.concatenate(out))
 
 
-def heavy_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """A key for each lane and hash range; of the empty ranges only those beyond the spare one are listed."""
-    out = []
+def heavy_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key for each lane and hash range, the lane of each, and how many of the lane's keys may be left out.
+
+    Linked sets agree on ``agreed`` ranges at least. Empty ranges, which all sets have in common, stay unlisted
+    where a full one is sure to be among these; then as many of the other keys may go as leave one of them.
+    """
+    out, lane, spare = [], [], []
     with np.errstate(over="ignore"):
         mixed = _mix(s + np.uint64(0x632BE59BD9B4E019))
         for parts in lanes(len(s), percent):
-            spare = parts + 1  # with one range more than needed, one empty range may stay unlisted
-            width = np.uint64((1 << 64) // spare + 1)
+            n = ranges_of(parts)
+            agreed = n - largest_difference(len(s), parts, percent)
+            width = np.uint64((1 << 64) // n + 1)
             at = (s // width).astype(np.int64)
-            sums = np.zeros(spare, np.uint64)
+            sums = np.zeros(n, np.uint64)
             edge = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
             sums[at[edge]] = np.add.reduceat(mixed, edge)
-            full = np.zeros(spare, bool)
+            full = np.zeros(n, bool)
             full[at[edge]] = True
-            listed = np.arange(spare) if (~full).sum() > 1 else np.flatnonzero(full)
-            out.append(_mix(sums[listed] + _mix(listed.astype(np.uint64) + np.uint64(spare << 32))))
-    return np.concatenate(out)
+            left = agreed - 1 - int((~full).sum())
+            listed = np.flatnonzero(full) if left >= 0 else np.arange(n)
+            out.append(_mix(sums[listed] + _mix(listed.astype(np.uint64) + np.uint64(n << 32))))
+            lane.append(np.full(len(listed), parts))
+            spare.append(np.full(len(listed), max(left, 0)))
+    return np.concatenate(out), np.concatenate(lane), np.concatenate(spare)
 
 
 # -- candidates -----------------------------------------------------------------------------------------
@@ -256,7 +278,7 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
         top += 1
     small = sorted(n for n in sizes if n < top)
     light = {n: sizes[n] * subset_count(n, percent) for n in small}
-    heavy = {n: sizes[n] * (sum(p + 1 for p in lanes(n, percent)) + COMPARE_COST * n) for n in small}
+    heavy = {n: sizes[n] * (sum(map(ranges_of, lanes(n, percent))) + COMPARE_COST * n) for n in small}
     best, bound, cost = 0.0, 1, 0.0
     for n in small:
         cost += light[n] - heavy[n]
@@ -265,66 +287,87 @@ def choose_boundary(sizes: dict[int, int], percent: int) -> int:
     return bound
 
 
-def postings(documents: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
-    """key, node, n, light: the subsets of light sets, the hash ranges of heavy ones and of light ones near them.
-
-    A task sends a set's keys once, for as many sets as it can remember in bounded memory.
-    """
-    near = -(-percent * boundary // 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                keys, nodes, ns, lights = [], [], [], []
-                for s in shingle_sets(batch.slice(i, 256).column("text").to_pylist(), k):
-                    n = len(s)
-                    node = set_number(s) if n else 0
-                    if not n or node in seen:
-                        continue
+def _sets_once(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(node, set) of the texts, piece by piece; a copy is passed over where the task remembers its set."""
+    seen: set[int] = set()
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            out = []
+            for s in shingle_sets(batch.slice(i, 256).column("text").to_pylist(), k):
+                node = set_number(s) if len(s) else 0
+                if len(s) and node not in seen:
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(node)
-                    for light, made in ((True, light_keys(s, percent) if n < boundary else None), (False, heavy_keys(s, percent) if n >= near else None)):
-                        if made is not None:
-                            keys.append(made)
-                            nodes.append(node)
-                            ns.append(n)
-                            lights.append(light)
-                if keys:
-                    size = [len(x) for x in keys]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "key": np.concatenate(keys).view(np.int64),
-                            "node": np.repeat(np.array(nodes, np.int64), size),
-                            "n": np.repeat(np.array(ns, np.int32), size),
-                            "light": np.repeat(np.array(lights), size),
-                        }
-                    )
-
-    return _texts(documents).mapInArrow(run, "key long, node long, n int, light boolean")
+                    out.append((node, s))
+            yield out
+
+
+def _keys(s: np.ndarray, percent: int, boundary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, lanes and keys that may be left out: of a light set its subsets (lane 0), of a heavy one, or one near them, its ranges."""
+    parts = []
+    if len(s) < boundary:
+        light = light_keys(s, percent)
+        parts.append((light, np.zeros(len(light), np.int64), np.zeros(len(light), np.int64)))
+    if len(s) >= -(-percent * boundary // 100):
+        parts.append(heavy_keys(s, percent))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def shared_keys(documents: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
+    """key, n of the keys that were sent twice or more. A key is eight bytes, counted before it moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _sets_once(batches, k):
+            if sets:
+                yield pa.RecordBatch.from_pydict({"key": np.concatenate([_keys(s, percent, boundary)[0] for _, s in sets]).view(np.int64)})
+
+    counted = _texts(documents).mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("times"))
+    return counted.where("times > 1")
+
+
+def postings(documents: DataFrame, keys: DataFrame, k: int, percent: int, boundary: int) -> DataFrame:
+    """key, node, n, lane, spare for the sets' keys that are shared; a table of fixed size drops most others in the task."""
+    table = documents.sparkSession.sparkContext.broadcast(_bloom(keys.select(F.col("key").alias("node"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sets in _sets_once(batches, k):
+            found = []
+            for node, s in sets:
+                key, lane, spare = _keys(s, percent, boundary)
+                key = key.view(np.int64)
+                at = np.flatnonzero(_in_bloom(table.value, key))
+                found.append((key[at], np.full(len(at), node), np.full(len(at), len(s)), lane[at], spare[at]))
+            if found:
+                yield pa.RecordBatch.from_pydict(dict(zip(("key", "node", "n", "lane", "spare"), map(np.concatenate, zip(*found)))))
+
+    posted = _texts(documents).mapInArrow(run, "key long, node long, n long, lane long, spare long")
+    return posted.join(keys, "key")
 
 
 def shared_lists(posted: DataFrame) -> DataFrame:
-    """The lists with two or more sets: key, node, n, light, head, head_n. The head is the smallest set."""
-    # two sets of one key are both light or both heavy lists' members, as keys of either kind differ
-    first = F.min(F.struct("n", "node")).over(_by_key())
-    last = F.max(F.struct("n", "node")).over(_by_key())
-    rows = posted.select("*", first.alias("first"), last.alias("last")).where("first <> last")
-    return rows.select("key", "node", "n", "light", F.col("first.node").alias("head"), F.col("first.n").alias("head_n"))
+    """The lists that remain: key, node, n, light.
 
+    Of two linked sets the first key that they share, rarest first, is among those that either keeps when it leaves
+    out as many of its most frequent keys as it may: a set with few shared keys leaves the join, and the lists of
+    passages that many texts have go before anything is compared.
+    """
+    order = Window.partitionBy("node", "lane").orderBy(F.desc("times"), F.desc("key"))
+    rows = posted.dropDuplicates(["key", "node"]).withColumn("place", F.row_number().over(order)).where("place > spare")
+    return rows.select("key", "node", "n", (F.col("lane") == 0).alias("light"))
 
-def _by_key():
-    from pyspark.sql import Window
 
-    return Window.partitionBy("key", "light")
+def with_heads(lists: DataFrame, head: Column) -> DataFrame:
+    """The lists of two or more sets, with the least ``head`` of each list."""
+    heads = lists.groupBy("key").agg(F.min(head).alias("head"), F.min("node").alias("low"), F.max("node").alias("high"))
+    return lists.join(heads.where("low < high").select("key", "head"), "key")
 
 
 # -- verification ---------------------------------------------------------------------------------------
 
 
 def _bloom(nodes: DataFrame) -> np.ndarray:
-    """A bit for each of the nodes, by their lowest bits: a table of fixed size."""
+    """A bit for each of the nodes (or keys), by their lowest bits: a table of fixed size."""
     bit = F.col("node").bitwiseAND(F.lit(BLOOM_BITS - 1))
     words = nodes.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(node & 31L AS int))").alias("bit"))
     found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
@@ -333,6 +376,11 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     return table
 
 
+def _in_bloom(table: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    low = nodes & (BLOOM_BITS - 1)
+    return ((table[low >> 5] >> (low & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
+
+
 def texts_of(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, text for each of the nodes. A table of fixed size drops most other texts before they move."""
     table = documents.sparkSession.sparkContext.broadcast(_bloom(nodes))
@@ -344,9 +392,7 @@ def texts_of(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 rows = batch.slice(i, 256)
                 sets = shingle_sets(rows.column("text").to_pylist(), k)
                 node = np.array([set_number(s) if len(s) else 0 for s in sets], np.int64)
-                low = node & (BLOOM_BITS - 1)
-                keep = (table.value[low >> 5] >> (low & 31).astype(np.uint32)) & np.uint32(1)
-                keep = keep.astype(bool) & np.array([len(s) > 0 for s in sets])
+                keep = _in_bloom(table.value, node) & np.array([len(s) > 0 for s in sets])
                 for j in np.flatnonzero(keep):
                     if node[j] in seen:
                         keep[j] = False
@@ -452,33 +498,54 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node, root of the lists whose sets are in different components so far."""
+    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return rooted.join(keys.select("key"), "key", "left_semi").select("key", "node", "root")
+
+
 def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int]) -> DataFrame:
     """node, root of all sets that link with another set."""
     boundary = choose_boundary(sizes, percent)
-    lists = cut(shared_lists(postings(documents, k, percent, boundary)))
-    light = lists.where(F.col("light") & (F.col("node") != F.col("head")))
-    heavy = lists.where(~F.col("light") & (F.col("node") != F.col("head")) & (F.col("head_n") * 100 >= F.col("n") * percent))
-    pairs = light.union(heavy).select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
+    keys = cut(shared_keys(documents, k, percent, boundary))
+    lists = cut(with_heads(shared_lists(postings(documents, keys, k, percent, boundary)), F.struct("n", "node")))
+    others = lists.where(F.col("node") != F.col("head.node"))
+    pairs = _pairs("node", "head_node", others.where(F.col("light") | (F.col("head.n") * 100 >= F.col("n") * percent)).withColumn("head_node", F.col("head.node")))
     texts = cut(texts_of(documents, lists.select("node").distinct(), k))
     marks = cut(masks(texts, k))
     # most pairs that only share a key end here, on their masks; texts move for the others alone
-    pairs = cut(plausible(pairs, marks, percent))
-    edges = cut(verified(pairs, texts, k, percent))
+    seen = cut(plausible(pairs, marks, percent))
+    edges = cut(verified(seen, texts, k, percent))
     roots = cut(components(edges))
-    # what the heads did not settle: holders of one list in different components
-    rooted = lists.where(~F.col("light")).select("key", "node").join(roots, "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    left = cut(rooted.join(open_keys.select("key"), "key", "left_semi").join(marks, "node"))
+    # what the heads did not settle: sets of one list in different components. Another head of each list, the same for
+    # the lists of a family, joins most of them in one comparison a set
+    left = cut(_open(lists.where(~F.col("light")), roots))
+    for turn in range(ROUNDS):
+        if left.isEmpty():
+            return roots
+        headed = with_heads(left, F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root")).where("root <> head.root")
+        pairs = _pairs("node", "head_node", headed.withColumn("head_node", F.col("head.node"))).join(seen, ["a", "b"], "left_anti")
+        more = cut(plausible(pairs, marks, percent))
+        seen = seen.unionByName(more)
+        found = cut(verified(more, texts, k, percent))
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            roots = cut(components(edges))
+            left = cut(_open(left.select("key", "node"), roots))
+    # the rest exactly: all pairs of a list in different components that their masks allow
+    left = left.join(marks, "node")
     one, other = _renamed(left, "a"), _renamed(left, "b")
     fits = (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
     more = one.join(other, (one["a_key"] == other["b_key"]) & (F.col("a_root") < F.col("b_root")) & fits & _alike("a", "b", percent))
-    more = more.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+    more = cut(_pairs("a_node", "b_node", more).join(seen, ["a", "b"], "left_anti"))
     if more.isEmpty():
         return roots
-    found = verified(more, texts, k, percent)
-    return components(edges.union(found))
+    return components(edges.unionByName(verified(more, texts, k, percent)))
 
 
 def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -486,10 +553,11 @@ def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     described = cut(describe(documents, k))
     sizes = {r["n"]: r["count"] for r in described.where("n > 0").groupBy("n").count().collect()}  # by size, not by set
     roots = linked_sets(documents, k, percent, sizes)
-    named = described.join(roots, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+    row = F.monotonically_increasing_id()  # deals the rows of a large group of copies to many tasks
+    named = salted_join(described, roots, ["node"], row, "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+    named = cut(named)
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    least = least.select(F.col("root").alias("least_root"), "least")
-    joined = named.join(least, named["root"] == least["least_root"], "left")
+    joined = salted_join(named, least, ["root"], row, "left", salts=8)
     own = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "digest", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))
 
