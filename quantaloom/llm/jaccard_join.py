@@ -41,7 +41,7 @@ from quantaloom.session import broadcast_if_small, cut
 
 LANE_GROWTH = 1.5
 COMPARE_COST = 1.0  # cost of one shingle in a comparison, against one list entry
-BLOOM_BITS = 1 << 25
+BLOOM_BITS, BLOOM_BLOCK = 1 << 25, 1 << 18
 SEEN_SETS = 1 << 20
 ROUNDS = 2  # further heads of a list before its open pairs are compared
 MASK_WORDS = 32  # 64-bit words of the masks that rule out pairs inside a list
@@ -367,12 +367,20 @@ def with_heads(lists: DataFrame, head: Column) -> DataFrame:
 
 
 def _bloom(nodes: DataFrame) -> np.ndarray:
-    """A bit for each of the nodes (or keys), by their lowest bits: a table of fixed size."""
-    bit = F.col("node").bitwiseAND(F.lit(BLOOM_BITS - 1))
-    words = nodes.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(node & 31L AS int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    """A bit for each of the nodes (or keys), by their lowest bits: a table of fixed size, made a block at a time."""
+
+    def block(rows: pa.Table) -> pa.Table:
+        bits = np.zeros(BLOOM_BLOCK, np.uint8)
+        bits[rows.column("bit").to_numpy() % BLOOM_BLOCK] = 1
+        at = rows.column("bit")[0].as_py() // BLOOM_BLOCK
+        return pa.table({"block": [at], "words": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    bit = nodes.select(F.col("node").bitwiseAND(F.lit(BLOOM_BITS - 1)).alias("bit")).distinct()
     table = np.zeros(BLOOM_BITS // 32, np.uint32)
-    table[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    blocks = bit.groupBy(F.expr(f"bit div {BLOOM_BLOCK}")).applyInArrow(block, "block long, words binary")
+    for row in blocks.toLocalIterator():
+        words = np.frombuffer(row["words"], np.uint32)
+        table[row["block"] * len(words) : (row["block"] + 1) * len(words)] = words
     return table
 
 
