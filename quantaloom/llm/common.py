@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -63,6 +64,12 @@ def stored(df: DataFrame, kind: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Removes the shuffle files of finished rounds: Spark does so once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = 32) -> DataFrame:
     """``left`` joined with ``right``, whose ``keys`` are unique: a key that many left rows share goes to ``salts`` tasks.
 

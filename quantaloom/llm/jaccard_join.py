@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaloom.llm.common import fresh, salted_join
+from quantaloom.llm.common import fresh, release, salted_join
 from quantaloom.session import broadcast_if_small, cut
 
 LANE_GROWTH = 1.5
@@ -498,6 +498,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         edges = cut(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        release(edges.sparkSession)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -522,6 +523,7 @@ def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int
     boundary = choose_boundary(sizes, percent)
     keys = cut(shared_keys(documents, k, percent, boundary))
     lists = cut(with_heads(shared_lists(postings(documents, keys, k, percent, boundary)), F.struct("n", "node")))
+    release(documents.sparkSession)
     others = lists.where(F.col("node") != F.col("head.node"))
     pairs = _pairs("node", "head_node", others.where(F.col("light") | (F.col("head.n") * 100 >= F.col("n") * percent)).withColumn("head_node", F.col("head.node")))
     texts = cut(texts_of(documents, lists.select("node").distinct(), k))
