@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.session import BROADCAST_LIMIT
+from quantaloom.session import BROADCAST_LIMIT, shared_root
 
 # Entries of the distance block a task holds at a time.
 BLOCK = 4_000_000
@@ -19,23 +21,61 @@ BLOCK = 4_000_000
 
 @dataclass(frozen=True)
 class Level:
-    """Codes (ascending) and centroids of one level as arrays ready for broadcast."""
+    """Codes (ascending) of one level with their centroids, held as one array or read slice by slice.
+
+    Beyond the broadcast bound only the codes are shipped. ``slices`` then names the first position and the folder of
+    each slice in shared storage, and a task holds one slice at a time.
+    """
 
     codes: np.ndarray
-    centroids: np.ndarray
+    centroids: np.ndarray | None = None
+    slices: tuple[tuple[int, str], ...] = ()
+    width: int = 0
+    kept: dict = field(default_factory=dict, compare=False, repr=False)
+
+    @property
+    def dim(self) -> int:
+        return self.width if self.centroids is None else self.centroids.shape[1]
 
     @property
     def nbytes(self) -> int:
-        return self.codes.nbytes + self.centroids.nbytes
+        return self.codes.nbytes + (0 if self.centroids is None else self.centroids.nbytes)
+
+    def parts(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Position of the first centroid and the centroids, slice by slice."""
+        if self.centroids is not None:
+            yield 0, self.centroids
+        for start, folder in self.slices:
+            if folder not in self.kept:
+                self.kept.clear()
+                self.kept[folder] = _read_slice(folder)
+            yield start, self.kept[folder]
+
+    def take(self, at: np.ndarray) -> np.ndarray:
+        """The centroids at these positions."""
+        if self.centroids is not None:
+            return self.centroids[at]
+        out = np.empty((len(at), self.dim))
+        for start, part in self.parts():
+            inside = (at >= start) & (at < start + len(part))
+            if inside.any():
+                out[inside] = part[at[inside] - start]
+        return out
+
+
+def _read_slice(folder: str) -> np.ndarray:
+    system, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+    table = dataset.dataset(path, filesystem=system, format="parquet").to_table(columns=["code", "centroid"])
+    return matrix(table.sort_by("code")["centroid"])
 
 
 def share(df: DataFrame, levels: list[Level]) -> Broadcast:
     """Ship levels as plain arrays; ``opened`` makes levels of them again inside a task."""
-    return df.sparkSession.sparkContext.broadcast([(level.codes, level.centroids) for level in levels])
+    return df.sparkSession.sparkContext.broadcast([(x.codes, x.centroids, x.slices, x.width) for x in levels])
 
 
 def opened(shared: Broadcast) -> list[Level]:
-    return [Level(*pair) for pair in shared.value]
+    return [Level(*parts) for parts in shared.value]
 
 
 def codebook_bytes(codebook: DataFrame) -> int:
@@ -44,26 +84,42 @@ def codebook_bytes(codebook: DataFrame) -> int:
 
 
 def load_levels(codebook: DataFrame, limit: int = BROADCAST_LIMIT) -> list[Level]:
-    """Bring a codebook of checked size to the driver, level by level."""
+    """The levels of a codebook of any size, in order.
+
+    Within ``limit`` bytes the centroids come to the driver, to be shipped. A larger codebook is written to the
+    shared folder in slices of a quarter of that, and only its codes come to the driver.
+    """
     size = codebook_bytes(codebook)
     if size == 0:
         raise ValueError("empty codebook")
-    if size > limit:
-        raise ValueError(f"codebook of {size} bytes is beyond the broadcast bound of {limit}")
-    table = codebook.select(
-        F.col("level").cast("int"), F.col("code").cast("int"), F.col("centroid").cast("array<double>")
-    ).toArrow()
-    level = table["level"].to_numpy()
-    code = table["code"].to_numpy()
-    centroids = np.array(table["centroid"].to_pylist(), dtype=np.float64)
+    rows = codebook.select(F.col("level").cast("int"), F.col("code").cast("int"), F.col("centroid").cast("array<double>"))
+    held = size <= limit
+    table = (rows if held else rows.drop("centroid")).toArrow()
+    level, code = table["level"].to_numpy(), table["code"].to_numpy()
+    centroids = np.array(table["centroid"].to_pylist(), dtype=np.float64) if held else None
     out = []
     for value in np.unique(level):
-        rows = np.flatnonzero(level == value)
-        rows = rows[np.argsort(code[rows], kind="stable")]
-        out.append(Level(code[rows].astype(np.int32), centroids[rows]))
+        at = np.flatnonzero(level == value)
+        at = at[np.argsort(code[at], kind="stable")]
+        codes = code[at].astype(np.int32)
+        one = rows.where(F.col("level") == int(value)).select("code", "centroid")
+        out.append(Level(codes, centroids[at]) if held else _sliced(one, codes, limit // 4))
     return out
 
 
+def _sliced(level: DataFrame, codes: np.ndarray, slice_bytes: int) -> Level:
+    """Writes one level to the shared folder, cut by code into slices of at most ``slice_bytes`` (or one centroid)."""
+    spark = level.sparkSession
+    dim = int(level.agg(F.max(F.size("centroid"))).head()[0])
+    step = max(slice_bytes // (8 * dim), 1)
+    starts = range(0, len(codes), step)
+    firsts = F.lit([int(codes[i]) for i in starts])
+    folder = f"{shared_root(spark)}/codebook-{uuid.uuid4().hex}"
+    numbered = level.withColumn("slice", F.size(F.filter(firsts, lambda first: first <= F.col("code"))) - 1)
+    numbered.repartition(len(starts), "slice").write.partitionBy("slice").parquet(folder)
+    return Level(codes, None, tuple((start, f"{folder}/slice={i}") for i, start in enumerate(starts)), dim)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
     """Rows of a list column as a DOUBLE matrix; all vectors must be present and of one length."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,18 +138,27 @@ def list_array(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def distances(x: np.ndarray, level: Level) -> np.ndarray:
-    c = level.centroids
-    return (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (x @ c.T)
+    own = (x * x).sum(1)[:, None]
+    blocks = [own + (c * c).sum(1)[None, :] - 2.0 * (x @ c.T) for _, c in level.parts()]
+    return blocks[0] if len(blocks) == 1 else np.concatenate(blocks, axis=1)
 
 
 def nearest_rows(x: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
     """Position and squared distance of the nearest centroid per row; ties go to the lowest code."""
-    c = level.centroids
+    best, error = np.zeros(len(x), dtype=np.int64), np.full(len(x), np.inf)
+    for first, part in level.parts():
+        at, dist = _nearest_in(x, part)
+        better = dist < error
+        best[better], error[better] = at[better] + first, dist[better]
+    return best, error
+
+
+def _nearest_in(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = np.empty(len(x), dtype=np.int64)
     step = max(BLOCK // max(len(c), 1), 1)
     for start in range(0, len(x), step):
         part = x[start : start + step]
-        d = distances(part, level)
+        d = (part * part).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (part @ c.T)
         low = d.min(1)
         pick = d.argmin(1)
         # the expanded form loses digits: settle near ties on plain differences
@@ -121,7 +186,7 @@ def _extend(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBat
 def encode_levels(df: DataFrame, levels: list[Level], vector: str = "embedding", residual: bool = False) -> DataFrame:
     """Residual codes of each row against broadcast levels, in one narrow pass."""
     shared = share(df, levels)
-    dim = levels[0].centroids.shape[1]
+    dim = levels[0].dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = opened(shared)
@@ -132,7 +197,7 @@ def encode_levels(df: DataFrame, levels: list[Level], vector: str = "embedding",
             for l, level in enumerate(stack):
                 best, error = nearest_rows(rest, level)
                 codes[:, l] = level.codes[best]
-                rest -= level.centroids[best]
+                rest -= level.take(best)
             columns = {"codes": list_array(codes, pa.int32()), "sq_error": pa.array(error)}
             if residual:
                 columns["residual"] = list_array(rest, pa.float64())
@@ -143,46 +208,26 @@ def encode_levels(df: DataFrame, levels: list[Level], vector: str = "embedding",
 
 
 def encode(
-    df: DataFrame, codebook: DataFrame, vector: str = "embedding", pack: Column | None = None, residual: bool = False
+    df: DataFrame,
+    codebook: DataFrame,
+    vector: str = "embedding",
+    pack: Column | None = None,
+    residual: bool = False,
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Residual encoding: adds ``codes``, ``sq_error`` (of the last level) and optionally ``residual``.
 
-    ``pack`` appends a metadata code. A codebook beyond the broadcast bound is applied level by level
-    in slices.
+    ``pack`` appends a metadata code. A codebook beyond ``limit`` bytes is read slice by slice.
     """
-    if codebook_bytes(codebook) <= BROADCAST_LIMIT:
-        out = encode_levels(df, load_levels(codebook), vector, residual)
-    else:
-        out = _encode_sliced(df, codebook, vector, residual)
+    out = encode_levels(df, load_levels(codebook, limit), vector, residual)
     return out if pack is None else out.withColumn("codes", F.concat("codes", F.array(pack.cast("int"))))
 
 
-def nearest(
-    df: DataFrame, codebook: DataFrame, vector: str = "embedding", idx: str = "idx", limit: int = BROADCAST_LIMIT
-) -> DataFrame:
-    """Nearest centroid of a one-level codebook: adds ``code`` and ``sq_dist``.
-
-    Beyond the broadcast bound the codebook is cut into slices; each slice proposes its best code per
-    row and the smallest distance wins, the lowest code among equals.
-    """
-    size = codebook_bytes(codebook)
-    if size <= limit:
-        return _nearest_slice(df, load_levels(codebook, limit)[0], vector)
-    slices = -(-size // max(limit // 2, 1))
-    proposals = None
-    for s in range(slices):
-        part = codebook.where(F.pmod(F.col("code"), F.lit(slices)) == s)
-        if codebook_bytes(part) == 0:
-            continue
-        one = _nearest_slice(df.select(idx, vector), load_levels(part)[0], vector).drop(vector)
-        proposals = one if proposals is None else proposals.unionByName(one)
-    best = proposals.groupBy(idx).agg(F.min(F.struct("sq_dist", "code")).alias("__b"))
-    return df.join(best, idx).select(*df.columns, F.col("__b.code").alias("code"), F.col("__b.sq_dist").alias("sq_dist"))
-
-
-def _nearest_slice(df: DataFrame, level: Level, vector: str) -> DataFrame:
+def nearest(df: DataFrame, codebook: DataFrame, vector: str = "embedding", limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Nearest centroid of a one-level codebook of any size: adds ``code`` and ``sq_dist``; ties go to the lowest code."""
+    level = load_levels(codebook, limit)[0]
     shared = share(df, [level])
-    dim = level.centroids.shape[1]
+    dim = level.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (book,) = opened(shared)
@@ -193,31 +238,15 @@ def _nearest_slice(df: DataFrame, level: Level, vector: str) -> DataFrame:
     return df.mapInArrow(run, _schema(df, "code int", "sq_dist double"))
 
 
-def _encode_sliced(df: DataFrame, codebook: DataFrame, vector: str, residual: bool, idx: str = "idx") -> DataFrame:
-    from quantaloom.functions.vectors import as_double, subtract
-
-    values = [r[0] for r in codebook.select("level").distinct().orderBy("level").collect()]
-    out = df.select("*", as_double(F.col(vector)).alias("residual"), F.array().cast("array<int>").alias("codes"))
-    for value in values:
-        level = codebook.where(F.col("level") == value)
-        hit = nearest(out, level, "residual", idx).drop(*(["sq_error"] if "sq_error" in out.columns else []))
-        centroids = level.select("code", F.col("centroid").alias("__c"))
-        out = hit.join(centroids, "code").select(
-            *df.columns,
-            subtract(F.col("residual"), F.col("__c")).alias("residual"),
-            F.concat("codes", F.array("code")).alias("codes"),
-            F.col("sq_dist").alias("sq_error"),
-        )
-    return out if residual else out.drop("residual")
-
-
-def decode(df: DataFrame, codebook: DataFrame, upto: int | None = None, codes: str = "codes") -> DataFrame:
+def decode(
+    df: DataFrame, codebook: DataFrame, upto: int | None = None, codes: str = "codes", limit: int = BROADCAST_LIMIT
+) -> DataFrame:
     """Sum of the centroids named by the codes of the first ``upto`` levels, as ``decoded``.
 
     The code -1 stands for no code and adds nothing.
     """
-    levels = load_levels(codebook)
-    dim = levels[0].centroids.shape[1]
+    levels = load_levels(codebook, limit)
+    dim = levels[0].dim
     levels = levels if upto is None else levels[:upto]
     shared = share(df, levels)
 
@@ -231,19 +260,24 @@ def decode(df: DataFrame, codebook: DataFrame, upto: int | None = None, codes: s
                 unknown = (level.codes[at] != column) & (column != -1)
                 if unknown.any():
                     raise ValueError(f"code {column[unknown][0]} is not in level {l + 1}")
-                total += np.where((column == -1)[:, None], 0.0, level.centroids[at])
+                total += np.where((column == -1)[:, None], 0.0, level.take(at))
             yield _extend(batch, {"decoded": list_array(total, pa.float64())})
 
     return df.mapInArrow(run, _schema(df, "decoded array<double>"))
 
 
 def residual(
-    df: DataFrame, codebook: DataFrame, upto: int | None = None, vector: str = "embedding", codes: str = "codes"
+    df: DataFrame,
+    codebook: DataFrame,
+    upto: int | None = None,
+    vector: str = "embedding",
+    codes: str = "codes",
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """What the first ``upto`` levels leave of each vector, as ``residual``."""
     from quantaloom.functions.vectors import subtract
 
-    decoded = decode(df, codebook, upto, codes)
+    decoded = decode(df, codebook, upto, codes, limit)
     return decoded.select(*df.columns, subtract(F.col(vector), F.col("decoded")).alias("residual"))
 
 
@@ -301,16 +335,17 @@ def sinkhorn_batch(
     center: str = "global",
     vector: str = "embedding",
     idx: str = "idx",
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Residual codes where each level with a positive epsilon balances its codes inside a mini-batch.
 
     A batch is ``idx div batch_size``; idx must be dense, so no group exceeds the batch size.
     """
-    levels = load_levels(codebook)
+    levels = load_levels(codebook, limit)
     if len(eps) != len(levels):
         raise ValueError("one epsilon per level is needed")
     shared = share(df, levels)
-    dim = levels[0].centroids.shape[1]
+    dim = levels[0].dim
 
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows > batch_size:
@@ -325,7 +360,7 @@ def sinkhorn_batch(
             else:
                 best, _ = nearest_rows(rest, level)
             codes[:, l] = level.codes[best]
-            rest -= level.centroids[best]
+            rest -= level.take(best)
         return table.drop_columns(["batch"]).append_column("codes", list_array(codes, pa.int32()))
 
     batched = df.withColumn("batch", F.floor(F.col(idx) / batch_size))

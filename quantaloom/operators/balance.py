@@ -22,7 +22,7 @@ from quantaloom.operators.assign import (
 )
 from quantaloom.operators.ranking import rank_within
 from quantaloom.operators.sums import vector_sum
-from quantaloom.session import cut
+from quantaloom.session import BROADCAST_LIMIT, cut
 
 # Percentile, share and floor of the temperature estimate.
 TAU_PERCENTILE, TAU_SHARE, TAU_FLOOR = 90, 0.1, 1e-6
@@ -61,9 +61,11 @@ def exact_median(df: DataFrame, column: str) -> float | None:
     return sum(values) / len(values)
 
 
-def estimate_tau(df: DataFrame, codebook: DataFrame, vector: str = "residual", idx: str = "idx") -> float:
+def estimate_tau(
+    df: DataFrame, codebook: DataFrame, vector: str = "residual", idx: str = "idx", limit: int = BROADCAST_LIMIT
+) -> float:
     """A tenth of the median, over all rows, of the 90th percentile of distances above the row minimum."""
-    level = load_levels(codebook)[0]
+    level = load_levels(codebook, limit)[0]
     shared = share(df, [level])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +183,7 @@ def balance(
     vector: str = "residual",
     idx: str = "idx",
     sizes: list[int] | None = None,
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
     """Assign every row to one code of a one-level codebook so that capacities hold exactly: ``idx, code``.
 
@@ -189,13 +192,13 @@ def balance(
     on range partitions, so a code that everybody asks for is no bottleneck. A row whose candidate list
     is used up gets a fresh list over the codes still open.
     """
-    level = load_levels(codebook)[0]
+    level = load_levels(codebook, limit)[0]
     rows = cut(df.select(idx, as_double(F.col(vector)).alias(vector)))
     n, k = rows.count(), len(level.codes)
     room = capacities(n, k) if sizes is None else np.asarray(sizes, dtype=np.int64)
     if room.sum() < n:
         raise ValueError(f"capacities hold {room.sum()} of {n} rows")
-    tau = tau if tau is not None else estimate_tau(rows, codebook, vector, idx)
+    tau = tau if tau is not None else estimate_tau(rows, codebook, vector, idx, limit)
     potential = column_potentials(rows, level, room.astype(np.float64) * n / max(room.sum(), 1), tau, iters, vector)
 
     waiting = cut(_candidates(rows, level, potential, tau, room > 0, topk, vector, idx))
@@ -214,8 +217,8 @@ def balance(
         flat = asking.select(idx, "picks", F.col("ask.at").alias("at"), F.col("ask.score").alias("score"))
         flat = flat.withColumn("tie", F.xxhash64(F.lit(seed), F.col(idx)))
         ranked = rank_within(flat, ["at"], [F.col("score").desc(), F.col("tie"), F.col(idx)])
-        limit = F.get(_literal(room), F.col("at"))
-        ranked = cut(ranked.select(idx, "picks", "at", (F.col("rank") <= limit).alias("taken")))
+        left = F.get(_literal(room), F.col("at"))
+        ranked = cut(ranked.select(idx, "picks", "at", (F.col("rank") <= left).alias("taken")))
         taken = {r["at"]: r["n"] for r in ranked.where("taken").groupBy("at").agg(F.count("*").alias("n")).collect()}
         for at, count in taken.items():
             room[at] -= count
@@ -230,15 +233,21 @@ def balance(
 
 
 def balance_last_level(
-    df: DataFrame, codebook: DataFrame, vector: str = "embedding", codes: str = "codes", idx: str = "idx", **kw
+    df: DataFrame,
+    codebook: DataFrame,
+    vector: str = "embedding",
+    codes: str = "codes",
+    idx: str = "idx",
+    limit: int = BROADCAST_LIMIT,
+    **kw,
 ) -> DataFrame:
     """Re-assign only the last learned level of an encoded table under equal capacities.
 
     The prefix is subtracted once; the rows come back with ``codes`` changed at that level.
     """
     last = codebook.agg(F.max("level")).head()[0]
-    left = residual(df, codebook, upto=last - 1, vector=vector, codes=codes)
-    fresh = balance(left.select(idx, "residual"), codebook.where(F.col("level") == last), idx=idx, **kw)
+    left = residual(df, codebook, upto=last - 1, vector=vector, codes=codes, limit=limit)
+    fresh = balance(left.select(idx, "residual"), codebook.where(F.col("level") == last), idx=idx, limit=limit, **kw)
     joined = df.join(fresh.withColumnRenamed("code", "__code"), idx)
     swapped = F.transform(codes, lambda c, i: F.when(i == last - 1, F.col("__code")).otherwise(c))
     return joined.select(*[swapped.alias(codes) if c == codes else F.col(c) for c in df.columns])

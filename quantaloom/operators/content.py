@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +15,8 @@ from quantaloom.session import broadcast_if_small, cut
 
 # Bucket limits of the historical protocol and of its report.
 SAMPLE_TITLES, SAMPLE_ROWS, TITLE_CHARS, TEXT_CHARS = 3, 5, 55, 160
+# Tags of a set up to which its subsets are counted.
+SUBSET_TAGS = 10
 
 
 def _most(counts: DataFrame, top: int) -> DataFrame:
@@ -181,89 +181,70 @@ def _sets(df: DataFrame, level: int, field: str, idx: str, is_array: bool) -> tu
     return rows.where(F.size("tags") > 0), names
 
 
-def _overlap(a: list, b: list) -> np.ndarray:
-    """Jaccard of every set in ``a`` with every set in ``b`` through tag incidence matrices."""
-    vocabulary: dict = {}
-    for tags in a + b:
-        for t in tags:
-            vocabulary.setdefault(t, len(vocabulary))
+def _subsets(tags: Column) -> Column:
+    """All non-empty subsets of a short array, in its order."""
+    numbers = F.sequence(F.lit(1).cast("long"), F.expr("shiftleft(1L, size(tags)) - 1"))
+    return F.transform(numbers, lambda m: F.filter(tags, lambda _, i: F.getbit(m, i) == 1))
 
-    def incidence(sets: list) -> np.ndarray:
-        m = np.zeros((len(sets), len(vocabulary)))
-        for i, tags in enumerate(sets):
-            m[i, [vocabulary[t] for t in tags]] = 1.0
-        return m
 
-    x, y = incidence(a), incidence(b)
-    shared = x @ y.T
-    return shared / (x.sum(1)[:, None] + y.sum(1)[None, :] - shared)
+def _shared_subsets(weighted: DataFrame, names: list[str]) -> DataFrame:
+    """Per bucket, the sum of Jaccard values over all pairs of sets: ``score``.
+
+    Two sets of s tags together, i of them in common, have the value i / (s - i). That is the sum of
+    j! / ((s - 1)(s - 2)...(s - j)) over the subsets that both contain, j being a subset's size, so it is
+    enough to count, for every subset, the sets of each size that contain it. All terms are positive.
+    """
+    each = weighted.select(*names, F.explode(_subsets(F.col("tags"))).alias("part"), F.size("tags").alias("size"), "w")
+    counts = each.groupBy(*names, "part", "size").agg(F.sum("w").cast("double").alias("n"))
+    held = counts.groupBy(*names, "part").agg(F.array_sort(F.collect_list(F.struct("size", "n"))).alias("by"))
+
+    def term(s: Column) -> Column:
+        factors = F.sequence(F.lit(1), F.size("part"))
+        return F.aggregate(factors, F.lit(1.0), lambda acc, j: acc * j / (s - j))
+
+    def pairs(a: Column) -> Column:
+        same = a["n"] * (a["n"] - 1) / 2 * term(a["size"] * 2)
+        larger = F.filter("by", lambda b: b["size"] > a["size"])
+        return F.aggregate(larger, same, lambda acc, b: acc + a["n"] * b["n"] * term(a["size"] + b["size"]))
+
+    score = F.aggregate("by", F.lit(0.0), lambda acc, a: acc + pairs(a))
+    return held.select(*names, score.alias("score"))
+
+
+def _shared_tags(weighted: DataFrame, names: list[str], most: int) -> DataFrame:
+    """The same sum over the pairs with at least one set of more than ``most`` tags, from inverted lists of tags."""
+    rows = weighted.withColumn("id", F.xxhash64("tags")).select(*names, "id", "tags", "w", F.size("tags").alias("size"))
+    listed = rows.select(*names, "id", "w", "size", F.explode("tags").alias("tag"))
+    wide = listed.where(F.col("size") > most).select(*names, "tag", *[F.col(c).alias(f"wide_{c}") for c in ("id", "w", "size")])
+    # a pair of wide sets is counted from one side
+    once = (F.col("size") <= most) | (F.col("id") < F.col("wide_id"))
+    met = listed.join(wide, [*names, "tag"]).where(once)
+    common = met.groupBy(*names, "id", "wide_id", "w", "wide_w", "size", "wide_size").agg(F.count("*").alias("i"))
+    value = F.col("w") * F.col("wide_w") * F.col("i") / (F.col("size") + F.col("wide_size") - F.col("i"))
+    own = rows.where(F.col("size") > most).select(*names, (F.col("w") * (F.col("w") - 1) / 2).alias("score"))
+    return common.select(*names, value.alias("score")).unionByName(own)
 
 
 def jaccard(
-    df: DataFrame,
-    level: int,
-    field: str,
-    idx: str = "idx",
-    is_array: bool = False,
-    block: int = 256,
+    df: DataFrame, level: int, field: str, idx: str = "idx", is_array: bool = False, most: int = SUBSET_TAGS
 ) -> DataFrame:
     """Mean pairwise Jaccard of the non-empty tag sets in each bucket: ``c1…, sets, pairs, jaccard``.
 
-    Every pair counts. Equal sets are merged to one with a weight first; distinct sets are dealt to blocks and
-    each pair of blocks is scored as one small matrix product, so no task sees a whole bucket.
+    Every pair counts and none is formed: pairs without a common tag add nothing, and the others are summed over
+    the subsets of tags that they share, at a cost in proportion to the rows. Only a set of more than ``most``
+    tags, whose subsets would be too many, is compared with the sets that its tags' inverted lists hold.
     """
     rows, names = _sets(df, level, field, idx, is_array)
     weighted = cut(rows.groupBy(*names, "tags").agg(F.count("*").alias("w")))
-    totals = weighted.groupBy(*names).agg(
-        F.sum("w").cast("bigint").alias("sets"),
-        F.count("*").alias("distinct_sets"),
-        # equal sets overlap fully
-        F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("own"),
-    )
-    blocks = F.ceil(F.col("distinct_sets") / block).cast("int")
-    sized = weighted.join(
-        broadcast_if_small(totals.where(F.col("distinct_sets") > 1).select(*names, blocks.alias("blocks")), 64), names
-    )
-    dealt = sized.withColumn("b", F.pmod(F.xxhash64("tags"), F.col("blocks")).cast("int"))
-    partners = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least(F.col("b"), o).alias("lo"), F.greatest(F.col("b"), o).alias("hi")),
-    )
-    spread = dealt.select(*names, "tags", "w", "b", F.explode(partners).alias("p")).select(
-        *names, "p.lo", "p.hi", "b", "tags", "w"
-    )
-    schema = ", ".join([f"{n} int" for n in names] + ["score double"])
-
-    def score(key: tuple, table: pa.Table) -> pa.Table:
-        lo, hi = key[-2].as_py(), key[-1].as_py()
-        side = table["b"].to_numpy()
-        tags, w = table["tags"].to_pylist(), table["w"].to_numpy().astype(np.float64)
-
-        def pick(which: int) -> tuple[list, np.ndarray]:
-            at = np.flatnonzero(side == which)
-            return [tags[i] for i in at], w[at]
-
-        (a, wa), (b, wb) = pick(lo), pick(hi)
-        total = 0.0
-        if a and b:
-            weights = np.outer(wa, wb)
-            if lo == hi:
-                weights = np.triu(weights, 1)
-            total = float((_overlap(a, b) * weights).sum())
-        columns = [pa.array([k.as_py()], pa.int32()) for k in key[:-2]] + [pa.array([total], pa.float64())]
-        return pa.table(columns, names=names + ["score"])
-
-    scored = spread.groupBy(*names, "lo", "hi").applyInArrow(score, schema)
-    cross = scored.groupBy(*names).agg(F.sum("score").alias("cross"))
-    match = reduce(lambda x, y: x & y, [totals[n] == cross[n] for n in names])
+    totals = weighted.groupBy(*names).agg(F.sum("w").cast("bigint").alias("sets")).where("sets > 1")
+    scored = _shared_subsets(weighted.where(F.size("tags") <= most), names)
+    if not weighted.where(F.size("tags") > most).isEmpty():
+        scored = scored.unionByName(_shared_tags(weighted, names, most))
+    sums = scored.groupBy(*names).agg(F.sum("score").alias("score"))
+    match = reduce(lambda x, y: x & y, [totals[n] == sums[n] for n in names])
     pairs = F.col("sets") * (F.col("sets") - 1) / 2
-    joined = totals.join(cross, match, "left").select(*[totals[n] for n in names], "sets", "own", "cross")
-    return joined.where(F.col("sets") > 1).select(
-        *names,
-        "sets",
-        pairs.cast("bigint").alias("pairs"),
-        ((F.col("own") + F.coalesce("cross", F.lit(0.0))) / pairs).alias("jaccard"),
-    )
+    joined = totals.join(sums, match).select(*[totals[n] for n in names], "sets", "score")
+    return joined.select(*names, "sets", pairs.cast("bigint").alias("pairs"), (F.col("score") / pairs).alias("jaccard"))
 
 
 def packed_usage(df: DataFrame, code: str = "packed") -> DataFrame:

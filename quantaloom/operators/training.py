@@ -27,7 +27,7 @@ from quantaloom.operators.assign import (
 )
 from quantaloom.operators.sampling import balanced_sample, dedup_vectors, finite_rows, sample_rows
 from quantaloom.operators.sums import dimension, vector_sum
-from quantaloom.session import cut
+from quantaloom.session import BROADCAST_LIMIT, cut
 
 CODEBOOK = "level int, code int, centroid array<double>"
 
@@ -173,17 +173,24 @@ def fit_pq(
     return books
 
 
-def encode_parts(df: DataFrame, codebook: DataFrame, vector: str = "embedding", rotation: np.ndarray | None = None) -> DataFrame:
+def encode_parts(
+    df: DataFrame,
+    codebook: DataFrame,
+    vector: str = "embedding",
+    rotation: np.ndarray | None = None,
+    limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
     """Codes of every part side by side, in one narrow pass: adds ``codes`` and ``decoded``.
 
     ``codebook`` has ``part, level, code, centroid``; each part is encoded residually over its levels.
     ``decoded`` is in the (rotated) space the codebooks live in.
     """
     parts = [r[0] for r in codebook.select("part").distinct().orderBy("part").collect()]
-    stacks = [load_levels(codebook.where(F.col("part") == p)) for p in parts]
+    # the bound holds for the parts together
+    stacks = [load_levels(codebook.where(F.col("part") == p), limit // len(parts)) for p in parts]
     shared = [share(df, stack) for stack in stacks]
     turned = df.sparkSession.sparkContext.broadcast(rotation)
-    width = stacks[0][0].centroids.shape[1]
+    width = stacks[0][0].dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, turn = [opened(s) for s in shared], turned.value
@@ -197,7 +204,7 @@ def encode_parts(df: DataFrame, codebook: DataFrame, vector: str = "embedding",
                 for level in stack:
                     best, _ = nearest_rows(rest, level)
                     codes.append(level.codes[best])
-                    rest -= level.centroids[best]
+                    rest -= level.take(best)
                 decoded[:, at] = x[:, at] - rest
             yield _extend(
                 batch,
@@ -353,7 +360,7 @@ def ema_step(
     """Assign a batch to the current centroids and fold its statistics into the state."""
     book = state.select(F.lit(1).alias("level"), "code", "centroid")
     dim = dimension(state, "centroid")
-    return ema_update(state, code_stats(nearest(batch, book, vector, idx), vector, dim), decay, eps, mode)
+    return ema_update(state, code_stats(nearest(batch, book, vector), vector, dim), decay, eps, mode)
 
 
 def materialize_codebook(weights: DataFrame, basis: DataFrame, level: int = 1) -> DataFrame:

@@ -8,11 +8,14 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from quantaloom.operators.assign import encode_levels, load_levels
 from quantaloom.operators.training import ema_state, ema_step
+from quantaloom.session import BROADCAST_LIMIT
 
 
-def encode_stream(stream: DataFrame, codebook: DataFrame, vector: str = "embedding") -> DataFrame:
+def encode_stream(
+    stream: DataFrame, codebook: DataFrame, vector: str = "embedding", limit: int = BROADCAST_LIMIT
+) -> DataFrame:
     """Stateless residual encoding of a streaming frame; the codebook is read once at start."""
-    return encode_levels(stream, load_levels(codebook), vector)
+    return encode_levels(stream, load_levels(codebook, limit), vector)
 
 
 class CodebookUpkeep:

@@ -161,14 +161,14 @@ def brute_jaccard(sets):
     return np.mean(values) if values else None
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_jaccard_equals_pairs(spark, block):
+@pytest.mark.parametrize("most", [10, 2, 0])
+def test_jaccard_equals_pairs(spark, most):
     rnd = random.Random(3)
     tags = [";".join(rnd.sample("abcdef", rnd.randint(0, 4))) for _ in range(80)]
     # one bucket holds most of the rows, with many equal sets
     codes = [(0 if rnd.random() < 0.7 else rnd.randint(1, 3),) for _ in range(80)]
     df = frame(spark, codes, tags=tags).repartition(4)
-    got = {r.c1: r for r in content.jaccard(df, 1, "tags", block=block).collect()}
+    got = {r.c1: r for r in content.jaccard(df, 1, "tags", most=most).collect()}
     for code in {c[0] for c in codes}:
         want = brute_jaccard([set(filter(None, t.split(";"))) for t, c in zip(tags, codes) if c[0] == code])
         if want is None:
@@ -177,6 +177,17 @@ def test_jaccard_equals_pairs(spark, block):
             assert got[code].jaccard == pytest.approx(want)
 
 
+def test_jaccard_of_a_bucket_of_many_distinct_sets(spark):
+    """100,000 distinct sets in one bucket: one tag that all have, one of a hundred groups, one of their own."""
+    n = 100_000
+    tags = F.concat_ws(";", F.lit("all"), F.concat(F.lit("g"), F.col("id") % 100), F.concat(F.lit("own"), "id"))
+    df = spark.range(n).select(F.col("id").alias("idx"), F.array(F.lit(1)).alias("codes"), tags.alias("tags"))
+    got = content.jaccard(df, 1, "tags").collect()
+    # two of six tags in common with 999 sets, one with the rest
+    want = (999 * 2 / 4 + (n - 1000) * 1 / 5) / (n - 1)
+    assert [(r.sets, r.pairs) for r in got] == [(n, n * (n - 1) // 2)] and got[0].jaccard == pytest.approx(want)
+
+
 def test_ties_go_to_the_first_seen(spark):
     df = frame(spark, [(2,), (1,), (1,), (2,), (3,)])
     got = content.top_buckets(df, 2).orderBy("rank").collect()

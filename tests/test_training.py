@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantaloom.functions import vectors as V
 from quantaloom.operators import assign, balance, encode, sums, training
+from quantaloom.streaming import upkeep
 from quantaloom.streaming.upkeep import CodebookUpkeep
 
 
@@ -61,18 +62,43 @@ def test_sliced_codebook(spark, data, limit):
     assert [r.code for r in got] == want.tolist()
 
 
-def test_sliced_encoding(spark, data, monkeypatch):
+def test_codebooks_beyond_the_bound_give_equal_answers(spark, data, tmp_path):
+    """Two centroids a slice: answers must not depend on the bound."""
     x, c1, c2 = data
+    limit = 400
+    books, rows = book(spark, c1, c2), table(spark, x)
+    levels = assign.load_levels(books, limit=limit)
+    assert [level.centroids for level in levels] == [None, None] and len(levels[0].slices) == 4
+
+    def same(make, *columns):
+        held, cut_up = (sorted(make(bound).select("idx", *columns).collect()) for bound in (10**9, limit))
+        for a, b in zip(held, cut_up, strict=True):
+            for left, right in zip(a, b):
+                assert left == right if np.ndim(left) == 0 else np.allclose(left, right)
+
+    coded = assign.encode(rows, books, residual=True)
     want, rest = plain_codes(x, c1, c2)
-    out = assign._encode_sliced(table(spark, x), book(spark, c1, c2), "embedding", True)
-    got = out.orderBy("idx").collect()
-    assert [r.codes for r in got] == want.tolist()
-    assert np.allclose([r.residual for r in got], rest)
-
-
-def test_codebooks_beyond_the_bound_are_refused(spark, data):
-    with pytest.raises(ValueError, match="broadcast bound"):
-        assign.load_levels(book(spark, data[1]), limit=100)
+    got = assign.encode(rows, books, residual=True, limit=limit).orderBy("idx").collect()
+    assert [r.codes for r in got] == want.tolist() and np.allclose([r.residual for r in got], rest)
+    same(lambda bound: assign.decode(coded, books, limit=bound), "decoded")
+    same(lambda bound: assign.residual(coded.drop("residual"), books, upto=1, limit=bound), "residual")
+    same(lambda bound: assign.sinkhorn_batch(rows, books, [0.05, 0.0], 20, 64, limit=bound), "codes")
+    first = books.where("level = 1")
+    same(lambda bound: balance.balance(rows, first, iters=5, tau=0.5, topk=4, vector="embedding", limit=bound), "code")
+    taus = [balance.estimate_tau(rows, first, "embedding", limit=bound) for bound in (10**9, limit)]
+    assert taus[0] == pytest.approx(taus[1])
+    parts = first.where("code < 4").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("part"), "level", "code", F.slice("centroid", 1, 3).alias("centroid"))
+    same(lambda bound: training.encode_parts(rows, parts, limit=bound), "codes", "decoded")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = upkeep.encode_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), books, limit=limit)
+    sink = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True)
+    sink.start(f"{tmp_path}/out").awaitTermination()
+    assert [r.codes for r in spark.read.parquet(f"{tmp_path}/out").orderBy("idx").collect()] == want.tolist()
+
+
+def test_ties_across_slices_take_the_lowest_code(spark):
+    x, c = np.array([[0.0, 0.0], [2.0, 0.0]]), np.array([[1.0, 0.0], [-1.0, 0.0], [3.0, 0.0], [1.0, 0.0]])
+    assert [r.code for r in assign.nearest(table(spark, x), book(spark, c), limit=1).orderBy("idx").collect()] == [0, 0]
 
 
 def test_unequal_vectors_fail(spark):
