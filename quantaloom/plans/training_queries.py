@@ -19,12 +19,14 @@ from quantaloom.plans.base import (
     query,
     rounded,
     scratch,
+    table,
     two_level_codebook,
     vectors,
     with_ctes,
 )
 from quantaloom.plans.vector_queries import _EMA, ITEM_VECTORS_SQL, item_vectors
 from quantaloom.session import cut
+from quantaloom.streaming import monitor
 from quantaloom.streaming.upkeep import CodebookUpkeep, encode_stream
 
 K, LEVELS, ITERS = 16, 2, 5
@@ -360,3 +362,55 @@ def streamed_codebook_upkeep(spark, sf_dir):
     )
     run.awaitTermination()
     return upkeep.state().select("code", F.round("count", 6).alias("count"), F.round(F.get("centroid", F.lit(0)), 6).alias("head"))
+
+
+# -- windowed collisions: events as encoded items that arrive in six deliveries -----------------------------
+
+MONITOR_CODES = ["user_id % 16", "cast(floor(value) AS bigint) % 8"]
+MONITOR_HOURS = 6
+# the delivery of a row, a sixth of the time each; every seventh row comes one delivery late, every tenth comes twice
+_DELIVERY = "least(cast(floor(6 * ({epoch} - low) / (high - low + 1)) AS int), 5) + CASE WHEN event_id % 7 = 3 THEN 1 ELSE 0 END"
+
+
+def arriving(spark, sf_dir: str, folder: str):
+    """A stream of the events in order of delivery, closed by a row beyond the last window."""
+    epoch = F.expr("unix_timestamp(ts)")
+    events = table(spark, sf_dir, "events")
+    ends = events.agg(F.min(epoch).alias("low"), F.max(epoch).alias("high"))
+    rows = events.select("event_id", "ts", "user_id", "value").withColumn("epoch", epoch).join(F.broadcast(ends))
+    delivery = F.expr(_DELIVERY.format(epoch="epoch"))
+    again = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("again", F.explode(again)).withColumn("delivery", delivery + F.col("again"))
+    codes = F.array(*[F.expr(c) for c in MONITOR_CODES])
+    rows = cut(rows.select("event_id", "ts", codes.alias("codes"), "delivery"))
+    for number in range(8):
+        rows.where(F.col("delivery") == number).drop("delivery").write.mode("append").parquet(folder)
+    last = rows.agg(F.max("ts").alias("ts"))
+    closing = last.select(F.lit(-1).cast("long").alias("event_id"), F.expr("ts + INTERVAL 400 DAYS").alias("ts"), F.array(F.lit(-1).cast("long")).alias("codes"))
+    closing.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.drop("delivery").schema).option("maxFilesPerTrigger", 12).parquet(folder)
+
+
+@query(
+    "collision_windows",
+    f"""SELECT epoch(w)::BIGINT AS window_start, epoch(w)::BIGINT + {MONITOR_HOURS * 3600} AS window_end, sum(n)::BIGINT AS rows, count(*) AS unique_paths,
+  (sum(n) - count(*))::BIGINT AS collisions, round((sum(n) - count(*)) / sum(n)::DOUBLE, 6) AS collision_rate, max(n) AS largest_bucket
+FROM (SELECT time_bucket(INTERVAL {MONITOR_HOURS} HOURS, ts, TIMESTAMP '1970-01-01') AS w, {MONITOR_CODES[0]} AS c1, {MONITOR_CODES[1]} AS c2, count(*) AS n
+  FROM events WHERE ts IS NOT NULL GROUP BY ALL) GROUP BY w""",
+)
+def collision_windows(spark, sf_dir):
+    """Late and repeated deliveries change nothing: the delay is longer than three deliveries take."""
+    root = scratch(spark)
+    stream = arriving(spark, sf_dir, root + "/events")
+    found = monitor.collision_windows(stream, "event_id", width=f"{MONITOR_HOURS} hours", delay="25 days")
+    run = (
+        found.writeStream.format("parquet")
+        .outputMode("append")
+        .option("checkpointLocation", root + "/progress")
+        .trigger(availableNow=True)
+        .start(root + "/windows")
+    )
+    run.awaitTermination()
+    out = spark.read.schema(found.schema).parquet(root + "/windows")
+    out = rounded(out, "collision_rate")
+    return out.withColumns({c: F.unix_timestamp(c) for c in ("window_start", "window_end")})
