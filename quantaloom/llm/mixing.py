@@ -64,6 +64,12 @@ def budgets(leaves: DataFrame, weights: list[DataFrame], budget: int, max_epochs
     """
     keys = ["key_0", "key_1", "key_2"]
     tree = leaves.select(*keys, "tokens", (F.col("tokens") * max_epochs).cast(WIDE).alias("capacity"))
+    leaves = tree
+    # a leaf takes part if no node on its path lacks a weight: what the others could hold is no one's capacity
+    for depth in range(len(keys)):
+        own = keys[: depth + 1]
+        w = weights[depth].where(F.col("weight") > 0).select(*[F.col(k).alias(f"w_{k}") for k in own])
+        tree = tree.join(w, _same(tree, w, {k: f"w_{k}" for k in own}), "left_semi")
     given = tree.agg(F.least(F.sum("capacity"), F.lit(budget).cast(WIDE)).alias("given")).withColumn("root", F.lit(1))
     for depth in range(len(keys)):
         own, parent = keys[: depth + 1], keys[:depth]
@@ -77,7 +83,7 @@ def budgets(leaves: DataFrame, weights: list[DataFrame], budget: int, max_epochs
             level = level.withColumn("root", F.lit(1)).join(given, "root")
         given = _share(level, parent or ["root"]).select(*own, F.col("budget").alias("given"))
     done = given.select(*[F.col(k).alias(f"p_{k}") for k in keys], F.col("given").cast("long").alias("budget"))
-    joined = tree.join(done, _same(tree, done, {k: f"p_{k}" for k in keys}), "left")
+    joined = leaves.join(done, _same(leaves, done, {k: f"p_{k}" for k in keys}), "left")
     return joined.select(*keys, "tokens", F.coalesce("budget", F.lit(0).cast("long")).alias("budget"))
 
 

@@ -103,7 +103,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- mixing: domains stand for groups of sources, weights are whole numbers ---------------------------
 
-MIX_DOMAIN = "CASE WHEN source LIKE 'src%' THEN concat('d', cast(cast(substr(source, 4) AS int) % 3 AS {text})) ELSE 'other' END"
+# sources are named src and a number; any other name is of the domain other
+MIX_DOMAIN = "CASE WHEN source LIKE 'src%' THEN coalesce('d' || cast(try_cast(substr(source, 4) AS int) % 3 AS {text}), 'other') ELSE 'other' END"
 MIX_DOMAIN_WEIGHTS = {"d0": 2, "d1": 5, "d2": 3, "other": 1}
 MIX_LANGUAGE_WEIGHTS = {"en": 6, "fr": 2, "de": 2, "es": 1}
 MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 0.8, 3, 17

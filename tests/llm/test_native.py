@@ -295,6 +295,25 @@ def test_shortages_go_to_siblings_before_other_branches(spark):
     assert got["2"] == 85  # the shortage of 1 and 3 stays within a
 
 
+def test_nodes_without_weight_hold_no_capacity(spark):
+    leaves = [("a", "x", "1", 100), ("a", "y", "2", 10), ("b", "x", "3", 1000), ("c", "x", "4", 50), ("d", "x", "5", 30)]
+    df = frame(spark, leaves, "key_0 string, key_1 string, key_2 string, tokens long")
+    equal = mixing.equal_weights(df)
+    # a/x weighs nothing, d has no weight at all, the leaf of c weighs nothing
+    weights = [equal[0].where("key_0 <> 'd'"), equal[1].withColumn("weight", F.expr("if(key_0 = 'a' AND key_1 = 'x', 0, 1)")), equal[2].where("key_0 <> 'c'")]
+    got = {r["key_2"]: r["budget"] for r in mixing.budgets(df, weights, 200, 1).collect()}
+    assert got == {"1": 0, "2": 10, "3": 190, "4": 0, "5": 0}
+    none = [w.withColumn("weight", F.lit(0)) for w in equal]
+    assert {r["budget"] for r in mixing.budgets(df, none, 200, 1).collect()} == {0}
+
+
+def test_sources_of_any_name_are_mixed(spark):
+    docs = frame(spark, [(i, "word " * 9, s, "en") for i, s in enumerate(["src1", "srcx", "src", None, "web", "src4"])], DOCS + ", source string, lang string")
+    domains = docs.select(F.expr(queries.MIX_DOMAIN.format(text="string")).alias("d")).collect()
+    assert [r["d"] for r in domains] == ["d1", "other", "other", "other", "other", "d1"]
+    assert queries.mix_documents(docs).count() > 0
+
+
 def test_mix_takes_whole_epochs_and_a_prefix(spark):
     rows = [(i, "t " * (i % 7 + 1), "d", "en" if i % 3 else "fr", f"s{i % 2}") for i in range(200)]
     rows += [(500, None, "d", "en", "s0"), (501, "", "d", None, None), (502, "t t", "d", None, None), (502, "t t", "d", None, None)]
