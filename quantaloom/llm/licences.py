@@ -238,10 +238,13 @@ def notices(documents: DataFrame, model: Model) -> DataFrame:
     pars = paragraphs(documents).select("doc_id", "digest", "at", F.explode(F.array_distinct(terms_of(F.col("words")))).alias("term"))
     hits = pars.join(F.broadcast(model.table(spark)), "term")
     k = len(model.classes)
-    sums = [F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(k)]
-    seen = hits.groupBy("doc_id", "digest", "at").agg(*sums, F.count("*").alias("known"), F.collect_list("notices").alias("held"))
+    # a paragraph has each term once, so r rows of a term come from r equal rows of the document
+    known = F.size(F.collect_set("term"))
+    copies = F.count("*") / known
+    sums = [(F.sum(F.get("w", F.lit(i))) / copies).alias(f"s{i}") for i in range(k)]
+    seen = hits.groupBy("doc_id", "digest", "at").agg(*sums, known.alias("known"), F.collect_list("notices").alias("held"), copies.alias("copies"))
     logits = F.array(*[F.col(f"s{i}") + F.lit(float(model.intercepts[i])) for i in range(k)])
-    seen = seen.select("doc_id", "digest", "at", "known", F.flatten("held").alias("held"), logits.alias("z"))
+    seen = seen.select("doc_id", "digest", "at", "known", "copies", F.flatten("held").alias("held"), logits.alias("z"))
     top = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - top))
     seen = seen.select("*", (1 / total).alias("probability"), (F.array_position("z", top) - 1).cast("int").alias("class"))
@@ -254,7 +257,7 @@ def notices(documents: DataFrame, model: Model) -> DataFrame:
     sizes = {f"{f}#{i}": n for f, i, n in _notice_sizes(spark)}
 
     def part(key: str, n: int) -> Column:
-        common = F.size(F.filter("held", lambda h: h == key))
+        common = F.size(F.filter("held", lambda h: h == key)) / F.col("copies")
         return F.struct(common.alias("common"), F.lit(n).alias("size"), F.lit(key.split("#")[0]).alias("family"))
 
     parts = [part(key, n) for key, n in sizes.items()]

@@ -13,7 +13,7 @@ doubles the ranges spanned in each round, finds the one place where the chain th
 a last pass follows the chain from there and keeps only the records on it.
 
 Defined results: a null payload is empty; null url and page_id are written as empty fields and come back as nulls;
-equal page_ids with equal payloads: one of the rows is the response, the others revisit it; bytes after the last
+rows that share both the payload and the largest page_id are all responses (nothing tells them apart); bytes after the last
 whole record and a record that is broken off are an error; headers may be of any length; an empty table gives no archive. Payloads may hold any bytes, record headers included.
 """
 

@@ -227,6 +227,18 @@ def test_notices_are_named_and_prose_is_left_alone(spark, model):
     assert licences.scan(docs.limit(0), model).count() == 0
 
 
+def test_repeated_rows_change_no_verdict(spark, model):
+    line = "You may obtain a copy of the report at the library desk"
+    texts = [line, "Permission is hereby granted, free of charge, to any person obtaining a copy", "MIT License\n" + line]
+    once = licences.notices(frame(spark, list(enumerate(texts))), model)
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(5)]
+    often = licences.notices(frame(spark, rows).repartition(3), model)
+    facts = ["doc_id", "at", "family", "guess", "confirmed", F.round("probability", 9).alias("p")]
+    assert sorted(map(str, once.select(*facts).collect())) == sorted(map(str, often.select(*facts).collect()))
+    found = {tuple(r) for r in licences.scan(frame(spark, rows), model).select("doc_id", "n_notices", F.concat_ws(",", "families")).collect()}
+    assert len(found) == 3 and licences.scan(frame(spark, rows), model).count() == 15
+
+
 def test_every_notice_and_slightly_shortened_notices_are_found(spark, model):
     rows, want = [], {}
     for family, texts in licences.NOTICES.items():
