@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quantaloom.functions.codes import replace_level
@@ -40,12 +40,20 @@ def concat_domains(a: DataFrame, b: DataFrame, order: str = "idx", names: tuple[
 
 
 def overwrite(
-    target: DataFrame, source: DataFrame, cols: list[str], present: dict[str, Column] | None = None, on: str = "idx"
+    target: DataFrame,
+    source: DataFrame,
+    cols: list[str],
+    present: dict[str, Column] | None = None,
+    on: str = "idx",
+    seen: Observation | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Replace columns of the target by those of the same row in the source, where the source has them.
 
     ``present`` gives, per column, whether the source row has the field at all (a present null does
     overwrite); by default every non-null value is present. Returns the rows and one row of counters.
+
+    The counters are a frame of their own, which joins again when it is run. With ``seen`` the job that writes the
+    rows fills them in as well, from one join; read them from it once all rows have been written.
     """
     present = present or {}
     held = source.select(
@@ -58,7 +66,9 @@ def overwrite(
         F.count_if(F.col("__has_" + c) & ~F.col(c).eqNullSafe(F.col("__new_" + c))).alias("changed_" + c) for c in cols
     ]
     missing = [F.count_if(~F.col("__has_" + c)).alias("missing_" + c) for c in cols]
-    stats = joined.agg(F.count("*").alias("processed"), *changed, *missing)
+    counters = [F.count(F.lit(1)).alias("processed"), *changed, *missing]
+    stats = joined.agg(*counters)
+    joined = joined if seen is None else joined.observe(seen, *counters)
     merged = {c: F.when(F.col("__has_" + c), F.col("__new_" + c)).otherwise(F.col(c)) for c in cols}
     return joined.select(*[merged[c].alias(c) if c in merged else c for c in target.columns]), stats
 
@@ -83,10 +93,13 @@ def _typed_keys(df: DataFrame) -> DataFrame:
     return out.withColumn("__idx", spread)
 
 
-def patch_layer5(target: DataFrame, source: DataFrame, order: str = "line") -> tuple[DataFrame, DataFrame]:
+def patch_layer5(
+    target: DataFrame, source: DataFrame, order: str = "line", seen: Observation | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Take the fifth code from the source row of the same (idx, id, domain); its last line wins.
 
-    Rows without usable keys or without a match stay as they are. Returns the rows and the counters.
+    Rows without usable keys or without a match stay as they are. Returns the rows and the counters; ``seen`` takes
+    the counters from the job that writes the rows, as in ``overwrite``.
     """
     # copies of one key collapse in a max-by aggregate, with partial results before the shuffle
     latest = (
@@ -105,12 +118,14 @@ def patch_layer5(target: DataFrame, source: DataFrame, order: str = "line") -> t
     joined = typed.join(latest, match, "left").drop(latest["__idx"], latest["__id"])
     hit = F.col("__code").isNotNull()
     old = F.get("indices", F.lit(4))
-    stats = joined.agg(
-        F.count("*").alias("target_total"),
+    counters = [
+        F.count(F.lit(1)).alias("target_total"),
         F.count_if(~F.col("__good")).alias("target_bad"),
         F.count_if(F.col("__good") & ~hit).alias("target_missing"),
         F.count_if(hit & (old != F.col("__code"))).alias("target_changed"),
-    )
+    ]
+    stats = joined.agg(*counters)
+    joined = joined if seen is None else joined.observe(seen, *counters)
     indices = F.when(hit, replace_level(F.col("indices"), 5, F.col("__code"))).otherwise(F.col("indices"))
     columns = {"indices": indices}
     if "tokens" in target.columns:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quantaloom.functions import fields as D
@@ -22,7 +23,7 @@ from quantaloom.plans.base import (
     whole_sql,
 )
 from quantaloom.sources import jsonl, sinks
-from quantaloom.sources.vectors import read_vectors
+from quantaloom.sources.vectors import read_npy, read_vectors, write_npy
 
 
 def t_string(*keys: str) -> str:
@@ -490,6 +491,16 @@ def vector_scan(spark, sf_dir):
     return rows.select("idx", F.size("embedding").alias("dim"), *whole("embedding"))
 
 
+@query(
+    "matrix_file_round_trip",
+    f"""SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, len(embedding)::INT AS dim, {whole_sql('embedding::DOUBLE[]')} FROM embeddings""",
+)
+def matrix_file_round_trip(spark, sf_dir):
+    """The vectors as matrix files in the shared folder, and their rows as numbered when read back."""
+    paths = write_npy(table(spark, sf_dir, "embeddings"), f"{scratch(spark)}/matrix", idx="vec_id")
+    return read_npy(spark, paths).select("idx", F.size("embedding").alias("dim"), *whole("embedding"))
+
+
 # -- joins --------------------------------------------------------------------------------------------
 
 
@@ -514,13 +525,13 @@ def strict_positional_join(spark, sf_dir):
 SOURCE_SQL = f"""SELECT idx, CASE WHEN c1 = 0 THEN NULL ELSE c1 || '-' || c3 END AS sid, c2 + (c1 % 2) AS indices FROM ({ORDER_CODES_SQL})"""
 
 
-def _overwrite(spark, sf_dir):
+def _overwrite(spark, sf_dir, seen=None):
     rows = order_codes(spark, sf_dir)
     dash = F.concat_ws("-", F.col("c1").cast("string"), F.col("c4").cast("string"))
     target = rows.select("idx", dash.alias("sid"), F.col("c2").alias("indices"), "title")
     fresh = F.when(F.col("c1") != 0, F.concat_ws("-", F.col("c1").cast("string"), F.col("c3").cast("string")))
     source = rows.select("idx", fresh.alias("sid"), (F.col("c2") + F.col("c1") % 2).alias("indices"))
-    return joins.overwrite(target, source, ["sid", "indices"])
+    return joins.overwrite(target, source, ["sid", "indices"], seen=seen)
 
 
 @query(
@@ -543,6 +554,22 @@ def overwrite_counters(spark, sf_dir):
     return _overwrite(spark, sf_dir)[1]
 
 
+@query(
+    "overwrite_with_counters",
+    f"""WITH codes AS ({ORDER_CODES_SQL}), s AS ({SOURCE_SQL})
+SELECT codes.idx, coalesce(s.sid, c1 || '-' || c4) AS sid, count(*) OVER ()::BIGINT AS processed,
+count(*) FILTER (WHERE s.sid IS NOT NULL AND s.sid <> c1 || '-' || c4) OVER ()::BIGINT AS changed_sid,
+count(*) FILTER (WHERE s.sid IS NULL) OVER ()::BIGINT AS missing_sid FROM codes JOIN s ON s.idx = codes.idx""",
+)
+def overwrite_with_counters(spark, sf_dir):
+    """The rows as written, beside the counters that the writing job observed: one join gives both."""
+    seen, path = Observation(), f"{scratch(spark)}/rows"
+    rows = _overwrite(spark, sf_dir, seen)[0]
+    rows.write.parquet(path)
+    counters = [F.lit(seen.get[c]).cast("bigint").alias(c) for c in ("processed", "changed_sid", "missing_sid")]
+    return spark.read.schema(rows.schema).parquet(path).select("idx", "sid", *counters)
+
+
 @query(
     "inject_meta_json",
     f"""WITH r AS (SELECT idx, j FROM ({PARSED_SQL}))

@@ -22,9 +22,10 @@ from quantaloom.plans.base import (
     table,
     two_level_codebook,
     vectors,
+    whole,
     with_ctes,
 )
-from quantaloom.plans.vector_queries import _EMA, ITEM_VECTORS_SQL, item_vectors
+from quantaloom.plans.vector_queries import EMA_SQL, ITEM_VECTORS_SQL, item_vectors
 from quantaloom.session import cut
 from quantaloom.streaming import monitor
 from quantaloom.streaming.upkeep import CodebookUpkeep, encode_stream
@@ -343,14 +344,7 @@ def streamed_encoding(spark, sf_dir):
     return out.select("idx", F.get("codes", F.lit(0)).alias("c1"), F.get("codes", F.lit(1)).alias("c2"))
 
 
-@query(
-    "streamed_codebook_upkeep",
-    with_ctes(
-        """SELECT code::INT AS code, round(cnt, 6)::DOUBLE AS "count", round(sm / ((cnt + 1e-5) / (total + k * 1e-5) * total), 6) AS head FROM t""",
-        VECTOR_CTES,
-        _EMA,
-    ),
-)
+@query("streamed_codebook_upkeep", EMA_SQL)
 def streamed_codebook_upkeep(spark, sf_dir):
     root = scratch(spark)
     upkeep = CodebookUpkeep(spark, root + "/state", mean_codebook(vectors(spark, sf_dir), "label", 1), decay=0.9)
@@ -361,7 +355,7 @@ def streamed_codebook_upkeep(spark, sf_dir):
         .start()
     )
     run.awaitTermination()
-    return upkeep.state().select("code", F.round("count", 6).alias("count"), F.round(F.get("centroid", F.lit(0)), 6).alias("head"))
+    return upkeep.state().select("code", F.round("count", 6).alias("count"), *whole("centroid"))
 
 
 # -- windowed collisions: events as encoded items that arrive in six deliveries -----------------------------

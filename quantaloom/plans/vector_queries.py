@@ -334,41 +334,39 @@ def factored_codebook(spark, sf_dir):
     return training.materialize_codebook(weights, basis).select("code", *whole("centroid"))
 
 
-_EMA = """st AS (SELECT c1 AS code, count(*) AS n, sum(x[1]) AS s FROM coded GROUP BY c1),
-u AS (SELECT cb1.code, centroid[1] AS w, coalesce(st.n, 0) AS n, coalesce(st.s, 0) AS s FROM cb1 LEFT JOIN st ON st.code = cb1.code),
-a AS (SELECT code, 0.9 * 1 + 0.1 * n AS cnt, 0.9 * w + 0.1 * s AS sm, w, n, s FROM u),
-t AS (SELECT *, sum(cnt) OVER () AS total, sum(n) OVER () AS seen, count(*) OVER () AS k FROM a)
+# every component of the centroids, put together again per code
+_EMA = """xe AS (SELECT c1 AS code, unnest(x) AS val, generate_subscripts(x, 1) AS pos FROM coded),
+st AS (SELECT code, list(s ORDER BY pos) AS s FROM (SELECT code, pos, sum(val) AS s FROM xe GROUP BY code, pos) GROUP BY code),
+cn AS (SELECT c1 AS code, count(*) AS n FROM coded GROUP BY c1),
+u AS (SELECT cb1.code, centroid AS w, coalesce(cn.n, 0) AS n, coalesce(st.s, list_transform(centroid, lambda e: 0.0)) AS s
+      FROM cb1 LEFT JOIN st ON st.code = cb1.code LEFT JOIN cn ON cn.code = cb1.code),
+a AS (SELECT code, 0.9 * 1 + 0.1 * n AS cnt, list_transform(list_zip(w, s), lambda z: 0.9 * z[1] + 0.1 * z[2]) AS sm, w, n, s FROM u),
+t AS (SELECT *, sum(cnt) OVER () AS total, sum(n) OVER () AS seen, count(*) OVER () AS k FROM a),
+smoothed AS (SELECT code, cnt, list_transform(sm, lambda e: e / ((cnt + 1e-5) / (total + k * 1e-5) * total)) AS centroid FROM t),
+posted AS (SELECT code, list_transform(list_zip(w, s), lambda z: 0.9 * z[1] + 0.1 * z[2] / ((n + 1e-5) / (seen + k * 1e-5) * seen)) AS centroid FROM t)
 """
+EMA_SQL = with_ctes(
+    f"""SELECT code::INT AS code, round(cnt, 6)::DOUBLE AS "count", {whole_sql('centroid')} FROM smoothed""", VECTOR_CTES, _EMA
+)
 
 
-@query(
-    "ema_update",
-    with_ctes(
-        """SELECT code::INT AS code, round(cnt, 6)::DOUBLE AS "count", round(sm / ((cnt + 1e-5) / (total + k * 1e-5) * total), 6) AS head FROM t""",
-        VECTOR_CTES,
-        _EMA,
-    ),
-)
+@query("ema_update", EMA_SQL)
 def ema_update(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     state = training.ema_state(mean_codebook(rows, "label", 1))
     out = training.ema_step(state, rows, decay=0.9)
-    return out.select("code", F.round("count", 6).alias("count"), F.round(F.get("centroid", F.lit(0)), 6).alias("head"))
+    return out.select("code", F.round("count", 6).alias("count"), *whole("centroid"))
 
 
 @query(
     "ema_post_update",
-    with_ctes(
-        """SELECT code::INT AS code, round(0.9 * w + 0.1 * s / ((n + 1e-5) / (seen + k * 1e-5) * seen), 6) AS head FROM t""",
-        VECTOR_CTES,
-        _EMA,
-    ),
+    with_ctes(f"SELECT code::INT AS code, {whole_sql('centroid')} FROM posted", VECTOR_CTES, _EMA),
 )
 def ema_post_update(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     state = training.ema_state(mean_codebook(rows, "label", 1))
     out = training.ema_step(state, rows, decay=0.9, mode="post")
-    return out.select("code", F.round(F.get("centroid", F.lit(0)), 6).alias("head"))
+    return out.select("code", *whole("centroid"))
 
 
 @query(
@@ -400,10 +398,14 @@ def hashed_letters(texts: list[str]) -> np.ndarray:
     return out
 
 
+# a text in German is blank; the sums weight each of the eight counts by its place, as whole_sql does
+_POINTS = "list_transform(string_split(CASE WHEN trim(lang) = 'de' THEN '' ELSE text END, ''), lambda c: unicode(c) % 8 + 1)"
+
+
 @query(
     "embed_texts",
-    """SELECT doc_id AS idx, round(coalesce(list_sum(list_transform(string_split(CASE WHEN trim(lang) = 'de' THEN '' ELSE text END, ''), lambda c: CASE WHEN unicode(c) % 8 = 1 THEN 1 ELSE 0 END)), 0)::DOUBLE, 6) AS ones
-FROM documents""",
+    f"""SELECT idx, coalesce(list_sum(p), 0)::DOUBLE AS w1, coalesce(list_sum(list_transform(p, lambda e: e * e)), 0)::DOUBLE AS w2
+FROM (SELECT doc_id AS idx, list_filter({_POINTS}, lambda e: e > 0) AS p FROM documents)""",
 )
 def embed_texts(spark, sf_dir):
     """Texts in German are blanked first, so that missing texts occur."""
@@ -413,7 +415,7 @@ def embed_texts(spark, sf_dir):
         F.col("doc_id").alias("idx"), F.when(F.col("lang") != "de", F.col("text")).alias("text")
     )
     out = embed(docs, ["text"], hashed_letters, 8)
-    return out.select("idx", F.round(F.get("emb_text", F.lit(1)).cast("double"), 6).alias("ones"))
+    return out.select("idx", *whole("emb_text"))
 
 
 def layers() -> list[tuple[np.ndarray, np.ndarray]]:

@@ -58,10 +58,13 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], mode: str = "strict"
     """
     if mode not in ("strict", "drop", "keep"):
         raise ValueError(f"unknown mode {mode!r}")
-    rows = _scan(spark, paths).withColumn("pos", F.monotonically_increasing_id())
+    # parsed beside the position: no filter moves below a position, so a line is parsed once
+    rows = _scan(spark, paths).select(
+        "*", F.monotonically_increasing_id().alias("pos"), F.try_parse_json("value").alias("rec")
+    )
     kept = rows.where(F.trim("value") != "")
     if mode == "drop":
-        kept = kept.where(F.try_parse_json("value").isNotNull())
+        kept = kept.where(F.col("rec").isNotNull())
     # counted again after the filter: consecutive over the rows kept of each split
     kept = kept.withColumn("kept", F.monotonically_increasing_id())
     offsets = _offsets(rows, "pos")
@@ -69,7 +72,7 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], mode: str = "strict"
         offsets = offsets.join(_offsets(kept, "kept"), SPLIT, "left")
     joined = kept.join(broadcast_if_small(offsets, 512), SPLIT)
     line = F.col("pos") + F.col("pos_offset")
-    rec = F.try_parse_json("value")
+    rec = F.col("rec")
     if mode == "strict":
         message = F.concat(F.lit("malformed JSON at line "), (line + 1).cast("string"))
         rec = F.coalesce(rec, F.raise_error(message).cast("variant"))

@@ -22,9 +22,13 @@ class CodebookUpkeep:
     """EMA codebook kept as one Parquet folder per mini-batch under a state folder.
 
     A batch reads the newest state before it and writes its own folder, so a batch that runs again after
-    a failure starts from the same state and replaces only its own output.
+    a failure starts from the same state and replaces only its own output. Only the ``KEPT`` newest states stay:
+    Spark runs again at most the batch after the last one it has committed, so older ones are never read. The
+    folder that is listed at a batch thus holds the same few names however long the stream runs.
     """
 
+    KEPT = 3
+
     def __init__(
         self,
         spark: SparkSession,
@@ -39,24 +43,33 @@ class CodebookUpkeep:
         self.spark, self.folder = spark, folder
         self.decay, self.eps, self.mode = decay, eps, mode
         self.vector, self.idx = vector, idx
-        if not self._written(-1):
+        if not self._ids() and not self._written(-1):
             ema_state(codebook).write.mode("overwrite").parquet(self._path(-1))
 
     def _path(self, batch_id: int) -> str:
         return f"{self.folder}/batch={batch_id:012d}" if batch_id >= 0 else f"{self.folder}/start"
 
+    def _at(self, name: str):
+        """A path and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _written(self, batch_id: int) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(batch_id) + "/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        path, fs = self._at(self._path(batch_id) + "/_SUCCESS")
+        return fs.exists(path)
+
+    def _ids(self) -> list[int]:
+        """Batches whose state is whole, oldest first."""
+        root, fs = self._at(self.folder)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return [i for i in sorted(int(n.split("=")[1]) for n in names if n.startswith("batch=")) if self._written(i)]
 
     def state(self, before: int | None = None) -> DataFrame:
         """Newest state, or the newest one older than batch ``before``."""
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.folder)
-        names = [s.getPath().getName() for s in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)]
-        ids = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
-        ids = [i for i in ids if (before is None or i < before) and self._written(i)]
+        held = self._ids()
+        ids = [i for i in held if before is None or i < before]
+        if before and len(held) >= self.KEPT and not ids:
+            raise ValueError(f"the states before batch {before} are gone; the oldest kept is of batch {held[0]}")
         return self.spark.read.parquet(self._path(ids[-1] if ids else -1))
 
     def codebook(self) -> DataFrame:
@@ -67,6 +80,9 @@ class CodebookUpkeep:
             return
         updated = ema_step(self.state(before=batch_id), batch, self.decay, self.eps, self.mode, self.vector, self.idx)
         updated.write.mode("overwrite").parquet(self._path(batch_id))
+        for old in self._ids()[: -self.KEPT]:
+            path, fs = self._at(self._path(old))
+            fs.delete(path, True)
 
     def attach(self, stream: DataFrame) -> DataStreamWriter:
         return stream.writeStream.foreachBatch(self.fold)

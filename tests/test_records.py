@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quantaloom.operators import joins, records, sampling
@@ -28,7 +29,11 @@ def test_overwrite_with_present_nulls(spark):
     source = spark.createDataFrame([(0, "x", True), (1, None, True), (2, None, False)], "idx bigint, sid string, has boolean")
     out, stats = joins.overwrite(target, source, ["sid"], {"sid": F.col("has")})
     assert [r.sid for r in out.orderBy("idx").collect()] == ["x", None, "c"]
-    assert stats.head().asDict() == {"processed": 3, "changed_sid": 2, "missing_sid": 1}
+    counters = {"processed": 3, "changed_sid": 2, "missing_sid": 1}
+    assert stats.head().asDict() == counters
+    seen = Observation()
+    out, _ = joins.overwrite(target, source, ["sid"], {"sid": F.col("has")}, seen=seen)
+    assert len(out.collect()) == 3 and seen.get == counters
 
 
 def test_keyed_patch(spark):
@@ -49,7 +54,11 @@ def test_keyed_patch(spark):
     got = {r.line: r for r in out.collect()}
     assert got[0].indices[4] == 9 and got[0].tokens[4] == "<e_9>"
     assert got[2].tokens is None and got[4].indices == [1] and got[5].indices == five
-    assert stats.head().asDict() == {"target_total": 6, "target_bad": 3, "target_missing": 1, "target_changed": 1}
+    counters = {"target_total": 6, "target_bad": 3, "target_missing": 1, "target_changed": 1}
+    assert stats.head().asDict() == counters
+    seen = Observation()
+    out, _ = joins.patch_layer5(target, source, seen=seen)
+    assert len(out.collect()) == 6 and seen.get == counters
 
 
 def test_offset_join(spark):
@@ -187,6 +196,28 @@ def test_matrix_file(spark, tmp_path):
     assert vectors.read_npy(spark, path, max_rows=7).count() == 7
 
 
+def test_matrix_files_in_parts(spark, tmp_path, monkeypatch):
+    x = np.arange(300, dtype=np.float32).reshape(100, 3)
+    rows = spark.createDataFrame([(i * 10, v.tolist()) for i, v in enumerate(x)], "idx bigint, embedding array<float>")
+    monkeypatch.setattr(vectors, "RANGE_BYTES", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        paths = vectors.write_npy(rows.repartition(5), f"file://{tmp_path}/parts")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(paths) > 1 and np.array_equal(np.concatenate([np.load(p[len("file://"):]) for p in paths]), x)
+    got = vectors.read_npy(spark, paths).orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(100)) and [r.embedding for r in got] == x.tolist()
+    assert vectors.read_npy(spark, paths, max_rows=41).count() == 41
+    assert vectors.write_npy(rows.limit(0), f"{tmp_path}/none") == [] and vectors.read_npy(spark, []).count() == 0
+    np.save(f"{tmp_path}/columns.npy", np.asfortranarray(x))
+    np.save(f"{tmp_path}/wide.npy", np.ones((2, 4)))
+    with pytest.raises(ValueError, match="row-major"):
+        vectors.read_npy(spark, f"{tmp_path}/columns.npy")
+    with pytest.raises(ValueError, match="expected 3 components, got 4"):
+        vectors.read_npy(spark, [*paths, f"{tmp_path}/wide.npy"])
+
+
 def test_placeholder_level(spark, tmp_path):
     book = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [2.0]), (2, 0, [3.0])], "level int, code int, centroid array<double>")
     path = str(tmp_path / "book")
@@ -224,6 +255,9 @@ def test_vector_filters(spark):
     kept = sampling.finite_rows(df)
     assert sorted(r.idx for r in kept.collect()) == [0, 3, 4]
     assert sorted(r.idx for r in sampling.dedup_vectors(kept).collect()) == [0, 4]
+    rows = [(0, [0.0, nan]), (1, [-0.0, nan]), (2, [0.0]), (3, None), (4, None), (5, []), (6, [0.0, nan])]
+    same = spark.createDataFrame(rows, "idx bigint, embedding array<float>").repartition(3)
+    assert sorted(r.idx for r in sampling.dedup_vectors(same).collect()) == [0, 2, 3, 5]
 
 
 def test_codes_held_as_numbers_or_tokens(spark):

@@ -241,6 +241,22 @@ def test_upkeep_is_idempotent(spark, data, tmp_path):
     assert upkeep.codebook().count() == 8
 
 
+def test_upkeep_keeps_the_newest_states(spark, data, tmp_path):
+    x, c1, _ = data
+    folder = tmp_path / "state"
+    upkeep = CodebookUpkeep(spark, str(folder), book(spark, c1), decay=0.9)
+    for i in range(5):
+        upkeep.fold(table(spark, x[i * 40 : i * 40 + 40]), i)
+    names = sorted(p.name for p in folder.iterdir())
+    assert names == ["batch=000000000002", "batch=000000000003", "batch=000000000004", "start"]
+    once = upkeep.state().orderBy("code").collect()
+    again = CodebookUpkeep(spark, str(folder), book(spark, c1 * 0), decay=0.9)
+    again.fold(table(spark, x[160:200]), 4)
+    assert again.state().orderBy("code").collect() == once
+    with pytest.raises(ValueError, match="states before batch 1 are gone"):
+        again.fold(table(spark, x[:40]), 1)
+
+
 def test_factored_codebook(spark):
     weights = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, -1.0)], "code int, basis_id int, weight double")
     basis = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 3.0])], "basis_id int, vector array<double>")
