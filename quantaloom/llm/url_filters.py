@@ -5,13 +5,15 @@ from the day on. Per list, action and pattern the log becomes validity intervals
 removal wins. A pattern is a domain (it holds for the host and its subdomains) or ``host/segment/...`` (it holds
 for the paths of exactly that host below it). A capture offers all patterns it could meet, a few per URL, and an
 equality join on (pattern, period) with an interval condition finds those active on its day; intervals are cut
-into periods, so that a pattern that was switched often meets only the switches near a capture's day.
+into periods, so that a pattern that was switched often meets only the switches near a capture's day. Only patterns of
+the lengths (labels of a domain, segments of a path) that some entry has are offered: others could meet nothing, and a
+URL of any length offers no more patterns than the lists have lengths.
 
 Of the active patterns the longest decides; where lists disagree on it, ``block`` wins.
 
 Defined results: null or unparsable URLs and null days match nothing (verdict ``none``); entries with a null in
 any field or an unknown op are ignored; repeated captures get the same row each; without entries every verdict is
-``none``. Other columns are ignored.
+``none``. URLs may be of any length. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaloom.llm.common import fresh
+from quantaloom.llm.common import fresh, let
 from quantaloom.session import broadcast_if_small
 
 PERIOD_DAYS = 32
@@ -38,13 +40,33 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
 
 
-def patterns_of(url: Column) -> Column:
-    """Every pattern that a URL meets: the suffixes of its host, and the host with each prefix of its path."""
-    host, labels = host_of(url), F.split(host_of(url), r"\.")
-    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+def _counts(values: list[int]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<int>")
+
+
+def lengths_of(patterns: DataFrame) -> tuple[list[int], list[int]]:
+    """How many labels the domains among the patterns have, and how many segments the paths; each count once."""
+    segments, labels = [F.size(F.split("pattern", sign)) for sign in ("/", r"\.")]
+    found = patterns.select((segments - 1).alias("s"), F.when(segments == 1, labels).alias("l")).distinct().collect()
+    return sorted(r["l"] for r in found if r["s"] == 0), sorted({r["s"] for r in found if r["s"] > 0})
+
+
+def patterns_of(url: Column, labels: list[int], segments: list[int]) -> Column:
+    """The patterns that a URL meets: suffixes of its host with as many labels as given, and the host with prefixes of
+    its path with as many segments as given."""
+
+    def suffixes(own: Column) -> Column:
+        fitting = F.filter(_counts(labels), lambda n: n <= F.size(own))
+        return F.transform(fitting, lambda n: F.array_join(F.slice(own, F.size(own) - n + 1, n), "."))
+
+    def prefixes(own: Column) -> Column:
+        fitting = F.filter(_counts(segments), lambda n: n <= F.size(own["parts"]))
+        beginning = lambda n: F.array_join(F.slice(own["parts"], F.lit(1), n), "/")
+        return F.transform(fitting, lambda n: F.concat(own["host"], F.lit("/"), beginning(n)))
+
     parts = F.filter(F.split(path_of(url), "/"), lambda p: p != "")
-    prefixes = F.transform(parts, lambda _, i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
-    return F.array_distinct(F.concat(suffixes, prefixes))
+    paths = let(F.struct(host_of(url).alias("host"), parts.alias("parts")), prefixes)
+    return F.concat(let(F.split(host_of(url), r"\."), suffixes), paths)
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -66,7 +88,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     period = lambda day: F.floor(day / PERIOD_DAYS).cast("int")
     low, high = F.greatest("since", F.lit(first)), F.least(F.col("until") - 1, F.lit(last))
     lists = lists.withColumn("period", F.explode(F.sequence(period(low), period(high))))
-    keyed = caps.dropna().distinct().select("*", F.explode(patterns_of(F.col("url"))).alias("pattern"), period(F.col("day")).alias("period"))
+    keyed = caps.dropna().distinct().select("*", F.explode(patterns_of(F.col("url"), *lengths_of(lists))).alias("pattern"), period(F.col("day")).alias("period"))
     met = keyed.join(broadcast_if_small(lists, INTERVAL_BYTES), ["pattern", "period"])
     met = met.where((F.col("since") <= F.col("day")) & (F.col("day") < F.col("until")))
     # longest pattern first, then block before allow

@@ -198,6 +198,11 @@ def test_entries_hold_from_their_day_until_they_are_removed(spark):
     kept = url_filters.admitted(captures, frame(spark, entries, ENTRIES))
     assert kept.columns == captures.columns
     assert sorted(r["page_id"] for r in kept.collect()) == sorted(c[0] for c in cases if c[3] != "block")
+    far = "/".join(["s"] * 40_000)
+    deep = frame(spark, [(1, f"https://x.org/{far}", 15), (2, "https://" + "a." * 40_000 + "x.org/p/q", 15)], PAGES)
+    paths = [("l", "block", "x.org/s/s/s", 1, "add"), ("l", "allow", "x.org", 1, "add"), ("l", "block", "x.org/s/t", 1, "add")]
+    got = url_filters.judge(deep, frame(spark, paths, ENTRIES)).orderBy("page_id").collect()
+    assert [(r["verdict"], r["pattern"], r["n_active"]) for r in got] == [("block", "x.org/s/s/s", 2), ("allow", "x.org", 1)]
     none = url_filters.judge(captures, frame(spark, [], ENTRIES))
     assert none.where("verdict = 'none'").count() == len(cases)
     assert url_filters.judge(captures.limit(0), frame(spark, entries, ENTRIES)).count() == 0
