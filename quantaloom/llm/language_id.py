@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -272,22 +273,26 @@ def _keep(trees: Trees, folder: str) -> str:
     fs.create_dir(root, recursive=True)
     name = f"block-{uuid.uuid4().hex}"
     with fs.open_output_stream(f"{root}/{name}") as out:
-        out.write(pickle.dumps(trees, pickle.HIGHEST_PROTOCOL))
+        out.write(cloudpickle.dumps(trees))
     return f"{folder}/{name}"
 
 
 def predict(documents: DataFrame, trees: Trees | Blocks | None, text: str = "text") -> Column:
-    """A column (lang_pred, score) for a text column."""
+    """A column (lang_pred, score) for a text column.
+
+    The model travels with its code, so that executors need no copy of this package; a task rebuilds it once.
+    """
     shape = "lang_pred string, score double"
     if trees is None:
         return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = documents.sparkSession.sparkContext.broadcast(trees)
+    sent = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(trees))
 
     @F.pandas_udf(shape)
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        model = sent.value.ready()
-        best, share = model.predict(texts.tolist())
-        return pd.DataFrame({"lang_pred": [model.languages[i] for i in best], "score": share})
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = pickle.loads(sent.value).ready()
+        for texts in batches:
+            best, share = model.predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": [model.languages[i] for i in best], "score": share})
 
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     asked = F.when(letters, F.col(text).cast("binary")).otherwise(F.lit(b""))

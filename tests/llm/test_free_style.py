@@ -5,12 +5,15 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quantaloom.llm import jaccard_join, language_id, queries, simple8b, token_files, toxicity, warc
@@ -368,6 +371,20 @@ def test_code_lengths_are_exact(spark, sf_dir):
     assert np.allclose(got, want, rtol=1e-4)
 
 
+def test_model_needs_no_copy_of_the_package(spark, sf_dir, tmp_path):
+    docs = queries.table(spark, sf_dir, "documents").where("doc_id < 60")
+    texts = [r[0].encode() for r in docs.select("text").where("text IS NOT NULL").limit(5).collect()]
+    for i, trees in enumerate([language_id.fit(docs), language_id.fit(docs, entries=2000)]):
+        want, _ = trees.ready().predict(texts)
+        (tmp_path / f"model{i}").write_bytes(cloudpickle.dumps((trees, texts)))
+        code = (
+            "import pickle, sys; trees, texts = pickle.loads(open(sys.argv[1], 'rb').read()); "
+            "assert 'quantaloom' not in sys.modules; print(*trees.ready().predict(texts)[0])"
+        )
+        done = subprocess.run([sys.executable, "-c", code, f"model{i}"], cwd=tmp_path, capture_output=True, text=True, env={}, check=True)
+        assert done.stdout.split() == [str(w) for w in want]
+
+
 def test_blocks_give_the_code_lengths_of_all_sequences(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rare = [(1000 + i, f"zażółć gęślą jaźń numer {i} w języku", "pl") for i in range(10)]
