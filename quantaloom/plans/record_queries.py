@@ -334,6 +334,28 @@ def record_codes(spark, sf_dir):
     return out.select("idx", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
 
 
+# codes as numbers or as tokens, in any of the three fields; an empty field is passed over
+_FORMS = {
+    0: """'{"indices":[' || c1 || ',' || c2 || '],"tokens":["<a_9>"]}'""",
+    1: """'{"tokens":["<a_' || c1 || '>","<b_' || c2 || '>"],"sid":[9]}'""",
+    2: """'{"indices":[],"sid":["<a_' || c1 || '>","<b_' || c2 || '>"]}'""",
+    3: """'{"tokens":[],"sid":[' || c1 || ',' || c2 || ']}'""",
+    4: """'{"indices":["<a_' || c1 || '>","<b_' || c2 || '>"],"sid":[9,9]}'""",
+    5: """'{"indices":[],"tokens":[],"sid":[]}'""",
+}
+CODE_FORMS = "CASE idx % 6 " + " ".join(f"WHEN {i} THEN {e}" for i, e in _FORMS.items()) + " END"
+
+
+@query(
+    "record_codes_of_all_forms",
+    f"""SELECT idx, CASE WHEN idx % 6 <> 5 THEN c1 || ',' || c2 END AS codes FROM ({ORDER_CODES_SQL})""",
+)
+def record_codes_of_all_forms(spark, sf_dir):
+    rows = order_codes(spark, sf_dir).select("idx", F.expr(CODE_FORMS).alias("raw"))
+    out = records.record_codes(rows.select("idx", F.parse_json("raw").alias("rec")))
+    return out.select("idx", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
 @query(
     "code_validity",
     f"""SELECT count(*)::BIGINT AS total, count(*) FILTER (WHERE {t_string('domain')} IS NULL)::BIGINT AS missing_domain,
@@ -655,6 +677,18 @@ def concat_and_inject(spark, sf_dir):
     return out.select("idx", "domain", "name", F.array_join(F.col("sid").cast("array<string>"), ",").alias("sid"))
 
 
+@query(
+    "inject_every_row",
+    f"""WITH c AS ({ORDER_CODES_SQL}) SELECT idx, o_orderpriority AS name, c1 || ',' || c2 || ',' || c3 AS sid FROM orders JOIN c ON o_orderkey = idx""",
+)
+def inject_every_row(spark, sf_dir):
+    """Items and codes as they are, nothing left out first: the job itself holds that rows match one to one."""
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("name"))
+    codes = order_codes(spark, sf_dir).select("idx", F.array("c1", "c2", "c3").alias("codes"))
+    out = joins.inject_codes(items, codes, levels=3)
+    return out.select("idx", "name", F.array_join(F.col("sid").cast("array<string>"), ",").alias("sid"))
+
+
 @query(
     "alignment_gaps",
     "SELECT doc_id AS idx, source AS id, lang AS other_id FROM documents WHERE source IS DISTINCT FROM lang",
