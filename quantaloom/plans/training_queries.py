@@ -223,6 +223,32 @@ def balanced_assignment(spark, sf_dir):
     return out.groupBy("code").agg(F.count("*").alias("rows"))
 
 
+# row numbers move the vectors a little, so that no two rows are equally far from both means
+APART = "list_transform(x, lambda v: v + idx * 0.0001)"
+
+
+@query(
+    "balanced_two_codes",
+    with_ctes(
+        f"""SELECT idx, (CASE WHEN place <= (n + 1 - code) // 2 THEN code ELSE 1 - code END)::INT AS code
+FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY abs(a - b) DESC) AS place FROM (
+SELECT idx, a, b, CASE WHEN a <= b THEN 0 ELSE 1 END AS code, count(*) OVER () AS n FROM (
+SELECT idx, max(d) FILTER (code = 0) AS a, max(d) FILTER (code = 1) AS b FROM (
+SELECT idx, code, list_distance(x, centroid) ** 2 AS d FROM moved, halves) GROUP BY idx)))""",
+        VECTOR_CTES,
+        f"moved AS (SELECT idx, label, {APART} AS x FROM v)",
+        """halves AS (SELECT code, list(m ORDER BY pos) AS centroid FROM (SELECT code, pos, avg(val) AS m FROM (
+SELECT label % 2 AS code, unnest(x) AS val, generate_subscripts(x, 1) AS pos FROM moved) GROUP BY code, pos) GROUP BY code)""",
+    ),
+)
+def balanced_two_codes(spark, sf_dir):
+    """Which of two codes each row gets: the fuller one keeps the rows that lose most by leaving."""
+    moved = F.transform("embedding", lambda v: v.cast("double") + F.col("idx") * F.lit(0.0001))
+    rows = vectors(spark, sf_dir).withColumn("embedding", moved).withColumn("half", F.col("label") % 2)
+    book = cut(mean_codebook(rows, "half", 1))
+    return balance.balance(rows, book, iters=0, tau=10.0, vector="embedding").select("idx", "code")
+
+
 @query(
     "balanced_last_level",
     """WITH c AS (SELECT count(*) AS n FROM embeddings)

@@ -158,6 +158,56 @@ def test_capacities_hold_exactly(spark, data, topk, n):
     assert counts.tolist() == [n // 8 + (c < n % 8) for c in range(8)]
 
 
+def plain_balance(plan, ties, room):
+    """Pairs of row and code from the best score down, ties by the larger hash: taken while both are free."""
+    free, out = list(room), {}
+    order = sorted(((s, ties[i], -c, i) for (i, c), s in np.ndenumerate(plan)), reverse=True)
+    for _, _, c, i in order:
+        if i not in out and free[-c]:
+            out[i] = -c
+            free[-c] -= 1
+    return out
+
+
+@pytest.mark.parametrize("topk,n,spread,sizes", [(8, 203, 1.0, None), (4, 90, 3.0, [0, 5, 40, 1, 30, 9, 5, 20]), (8, 60, 0.0, None)])
+def test_balance_is_the_stable_assignment(spark, data, topk, n, spread, sizes):
+    _, c1, _ = data
+    x = c1[0] + np.random.default_rng(5).normal(size=(n, 6)) * spread
+    rows = table(spark, x)
+    got = balance.balance(rows, book(spark, c1), iters=0, tau=2.0, topk=topk, vector="embedding", sizes=sizes).collect()
+    hashes = rows.select("idx", F.xxhash64(F.lit(42), "idx").alias("h")).collect()
+    ties = {r.idx: r.h % (1 << 64) for r in hashes}
+    plan = balance._log_plan(x, assign.load_levels(book(spark, c1))[0], np.zeros(8), 2.0)
+    if spread == 0.0:
+        plan = np.repeat(plan[:1], n, axis=0)
+    want = plain_balance(plan, ties, balance.capacities(n, 8) if sizes is None else sizes)
+    assert {r.idx: r.code for r in got} == want
+
+
+def test_bins_keep_the_order_of_keys():
+    rng = np.random.default_rng(3)
+    score = np.r_[-np.exp(rng.normal(size=500) * 9), 0.0, -0.0, np.full(98, -1.5)]
+    tie = rng.integers(0, 1 << 64, 600, dtype=np.uint64)
+    keys = [(int(a) << 64) | int(b) for a, b in zip(balance._ordered_bits(score), tie)]
+    for low, high in [(0, balance.TOP), (sorted(keys)[50], sorted(keys)[400]), (sorted(keys)[300], sorted(keys)[301]), (keys[7], keys[7] + 1)]:
+        cuts = balance.Cutoffs(np.ones(1, np.int64))
+        cuts.low, cuts.high = [low], [high]
+        upper, lower, bits = cuts.arrays()
+        inside = np.array([key >= low for key in keys])
+        assert (balance._admitted(score, tie, upper, lower) == inside).all()
+        zeros = np.zeros(inside.sum(), int)
+        got = balance._bins(score[inside], tie[inside], upper[zeros], lower[zeros], bits[zeros])
+        assert got.tolist() == [min((key - low) >> int(bits[0]), 1 << balance.BIN_BITS) for key in keys if key >= low]
+
+
+def test_balance_refuses_repeated_row_numbers_and_takes_no_rows(spark, data):
+    _, c1, _ = data
+    rows = table(spark, np.repeat(c1[:1], 20, axis=0))
+    with pytest.raises(ValueError, match="unique"):
+        balance.balance(rows.withColumn("idx", F.lit(1).cast("long")), book(spark, c1), iters=0, tau=1.0, vector="embedding")
+    assert balance.balance(rows.where("idx < 0"), book(spark, c1), iters=1, tau=1.0, vector="embedding").collect() == []
+
+
 def test_potentials_balance_the_columns(spark, data):
     x, c1, _ = data
     level = assign.load_levels(book(spark, c1))[0]
