@@ -16,8 +16,8 @@ With ``special`` a special token's string in a text gives its id, as the tokeniz
 text. Texts that hold the string of an added token are encoded whole, without cuts.
 
 Defined results: null and empty texts are documents with the end id alone; repeated rows are documents of their own;
-equal doc_ids are ordered by text, null doc_ids come first; an empty table gives no shard with documents. Other
-columns are ignored.
+equal doc_ids are ordered by text and may fill many shards (only texts that begin alike stay in one), null doc_ids come
+first; an empty table gives no shard with documents. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from quantaloom.llm.common import shared_folder
 MAGIC = b"S8BSHRD1"
 END_ID = 0
 CACHE_PIECES = 600_000
+TIE_CHARS = 64  # of a text, by which documents of one doc_id are dealt to shards; inside a shard whole texts are compared
 SPACES = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0B}\x{1C}-\x{1F}"
 ODD = rf"[{SPACES}][{SPACES}]|[\x00-\x02]"
 CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -192,7 +193,8 @@ def write(documents: DataFrame, tokenizer_path: str, folder: str | None = None,
     folder = folder or shared_folder(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = docs.repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    first = F.asc_nulls_first("doc_id")
+    ordered = docs.repartitionByRange(parts, first, F.substring("text", 1, TIE_CHARS)).sortWithinPartitions(first, "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -219,6 +219,14 @@ def test_files_hold_the_corpus_in_order(spark, tokenizer):
     assert token_files.read(spark, token_files.write(docs.limit(0), queries.public_tokenizer())).count() == 0
 
 
+def test_an_id_shared_by_most_rows_fills_many_shards(spark):
+    rows = [(None, f"{i * 7919 % 1000} words") for i in range(600)] + [(i, "other") for i in range(200)]
+    shards = token_files.write(frame(spark, rows).repartition(4), queries.public_tokenizer())
+    assert max(n for _, n, _ in shards) < 300
+    texts = [(r["doc_id"] is not None, r["start"]) for r in token_files.read(spark, shards).orderBy("start").collect()]
+    assert len(texts) == 800 and texts == sorted(texts)
+
+
 def test_special_strings_in_a_text_are_those_of_the_plain_tokenizer(spark, tmp_path):
     from tokenizers import Tokenizer
 
