@@ -273,13 +273,47 @@ def test_toxicity_edge_cases(spark):
     assert docs.limit(0).select(toxicity.score(model, docs)).count() == 0
 
 
-def test_thresholds_follow_the_language_group():
-    assert toxicity.language_group("für die größe") == "de"
-    assert toxicity.language_group("plain words") == ""
+def test_thresholds_follow_the_language_of_the_text():
+    model = toxicity.Model()
+    assert model.groups(["für die größe", ""]) == ["", ""]
+    model.learn_languages(["Für die größe Straße über Brücken", "the whole of this with that", "zzz", ""], ["de", "en", None, "xx"])
+    assert model.groups(["GRÖSSE für", "with the", "12 !", ""]) == ["de", "en", "", ""]
     logits, labels = np.array([1.0, 2.0, 3.0, 4.0]), np.array([0, 0, 1, 1])
     assert toxicity._threshold(logits, labels) == 2.5
 
 
+def plain_score(model, text):
+    """One score from its definition, a window and a filter at a time."""
+    words = [w for w in re.split(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.encode()) if w]
+    lowered = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    places = [toxicity._buckets([w])[0] for w in lowered]
+    vectors = [model.table[a] + model.table[b] for a, b in places] or [np.zeros(toxicity.DIM)]
+    vectors += [np.zeros(toxicity.DIM)] * toxicity.PAD
+    logit, unit = float(model.offset), 0
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            responses = []
+            for start in range(max(len(lowered), 1)):
+                total = 0.0
+                for j in range(width):
+                    column = model.columns.index((width, j)) * toxicity.FILTERS + f
+                    total += float(vectors[start + j] @ model.filters[:, column])
+                responses.append(total)
+            logit += max(max(responses) + float(model.bias[unit]), 0.0) * float(model.out[unit])
+            unit += 1
+    group = model.groups([text])[0]
+    return 1 / (1 + np.exp(-(logit - model.thresholds.get(group, model.thresholds["*"]))))
+
+
+def test_scores_follow_their_definition_and_repeats_change_no_model(spark, sf_dir):
+    docs, labels = (queries.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = [r["text"] or "" for r in docs.select("text").limit(40).collect()] + ["", "One", "two words"]
+    assert np.allclose(model.scores(texts), [plain_score(model, t) for t in texts], atol=1e-4)
+    again = toxicity.fit(docs.union(docs).union(docs.where("doc_id < 50")), labels)
+    assert again.thresholds == model.thresholds and (again.table == model.table).all()
+
+
 # -- WARC -------------------------------------------------------------------------------------------------
 
 
