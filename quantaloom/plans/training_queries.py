@@ -350,8 +350,9 @@ def row_centred_batch_codes(spark, sf_dir):
 
 
 def vector_stream(spark, sf_dir):
+    """The table as a stream, be it one file or a folder of files: a stream cannot start at a file but at a pattern."""
     schema = "vec_id bigint, embedding array<float>, label int"
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    source = spark.readStream.schema(schema).parquet(sf_dir.rstrip("/") + "/{embeddings.parquet}")
     return source.select(F.col("vec_id").alias("idx"), "embedding", "label")
 
 
@@ -366,7 +367,7 @@ def streamed_encoding(spark, sf_dir):
         .start(root + "/codes")
     )
     run.awaitTermination()
-    out = spark.read.parquet(root + "/codes")
+    out = spark.read.schema(coded.schema).parquet(root + "/codes")
     return out.select("idx", F.get("codes", F.lit(0)).alias("c1"), F.get("codes", F.lit(1)).alias("c2"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantaloom.functions import vectors as V
 from quantaloom.operators import assign, balance, encode, sums, training
+from quantaloom.plans import training_queries
 from quantaloom.streaming import upkeep
 from quantaloom.streaming.upkeep import CodebookUpkeep
 
@@ -382,3 +383,19 @@ def test_sample_of_any_size_is_the_rows_with_the_smallest_keys(spark, monkeypatc
     order = [r[0] for r in df.orderBy(sampling.draw_key("idx", 4), "idx").collect()]
     for n in (1, 2, 77, 499):
         assert {r[0] for r in sampling.sample_rows(df, n, 4).collect()} == set(order[:n])
+
+
+def test_streams_read_a_table_of_one_file_and_of_many(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(i % 3, 1, 8)], i % 3) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    table.repartition(4).write.parquet(str(tmp_path / "many" / "embeddings.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "one_file"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "one_file").glob("part-*")).rename(tmp_path / "one" / "embeddings.parquet")
+    for folder in (str(tmp_path / "many"), str(tmp_path / "one")):
+        coded = {r["idx"]: [r["c1"], r["c2"]] for r in training_queries.streamed_encoding(spark, folder).collect()}
+        want = assign.encode(training_queries.vectors(spark, folder), training_queries.two_level_codebook(spark, folder)).collect()
+        assert coded == {r["idx"]: r["codes"] for r in want} and len(coded) == 60
+        counts = [r["count"] for r in training_queries.streamed_codebook_upkeep(spark, folder).collect()]
+        assert abs(sum(counts) - (0.9 * 3 + 0.1 * 60)) < 1e-4  # three codes start at one row each
