@@ -5,9 +5,12 @@ Words (runs of bytes other than ASCII punctuation and white space, A-Z in lower
 another still differs from it. Filters of ``WIDTHS`` words slide over a text, each keeps its largest response, and a
 logistic layer reads these. Words that training never met have the zero vector, and so no effect.
 
-Training takes a bounded sample of labelled texts: about ``sample`` ids, by their hash, and one text of each (that with
-the least digest, if an id has several);
-one fifth of them is kept back to calibrate a threshold for each language. Which language a text is scored as comes from
+Training takes every labelled id that is not held out, and one text of each (that with the least digest, if an id has
+several). The ids are dealt by hash to workers, about ``TEXTS`` to each (beyond ``WORKERS`` of them, to that many); in a
+round each worker passes over its texts from the common model, a chunk at a time, and what the workers changed is
+averaged, a bucket's vector over those that met it. The first component of a bucket starts at the log odds of all
+texts with it. One fifth of the ids is kept back to calibrate a threshold for each language, from counts of all their
+responses in steps of 1 / ``STEPS``. Which language a text is scored as comes from
 its own bytes, never from a column: training learns how often each letter's bytes occur in the texts of each language,
 and a text goes to the language that makes its letters likeliest. A score is the sigmoid of the distance to the group's threshold, so 0.5 is
 the calibrated threshold everywhere; a language with fewer than ``MIN_CALIBRATION`` examples of either label uses the
@@ -21,22 +24,29 @@ score is 0. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantaloom.llm.common import release, slices
+from quantaloom.session import cut
+
 BUCKETS = 1 << 18
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 4  # of each width
-SAMPLE = 8_000
-SEEN = 24_000  # texts that training passes over, in 3 to 20 epochs
-BATCH = 64
+TEXTS, WORKERS = 4_000, 64
+BROADCAST_IDS = 1 << 22
+SEEN, ROUNDS = 24_000, 4  # few texts are passed over 20 times, until so many are seen; many texts in so many rounds
+BATCH, CHUNK, BLOCK = 64, 256, 1 << 14
+STEPS, HIGHEST = 256, 64  # the responses that calibration counts
 MIN_CALIBRATION = 10
 PAD = max(WIDTHS) - 1
 # bytes that a language profile counts: letters in lower case and all bytes beyond ASCII
@@ -68,22 +78,6 @@ def _word_index(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray,
     return words, flat, starts, n
 
 
-def _word_index_in_steps(texts: list[str], step: int = 256) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The same for many texts, without all their words in memory at once."""
-    number: dict[bytes, int] = {}
-    flats, starts, counts, at = [], [], [], 0
-    for i in range(0, len(texts), step):
-        words, flat, start, n = _word_index(texts[i : i + step])
-        own = np.array([number.setdefault(w, len(number)) for w in words] + [-1], np.int32)
-        flats.append(own[flat])
-        starts.append(start + at)
-        counts.append(n)
-        at += len(flat)
-    flat = np.concatenate(flats)
-    flat[flat < 0] = len(number)
-    return list(number), flat, np.concatenate(starts), np.concatenate(counts)
-
-
 def _buckets(words: list[bytes]) -> np.ndarray:
     first = np.fromiter((crc32(w) for w in words), np.int64, len(words))
     second = np.fromiter((crc32(w, 0x5BD1E995) for w in words), np.int64, len(words))
@@ -133,30 +127,29 @@ class Model:
         edges = np.stack([starts, starts + np.maximum(n, 1)], 1).ravel()
         return self._pooled(self._embed(_buckets(words)), flat, edges) @ self.out + self.offset
 
-    def train(self, texts: list[str], labels: np.ndarray, seed: int = 7) -> None:
-        words, flat, starts, n = _word_index_in_steps(texts)
-        buckets = np.concatenate([_buckets(words), np.zeros((1, 2), np.int64)])
-        rng = np.random.default_rng(seed)
-        met = np.unique(buckets)
-        self.table[met] = rng.normal(0, 0.02, (len(met), DIM))
-        self._lean(flat, starts, n, buckets, labels)
-        state = {k: np.full(getattr(self, k).shape, 1e-6, np.float32) for k in ("table", "filters", "bias", "out")}
-        for _ in range(min(20, max(3, SEEN // max(1, len(texts))))):
-            order = rng.permutation(len(texts))
-            for b in range(0, len(order), BATCH):
-                self._step(order[b : b + BATCH], flat, starts, n, buckets, labels, state)
+    def start(self, hits: np.ndarray, seed: int = 7) -> None:
+        """Vectors for the buckets of the training texts; ``hits`` are the clean and the toxic texts with each, and in
+        all (the last row). The first component starts at the shrunk log odds."""
+        met = np.flatnonzero(hits[:-1].sum(1))
+        self.table[met] = np.random.default_rng(seed).normal(0, 0.02, (len(met), DIM))
+        prior, weight = max(hits[-1, 1] / hits[-1].sum(), 1e-6), 20.0
+        odds = np.log((hits[met, 1] + weight * prior) / ((hits[met].sum(1) + weight) * prior))
+        self.table[met, 0] += np.clip(odds, -3, 3) / 4
         self.trained = True
 
-    def _lean(self, flat, starts, n, buckets, labels) -> None:
-        """Start the first component of each word at the shrunk log odds of the labels of texts with it."""
-        hits = np.zeros((2, len(buckets)), np.int64)
-        for start, count, y in zip(starts, n, labels):
-            hits[int(y), np.unique(flat[start : start + max(count, 1)])] += 1
-        prior, weight = max(float(labels.mean()), 1e-6), 20.0
-        odds = np.log((hits[1] + weight * prior) / ((hits[0] + hits[1] + weight) * prior))
-        np.add.at(self.table[:, 0], buckets[:-1].ravel(), np.repeat(np.clip(odds[:-1], -3, 3) / 4, 2))
+    def epoch(self, chunks: Iterable[tuple[list[str], np.ndarray]], state: dict, rng: np.random.Generator) -> np.ndarray:
+        """Steps over the texts and labels, chunk by chunk; how many steps met each bucket, and the texts (last)."""
+        met = np.zeros(2 * BUCKETS + 1)
+        for texts, labels in chunks:
+            words, flat, starts, n = _word_index(texts)
+            buckets = np.concatenate([_buckets(words), np.zeros((1, 2), np.int64)])
+            order = rng.permutation(len(texts))
+            for b in range(0, len(order), BATCH):
+                met[self._step(order[b : b + BATCH], flat, starts, n, buckets, labels, state)] += 1
+            met[-1] += len(texts)
+        return met
 
-    def _step(self, docs, flat, starts, n, buckets, labels, state, rate: float = 0.1) -> None:
+    def _step(self, docs, flat, starts, n, buckets, labels, state, rate: float = 0.1) -> np.ndarray:
         size = np.maximum(n[docs], 1) + PAD
         at = np.cumsum(size) - size
         places = np.concatenate([np.arange(starts[d], starts[d] + s) for d, s in zip(docs, size)])
@@ -193,15 +186,16 @@ class Model:
             state[k] += g**2
             setattr(self, k, getattr(self, k) - 0.3 * rate * g / np.sqrt(state[k]))
         self.offset -= np.float32(rate * miss.sum())
+        return np.unique(buckets[used[touched]])
 
     def learn_languages(self, texts: list[str], languages: list[str | None]) -> None:
         """Log shares of letter bytes in the texts of each language."""
-        counts: dict[str, np.ndarray] = {}
-        for text, language in zip(texts, languages):
-            if language is not None:
-                counts[language] = counts.get(language, 1.0) + _letters([text])[0]
+        self.set_profiles(_letters_by_language(texts, languages))
+
+    def set_profiles(self, counts: dict[str, np.ndarray]) -> None:
         self.languages = sorted(counts)
-        self.profiles = np.array([np.log(counts[g] / counts[g].sum()) for g in self.languages]).reshape(-1, 256)
+        shares = [(counts[g] + 1.0) / (counts[g] + 1.0).sum() for g in self.languages]
+        self.profiles = np.log(np.array(shares)).reshape(-1, 256)
 
     def groups(self, texts: list[str]) -> list[str]:
         """The language of each text; "" without letters or known languages."""
@@ -211,15 +205,13 @@ class Model:
         best = (letters @ self.profiles.T).argmax(1)
         return [self.languages[i] if some else "" for i, some in zip(best, letters.any(1))]
 
-    def calibrate(self, texts: list[str], labels: np.ndarray) -> None:
-        """Per language, the threshold with the fewest errors, halfway to the next logit."""
-        logits = np.concatenate([self.logits(texts[i : i + 256]) for i in range(0, len(texts), 256)])
-        groups = np.array(self.groups(texts))
-        self.thresholds = {"*": _threshold(logits, labels)}
+    def calibrate(self, groups: np.ndarray, logits: np.ndarray, labels: np.ndarray, times: np.ndarray) -> None:
+        """Per language, the threshold with the fewest errors, halfway to the next logit that occurs."""
+        self.thresholds = {"*": _threshold(logits, labels, times)}
         for g in self.languages:
             own = groups == g
-            if min((labels[own] == 1).sum(), (labels[own] == 0).sum()) >= MIN_CALIBRATION:
-                self.thresholds[g] = _threshold(logits[own], labels[own])
+            if min(times[own & (labels == 1)].sum(), times[own & (labels == 0)].sum()) >= MIN_CALIBRATION:
+                self.thresholds[g] = _threshold(logits[own], labels[own], times[own])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.trained:
@@ -240,49 +232,224 @@ class Model:
         return model
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    order = np.argsort(logits)
-    x, y = logits[order].astype(float), labels[order]
+def _threshold(logits: np.ndarray, labels: np.ndarray, times: np.ndarray | int = 1) -> float:
+    x, at = np.unique(logits.astype(float), return_inverse=True)
+    toxic, clean = (np.bincount(at, (labels == y) * times, minlength=len(x)) for y in (1, 0))
     # errors when the first i are called clean: toxic ones among them, clean ones among the rest
-    errors = np.r_[0, np.cumsum(y == 1)] + (y == 0).sum() - np.r_[0, np.cumsum(y == 0)]
+    errors = np.r_[0, np.cumsum(toxic)] + clean.sum() - np.r_[0, np.cumsum(clean)]
     best = np.flatnonzero(errors == errors.min())
     i = int(best[len(best) // 2])
     edges = np.r_[x[:1] - 1, (x[1:] + x[:-1]) / 2, x[-1:] + 1]
     return float(edges[i]) if len(x) else 0.0
 
 
+def _letters_by_language(texts: list[str], languages: list[str | None]) -> dict[str, np.ndarray]:
+    counts: dict[str, np.ndarray] = {}
+    for text, language in zip(texts, languages):
+        if language is not None:
+            counts[language] = counts.get(language, 0.0) + _letters([text])[0]
+    return counts
+
+
 def held_out(doc_id: Column) -> Column:
     """The fifth of all documents that no training sees."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from about ``sample`` labelled texts at most, none of them held out."""
+PACKED = pa.schema([("text", pa.large_string()), ("lang", pa.string()), ("toxic", pa.int8()), ("later", pa.bool_())])
+KINDS = ["clean", "toxic", "later_clean", "later_toxic"]
+
+
+def _packed(documents: DataFrame, known: DataFrame, count: int) -> DataFrame:
+    """One partition per worker; a row is a compressed chunk of its labelled texts, with the texts of each kind."""
+    workers = max(1, min(WORKERS, -(-count // TEXTS)))
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        held = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PACKED)], schema=PACKED)
+        with pa.ipc.new_stream(sink, PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(held)
+        counts = [sum(y == label and late == later for *_, y, late in rows) for later in (False, True) for label in (0, 1)]
+        return pa.RecordBatch.from_pydict({"chunk": pa.array([sink.getvalue().to_pybytes()], pa.binary())} | {k: [n] for k, n in zip(KINDS, counts)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size, of, toxic = [], 0, None, None
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for doc, label, text, lang in zip(*(part.column(c).to_pylist() for c in ("doc_id", "toxic", "text", "lang"))):
+                    if doc != of:
+                        of, toxic = doc, None
+                    if label is not None:  # comes before the texts of its id
+                        toxic = label
+                    elif toxic is not None:
+                        rows.append((text, lang, int(toxic > 0), crc32(b"calibration%d" % doc) % 5 == 0))
+                        toxic, size = None, size + len(text)  # other texts of the id are passed over
+                        if len(rows) == CHUNK or size > 1 << 22:
+                            yield pack(rows)
+                            rows, size = [], 0
+        if rows:
+            yield pack(rows)
+
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    texts = documents.select("doc_id", F.lit(None).cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    texts = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("digest", F.md5("text"))
+    if count <= BROADCAST_IDS:  # texts without a label need not move; of more ids they move and are passed over
+        texts = texts.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    labels = known.select("doc_id", "toxic", *[F.lit(None).cast("string").alias(c) for c in ("text", "lang", "digest")])
+    both = texts.unionByName(labels).repartition(workers, "doc_id")
+    both = both.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", F.col("toxic").isNull(), "digest", "lang")
+    kinds = ", ".join(f"{k} long" for k in KINDS)
+    return cut(both.select("doc_id", "toxic", "text", "lang").mapInArrow(run, f"chunk binary, {kinds}"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str | None], np.ndarray, np.ndarray]]:
+    """Texts, languages, labels and whether they are kept back, chunk by chunk."""
+    for batch in batches:
+        for chunk in batch.column("chunk"):
+            held = pa.ipc.open_stream(chunk.as_buffer()).read_all().to_pydict()
+            yield held["text"], held["lang"], np.array(held["toxic"], np.int64), np.array(held["later"], bool)
+
+
+def _rows(chunks: Iterable[tuple], later: bool | None) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and labels of the rows that are kept back, those that are not, or (None) all."""
+    for texts, _, toxic, late in chunks:
+        own = np.flatnonzero((late == later) if later is not None else np.ones(len(late), bool))
+        if len(own):
+            yield [texts[i] for i in own], toxic[own]
+
+
+SUMS = "worker int, name string, block int, at binary, sums binary"
+
+
+def _sent(name: str, at: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of an array, in blocks."""
+    for block in np.unique(at // BLOCK):
+        own = at // BLOCK == block
+        held = [[TaskContext.get().partitionId()], [name], [int(block)], [at[own].astype(np.int64).tobytes()], [values[own].astype(np.float64).tobytes()]]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(held, (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["worker", "name", "block", "at", "sums"])
+
+
+def _summed(sent: DataFrame, width: dict[str, int], default: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The sums over all workers, name by name and block by block; added in the workers' order."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("worker").to_pylist()
+        name, block = rows[0]["name"], rows[0]["block"]
+        columns = width.get(name, default)
+        total, met = np.zeros((BLOCK, columns)), np.zeros(BLOCK, bool)
+        for row in rows:
+            at = np.frombuffer(row["at"], np.int64) - block * BLOCK
+            total[at] += np.frombuffer(row["sums"]).reshape(-1, columns)
+            met[at] = True
+        at = np.flatnonzero(met)
+        held = {"worker": pa.array([0], pa.int32()), "name": [name], "block": pa.array([block], pa.int32())}
+        return pa.table(held | {"at": pa.array([(at + block * BLOCK).tobytes()], pa.binary()), "sums": pa.array([total[at].tobytes()], pa.binary())})
+
+    for row in sent.groupBy("name", "block").applyInArrow(add, SUMS).toLocalIterator():
+        yield row["name"], np.frombuffer(row["at"], np.int64), np.frombuffer(row["sums"]).reshape(-1, width.get(row["name"], default))
+
+
+def _statistics(packed: DataFrame, later: bool | None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Clean and toxic training texts with each bucket (and in all), and letter counts by language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, letters = np.zeros((2 * BUCKETS + 1, 2)), {}
+        for chunk in _chunks(batches):
+            for language, counts in _letters_by_language(*chunk[:2]).items():
+                letters[language] = letters.get(language, 0.0) + counts
+            for texts, toxic in _rows([chunk], later):
+                words, flat, starts, n = _word_index(texts)
+                buckets = _buckets(words)
+                for start, count, y in zip(starts, n, toxic):
+                    hits[np.unique(buckets[np.unique(flat[start : start + count])]), y] += 1
+                    hits[-1, y] += 1
+        met = np.flatnonzero(hits.sum(1))
+        yield from _sent("", met, hits[met])
+        for language, counts in letters.items():
+            yield from _sent("=" + language, np.arange(256), counts[:, None])
+
+    hits, letters = np.zeros((2 * BUCKETS + 1, 2)), {}
+    for name, at, sums in _summed(packed.mapInArrow(run, SUMS), {"": 2}, 1):
+        if name:
+            letters[name[1:]] = sums[:, 0]
+        else:
+            hits[at] = sums
+    return hits, letters
+
+
+SMALL = ("filters", "bias", "out")
+
+
+def _round(packed: DataFrame, model: Model, state: dict, turn: int, later: bool | None) -> None:
+    """One pass of every worker over its texts, and the mean of what they changed."""
+    spark = packed.sparkSession
+    met = np.flatnonzero(np.abs(model.table).sum(1))
+    shared = spark.sparkContext.broadcast((model.compact(), met.astype(np.int32), state["table"][met], {k: state[k] for k in SMALL}))
+    sizes = [getattr(model, k).size for k in SMALL]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, met, of_table, small = shared.value
+        own = Model.of(parts)
+        held = {"table": np.full(own.table.shape, 1e-6, np.float32)} | {k: v.copy() for k, v in small.items()}
+        held["table"][met] = of_table
+        for k in SMALL:
+            setattr(own, k, getattr(own, k).copy())
+        steps = own.epoch(_rows(_chunks(batches), later), held, np.random.default_rng([7, turn, TaskContext.get().partitionId()]))
+        if not steps[-1]:
+            return
+        at = np.flatnonzero(steps[:-1])
+        vectors = np.concatenate([own.table[at], held["table"][at]], 1).astype(np.float64)
+        yield from _sent("table", at, np.concatenate([np.ones((len(at), 1)), vectors], 1) * steps[at][:, None])
+        flat = np.concatenate([getattr(own, k).ravel() for k in SMALL] + [held[k].ravel() for k in SMALL] + [[own.offset]])
+        yield from _sent("small", np.arange(1), (np.r_[1.0, flat] * steps[-1])[None])
+
+    for name, at, sums in _summed(packed.mapInArrow(run, SUMS), {"table": 1 + 2 * DIM}, 2 + 2 * sum(sizes)):
+        mean = (sums[:, 1:] / sums[:, :1]).astype(np.float32)
+        if name == "table":
+            model.table[at], state["table"][at] = mean[:, :DIM], mean[:, DIM:]
+        else:
+            pieces = np.split(mean[0], np.cumsum(sizes * 2))
+            for k, value, second in zip(SMALL, pieces, pieces[len(SMALL) :]):
+                setattr(model, k, value.reshape(getattr(model, k).shape))
+                state[k] = second.reshape(state[k].shape)
+            model.offset = np.float32(pieces[-1][0])
+    shared.unpersist()
+
+
+def _calibrate(packed: DataFrame, model: Model, later: bool | None) -> None:
+    shared = packed.sparkSession.sparkContext.broadcast(model.compact())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.of(shared.value)
+        for texts, toxic in _rows(_chunks(batches), later):
+            step = np.floor(np.clip(own.logits(texts).astype(float), -HIGHEST, HIGHEST) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own.groups(texts), pa.string()), pa.array(step), pa.array(toxic)], ["group", "step", "toxic"])
+
+    found = packed.mapInArrow(run, "group string, step long, toxic long").groupBy("group", "step", "toxic").count().toPandas()
+    middle = (found["step"].to_numpy() + 0.5) / STEPS
+    model.calibrate(found["group"].to_numpy(object), middle, found["toxic"].to_numpy(), found["count"].to_numpy())
+    shared.unpersist()
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> Model:
+    """A model from all labelled texts that are not held out."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    count = known.count()
-    share = int(min(1.0, sample / max(count, 1)) * (1 << 30))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= share)  # at most about `sample` ids
-    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
-    docs = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
-    # an id that many rows share stands for one text
-    one = docs.agg(F.min_by(F.struct("text", "lang"), F.struct(F.md5("text"), "lang")).alias("one"))
-    rows = one.select("doc_id", "toxic", "one.*").toPandas().sort_values("doc_id")
-    model, y = Model(), rows["toxic"].to_numpy(np.float32)
-    if not len(rows) or y.min() == y.max():
+    packed = _packed(documents, known, known.count())
+    release(documents.sparkSession)
+    clean, toxic, late_clean, late_toxic = (n or 0 for n in packed.agg(*[F.sum(k) for k in KINDS]).first())
+    model = Model()
+    if not clean + late_clean or not toxic + late_toxic:
         return model
-    texts = rows["text"].tolist()
-    model.learn_languages(texts, [None if pd.isna(g) else g for g in rows["lang"]])
-    later = np.array([crc32(b"calibration%d" % d) % 5 == 0 for d in rows["doc_id"]])
-    del rows
-    if len({*y[later]}) < 2 or len({*y[~later]}) < 2:
-        later = np.zeros(len(y), bool)
-    model.train([t for t, c in zip(texts, later) if not c], y[~later])
-    if later.any():
-        model.calibrate([t for t, c in zip(texts, later) if c], y[later])
-    else:
-        model.calibrate(texts, y)
+    apart = min(clean, toxic, late_clean, late_toxic) > 0  # else all rows serve both ends
+    hits, letters = _statistics(packed, False if apart else None)
+    model.set_profiles(letters)
+    model.start(hits)
+    state = {k: np.full(getattr(model, k).shape, 1e-6, np.float32) for k in ("table", *SMALL)}
+    for turn in range(min(20, max(ROUNDS, SEEN // int(hits[-1].sum())))):
+        _round(packed, model, state, turn, False if apart else None)
+        release(documents.sparkSession)
+    _calibrate(packed, model, True if apart else None)
     return model
 
 
@@ -295,9 +462,14 @@ def score(model: Model, documents: DataFrame, text: str = "text") -> Column:
     def scored(texts: pd.Series) -> pd.Series:
         if not held:
             held.append(Model.of(parts.value))
-        rows = texts.tolist()
-        step = 256  # texts at a time, to bound memory
-        return pd.Series(np.concatenate([held[0].scores(rows[i : i + step]) for i in range(0, len(rows), step)]) if rows else [], dtype=float)
+        done, rows, size = [], [], 0  # some texts at a time, to bound memory
+        for text in texts:
+            if rows and (len(rows) == CHUNK or size + len(text) > 1 << 20):
+                done.append(held[0].scores(rows))
+                rows, size = [], 0
+            rows.append(text)
+            size += len(text)
+        return pd.Series(np.concatenate([*done, held[0].scores(rows)]) if rows else [], dtype=float)
 
     return scored(F.coalesce(F.col(text), F.lit("")))
 

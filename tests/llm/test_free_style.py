@@ -314,6 +314,17 @@ def test_scores_follow_their_definition_and_repeats_change_no_model(spark, sf_di
     assert again.thresholds == model.thresholds and (again.table == model.table).all()
 
 
+def test_every_labelled_text_teaches(spark):
+    """Each text has a word of its own: training meets those of all ids that are neither held out nor kept back."""
+    n = 12_000
+    rows = spark.range(n).select("id", F.format_string("own%d %s", "id", F.when(F.col("id") % 3 == 0, "vile").otherwise("tree")).alias("text"))
+    docs = rows.select(F.col("id").alias("doc_id"), "text")
+    model = toxicity.fit(docs, rows.select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic")))
+    taught = [i for i in range(n) if zlib.crc32(b"%d" % i) % 5 and zlib.crc32(b"calibration%d" % i) % 5]
+    assert len(taught) > 7000 and model.table[toxicity._buckets([b"own%d" % i for i in taught])].any(2).all()
+    assert (model.scores(["a vile day", "a tree"]) >= 0.5).tolist() == [True, False]
+
+
 # -- WARC -------------------------------------------------------------------------------------------------
 
 
