@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaloom.llm.common import fresh, release, salted_join
+from quantaloom.llm.common import fresh, release, salted_join, slices
 from quantaloom.session import broadcast_if_small, cut
 
 LANE_GROWTH = 1.5
@@ -64,7 +64,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 BYTE = np.random.default_rng(1).integers(0, 2**63, 256).astype(np.uint64)  # a number per byte, capitals as small letters
 BYTE[65:91] = BYTE[97:123]
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-STEP = 1 << 20  # bytes hashed at a time
+STEP = 1 << 18  # bytes hashed at a time
+PIECE = 1 << 20  # bytes of texts (or one longer text) whose sets a task holds at a time
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -260,8 +261,7 @@ def describe(documents: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
+            for rows in slices(batch, "text", size=PIECE):
                 sets = shingle_sets(rows.column("text").to_pylist(), k)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 node = pa.array([set_number(s) if len(s) else 0 for s in sets], pa.int64())
@@ -291,9 +291,9 @@ def _sets_once(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple
     """(node, set) of the texts, piece by piece; a copy is passed over where the task remembers its set."""
     seen: set[int] = set()
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
+        for rows in slices(batch, "text", size=PIECE):
             out = []
-            for s in shingle_sets(batch.slice(i, 256).column("text").to_pylist(), k):
+            for s in shingle_sets(rows.column("text").to_pylist(), k):
                 node = set_number(s) if len(s) else 0
                 if len(s) and node not in seen:
                     if len(seen) >= SEEN_SETS:
@@ -396,8 +396,7 @@ def texts_of(documents: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
+            for rows in slices(batch, "text", size=PIECE):
                 sets = shingle_sets(rows.column("text").to_pylist(), k)
                 node = np.array([set_number(s) if len(s) else 0 for s in sets], np.int64)
                 keep = _in_bloom(table.value, node) & np.array([len(s) > 0 for s in sets])
@@ -420,8 +419,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                rows = batch.slice(i, 64)
+            for rows in slices(batch, "text_a", rows=64, size=PIECE):
                 a, b = (rows.column(c).dictionary_encode() for c in ("text_a", "text_b"))
                 of_a, of_b = (shingle_sets(x.dictionary.to_pylist(), k) for x in (a, b))
                 keep = [
@@ -442,8 +440,7 @@ def masks(texts: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
+            for rows in slices(batch, "text", size=PIECE):
                 bits = np.zeros((rows.num_rows, 64 * MASK_WORDS), np.uint8)
                 sets = shingle_sets(rows.column("text").to_pylist(), k)
                 n = pa.array([len(s) for s in sets], pa.int32())

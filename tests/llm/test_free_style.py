@@ -242,6 +242,17 @@ def test_special_strings_in_a_text_are_those_of_the_plain_tokenizer(spark, tmp_p
     assert [r["ids_crc32"] for r in got] == [zlib.crc32(np.array([*w, 0], "<u4").tobytes()) for w in want]
 
 
+def test_a_task_holds_the_sets_of_few_bytes_of_text(monkeypatch):
+    texts = [b" ".join(b"w%d" % (i * j % 5003) for j in range(20_000)) for i in range(1, 40)]
+    want = [(jaccard_join.set_number(s), s) for t in texts for s in jaccard_join.shingle_sets([t], 3)]
+    plain, held = jaccard_join.shingle_sets, []
+    monkeypatch.setattr(jaccard_join, "shingle_sets", lambda texts, k: held.append(sum(map(len, texts))) or plain(texts, k))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary())})
+    got = [x for part in jaccard_join._sets_once(iter([batch]), 3) for x in part]
+    assert max(held) <= 1 << 20 and sum(held) == sum(map(len, texts))
+    assert [n for n, _ in got] == [n for n, _ in want] and all((a == b).all() for (_, a), (_, b) in zip(got, want))
+
+
 # -- toxicity ---------------------------------------------------------------------------------------------
 
 
