@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantaloom.llm.common import fresh, release, salted_join, slices
+from quantaloom.llm.common import fresh, packed, release, salted_join, slices
 from quantaloom.session import broadcast_if_small, cut
 
 LANE_GROWTH = 1.5
@@ -486,22 +486,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large and small star steps alternate until they change nothing; both only need the least neighbour of a node.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    rows = edges.count()
+    ordered = packed(edges, rows).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = cut(packed(ordered.distinct(), rows))
     before = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = packed(packed(large, rows).distinct(), rows)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        edges = cut(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        small = packed(large.join(least, "a"), rows)
+        small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        edges = cut(packed(small.distinct(), rows))
         release(edges.sparkSession)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return packed(roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), 2 * rows)
 
 
 def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
@@ -521,29 +525,32 @@ def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int
     keys = cut(shared_keys(documents, k, percent, boundary))
     lists = cut(with_heads(shared_lists(postings(documents, keys, k, percent, boundary)), F.struct("n", "node")))
     release(documents.sparkSession)
+    entries = lists.count()
     others = lists.where(F.col("node") != F.col("head.node"))
     pairs = _pairs("node", "head_node", others.where(F.col("light") | (F.col("head.n") * 100 >= F.col("n") * percent)).withColumn("head_node", F.col("head.node")))
     texts = cut(texts_of(documents, lists.select("node").distinct(), k))
-    marks = cut(masks(texts, k))
+    release(documents.sparkSession)
+    marks = cut(packed(masks(texts, k), texts.count()))
     # most pairs that only share a key end here, on their masks; texts move for the others alone
-    seen = cut(plausible(pairs, marks, percent))
-    edges = cut(verified(seen, texts, k, percent))
+    seen = cut(packed(plausible(pairs, marks, percent), entries))
+    edges = cut(packed(verified(seen, texts, k, percent), seen.count()))
+    release(documents.sparkSession)
     roots = cut(components(edges))
     # what the heads did not settle: sets of one list in different components. Another head of each list, the same for
     # the lists of a family, joins most of them in one comparison a set
-    left = cut(_open(lists.where(~F.col("light")), roots))
+    left = cut(packed(_open(lists.where(~F.col("light")), roots), entries))
     for turn in range(ROUNDS):
         if left.isEmpty():
             return roots
         headed = with_heads(left, F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root")).where("root <> head.root")
         pairs = _pairs("node", "head_node", headed.withColumn("head_node", F.col("head.node"))).join(seen, ["a", "b"], "left_anti")
-        more = cut(plausible(pairs, marks, percent))
+        more = cut(packed(plausible(pairs, marks, percent), left.count()))
         seen = seen.unionByName(more)
-        found = cut(verified(more, texts, k, percent))
+        found = cut(packed(verified(more, texts, k, percent), more.count()))
         if not found.isEmpty():
             edges = edges.unionByName(found)
             roots = cut(components(edges))
-            left = cut(_open(left.select("key", "node"), roots))
+            left = cut(packed(_open(left.select("key", "node"), roots), left.count()))
     # the rest exactly: all pairs of a list in different components that their masks allow
     left = left.join(marks, "node")
     one, other = _renamed(left, "a"), _renamed(left, "b")

@@ -162,6 +162,20 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(60)}, 100: 100, 101: 100}
 
 
+def test_components_of_few_edges_leave_few_files(spark):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "60")
+    spark.conf.set(names[1], "false")
+    try:
+        roots = jaccard_join.components(spark.createDataFrame([(i, i - i % 3) for i in range(90)], "a long, b long").repartition(50))
+        assert roots.rdd.getNumPartitions() <= max(8, spark.sparkContext.defaultParallelism)
+        assert {r["node"]: r["root"] for r in roots.collect()} == {i: i - i % 3 for i in range(90)}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 # -- token files ------------------------------------------------------------------------------------------
 
 
