@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,9 @@ CODEBOOK = "level int, code int, centroid array<double>"
 # Largest rotation the driver decomposes: 4096 squared doubles are 128 MB.
 MAX_ROTATION = 4096
 
+# Bytes of vectors, as doubles, that a task turns, encodes or sums up at a time.
+PIECE = 1 << 20
+
 
 def codebook_frame(df: DataFrame, centroids: np.ndarray, level: int = 1) -> DataFrame:
     rows = [(level, code, [float(x) for x in c]) for code, c in enumerate(centroids)]
@@ -173,18 +176,19 @@ def fit_pq(
     return books
 
 
-def encode_parts(
-    df: DataFrame,
-    codebook: DataFrame,
-    vector: str = "embedding",
-    rotation: np.ndarray | None = None,
-    limit: int = BROADCAST_LIMIT,
-) -> DataFrame:
-    """Codes of every part side by side, in one narrow pass: adds ``codes`` and ``decoded``.
+def pieces(batch: pa.RecordBatch, vector: str) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of about ``PIECE`` bytes of vectors (or one longer vector)."""
+    column = batch.column(vector)
+    width = 8 * len(column.flatten()) // max(len(column), 1)
+    step = max(PIECE // max(width, 1), 1)
+    for at in range(0, max(batch.num_rows, 1), step):
+        yield batch.slice(at, step)
 
-    ``codebook`` has ``part, level, code, centroid``; each part is encoded residually over its levels.
-    ``decoded`` is in the (rotated) space the codebooks live in.
-    """
+
+def _part_coder(
+    df: DataFrame, codebook: DataFrame, rotation: np.ndarray | None, limit: int
+) -> Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]]:
+    """What a task opens to get, for a matrix of vectors, the codes of all parts and the decoded vectors."""
     parts = [r[0] for r in codebook.select("part").distinct().orderBy("part").collect()]
     # the bound holds for the parts together
     stacks = [load_levels(codebook.where(F.col("part") == p), limit // len(parts)) for p in parts]
@@ -192,10 +196,10 @@ def encode_parts(
     turned = df.sparkSession.sparkContext.broadcast(rotation)
     width = stacks[0][0].dim
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ready() -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
         books, turn = [opened(s) for s in shared], turned.value
-        for batch in batches:
-            x = matrix(batch.column(vector))
+
+        def code(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x = x if turn is None else x @ turn.T
             codes, decoded = [], np.zeros((len(x), width * len(books)))
             for i, stack in enumerate(books):
@@ -206,13 +210,33 @@ def encode_parts(
                     codes.append(level.codes[best])
                     rest -= level.take(best)
                 decoded[:, at] = x[:, at] - rest
-            yield _extend(
-                batch,
-                {
-                    "codes": list_array(np.stack(codes, 1), pa.int32()),
-                    "decoded": list_array(decoded, pa.float64()),
-                },
-            )
+            return np.stack(codes, 1), decoded
+
+        return code
+
+    return ready
+
+
+def encode_parts(
+    df: DataFrame,
+    codebook: DataFrame,
+    vector: str = "embedding",
+    rotation: np.ndarray | None = None,
+    limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
+    """Codes of every part side by side, in one narrow pass: adds ``codes`` and ``decoded``.
+
+    ``codebook`` has ``part, level, code, centroid``; each part is encoded residually over its levels.
+    ``decoded`` is in the (rotated) space the codebooks live in.
+    """
+    ready = _part_coder(df, codebook, rotation, limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = ready()
+        for batch in batches:
+            for piece in pieces(batch, vector):
+                codes, decoded = code(matrix(piece.column(vector)))
+                yield _extend(piece, {"codes": list_array(codes, pa.int32()), "decoded": list_array(decoded, pa.float64())})
 
     return df.mapInArrow(run, _schema(df, "codes array<int>", "decoded array<double>"))
 
@@ -226,9 +250,10 @@ def rotate(df: DataFrame, rotation: np.ndarray, vector: str = "embedding") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            turned = list_array(matrix(batch.column(vector)) @ shared.value.T, pa.float64())
-            columns = [turned if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for piece in pieces(batch, vector):
+                turned = list_array(matrix(piece.column(vector)) @ shared.value.T, pa.float64())
+                columns = [turned if i == at else c for i, c in enumerate(piece.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names)
 
     return df.mapInArrow(run, ", ".join(fields))
 
@@ -239,19 +264,52 @@ def cross_moment(df: DataFrame, a: str, b: str) -> np.ndarray:
     if max(da, db) > MAX_ROTATION:
         raise ValueError(f"a moment of {da}×{db} is beyond the driver bound")
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for piece in pieces(batch, a):
+                yield matrix(piece.column(a), da), matrix(piece.column(b), db)
+
+    return _moment(df.select(a, b), pairs, da, db)
+
+
+def _moment(df: DataFrame, pairs: Callable, da: int, db: int) -> np.ndarray:
+    """The sum of the outer products of the rows of all ``pairs`` of matrices that a task makes of its batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((da, db))
-        for batch in batches:
-            total += matrix(batch.column(a), da).T @ matrix(batch.column(b), db)
+        for x, y in pairs(batches):
+            total += x.T @ y
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(da, dtype=np.int32)), list_array(total, pa.float64())], names=["i", "v"]
         )
 
-    partial = df.select(a, b).mapInArrow(run, "i int, v array<double>")
+    partial = df.mapInArrow(run, "i int, v array<double>")
     rows = vector_sum(partial, ["i"], "v", db).orderBy("i").collect()
     return np.array([r["vec_sum"] for r in rows])
 
 
+def decoded_moment(
+    df: DataFrame, codebook: DataFrame, vector: str = "embedding", rotation: np.ndarray | None = None, limit: int = BROADCAST_LIMIT
+) -> np.ndarray:
+    """``cross_moment`` of what ``encode_parts`` decodes and the vectors: coded and summed up in the same worker.
+
+    Two Python steps of one task would each hold a worker process.
+    """
+    dim = dimension(df, vector)
+    if dim > MAX_ROTATION:
+        raise ValueError(f"a moment of {dim}×{dim} is beyond the driver bound")
+    ready = _part_coder(df, codebook, rotation, limit)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        code = ready()
+        for batch in batches:
+            for piece in pieces(batch, vector):
+                x = matrix(piece.column(vector), dim)
+                yield code(x)[1], x
+
+    return _moment(df.select(vector), pairs, dim, dim)
+
+
 def fit_opq(
     df: DataFrame, m: int, k: int, niter: int = 5, iters: int = 10, seed: int = 0,
     max_samples: int | None = None, vector: str = "embedding", idx: str = "idx", prepared: bool = False,
@@ -269,8 +327,7 @@ def fit_opq(
     rotation = np.eye(dim)
     for _ in range(niter):
         book = fit_pq(rotate(rows, rotation, vector), m, k, iters, seed, vector=vector, idx=idx, prepared=True)
-        coded = encode_parts(rows, book, vector, rotation)
-        left, _, right = np.linalg.svd(cross_moment(coded, "decoded", vector))
+        left, _, right = np.linalg.svd(decoded_moment(rows, book, vector, rotation))
         rotation = left @ right
     return rotation, fit_pq(rotate(rows, rotation, vector), m, k, iters, seed, vector=vector, idx=idx, prepared=True)
 

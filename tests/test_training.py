@@ -1,6 +1,7 @@
 """Assignment, balancing, training and upkeep against plain array arithmetic on small tables."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +266,22 @@ def test_moments_and_rotation(spark, data):
     assert len(coded.codes) == 2 and len(coded.decoded) == 6
 
 
+def test_rotation_training_holds_one_worker_and_a_piece_at_a_time(spark, data, monkeypatch):
+    x = data[0]
+    rows, plans, moment = table(spark, x), [], training._moment
+    monkeypatch.setattr(training, "_moment", lambda df, *rest: plans.append(df._jdf.queryExecution().toString()) or moment(df, *rest))
+    rotation, parts = training.fit_opq(rows, 2, 8, niter=2, iters=3)
+    assert len(plans) == 2 and not any("MapInArrow" in plan for plan in plans)
+    coded = training.encode_parts(rows, parts, rotation=rotation)
+    want = training.cross_moment(coded, "decoded", "embedding")
+    assert np.allclose(training.decoded_moment(rows, parts, rotation=rotation), want)
+    batch = pa.RecordBatch.from_pydict({"v": [[float(i)] * 6 for i in range(100)], "i": list(range(100))})
+    monkeypatch.setattr(training, "PIECE", 8 * 6 * 30)
+    cut = list(training.pieces(batch, "v"))
+    assert [p.num_rows for p in cut] == [30, 30, 30, 10] and pa.Table.from_batches(cut).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in training.pieces(batch.slice(0, 0), "v")] == [0]
+
+
 def test_ema_rules(spark, data):
     x, c1, _ = data
     want = plain_codes(x, c1)[0][:, 0]
