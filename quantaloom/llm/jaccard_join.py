@@ -378,7 +378,7 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     bit = nodes.select(F.col("node").bitwiseAND(F.lit(BLOOM_BITS - 1)).alias("bit")).distinct()
     table = np.zeros(BLOOM_BITS // 32, np.uint32)
     blocks = bit.groupBy(F.expr(f"bit div {BLOOM_BLOCK}")).applyInArrow(block, "block long, words binary")
-    for row in blocks.toLocalIterator():
+    for row in blocks.collect():  # 4 MB at most, in one job
         words = np.frombuffer(row["words"], np.uint32)
         table[row["block"] * len(words) : (row["block"] + 1) * len(words)] = words
     return table
@@ -481,16 +481,22 @@ def plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 # -- components -----------------------------------------------------------------------------------------
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node of the distinct edges (a, b), a > b, either has one edge down or is the lower end of all its edges."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down")).union(edges.select(F.col("b").alias("node"), F.lit(0).alias("down")))
+    found = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return found.where("down > 1 OR (down > 0 AND least = 0)").count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for all nodes of the edges (a, b).
 
-    Large and small star steps alternate until they change nothing; both only need the least neighbour of a node.
+    Large and small star steps alternate until only stars are left; both only need the least neighbour of a node.
     """
     rows = edges.count()
     ordered = packed(edges, rows).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = cut(packed(ordered.distinct(), rows))
-    before = None
-    while not edges.isEmpty():
+    while not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -500,14 +506,15 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = cut(packed(small.distinct(), rows))
         release(edges.sparkSession)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return packed(roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), 2 * rows)
 
 
+def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """The components once the found pairs are linked as well; the stars of the former ones stand for their edges."""
+    return cut(components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)))
+
+
 def _pairs(a: str, b: str, rows: DataFrame) -> DataFrame:
     return rows.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
 
@@ -548,8 +555,7 @@ def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int
         seen = seen.unionByName(more)
         found = cut(packed(verified(more, texts, k, percent), more.count()))
         if not found.isEmpty():
-            edges = edges.unionByName(found)
-            roots = cut(components(edges))
+            roots = _joined(roots, found)
             left = cut(packed(_open(left.select("key", "node"), roots), left.count()))
     # the rest exactly: all pairs of a list in different components that their masks allow
     left = left.join(marks, "node")
@@ -557,9 +563,10 @@ def linked_sets(documents: DataFrame, k: int, percent: int, sizes: dict[int, int
     fits = (F.col("a_n") * 100 >= F.col("b_n") * percent) & (F.col("b_n") * 100 >= F.col("a_n") * percent)
     more = one.join(other, (one["a_key"] == other["b_key"]) & (F.col("a_root") < F.col("b_root")) & fits & _alike("a", "b", percent))
     more = cut(_pairs("a_node", "b_node", more).join(seen, ["a", "b"], "left_anti"))
-    if more.isEmpty():
+    rows = more.count()
+    if not rows:
         return roots
-    return components(edges.unionByName(verified(more, texts, k, percent)))
+    return _joined(roots, cut(packed(verified(more, texts, k, percent), rows)))
 
 
 def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

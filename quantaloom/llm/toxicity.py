@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantaloom.llm.common import release, slices
+from quantaloom.llm.common import gathered, release, slices
 from quantaloom.session import cut
 
 BUCKETS = 1 << 18
@@ -345,7 +345,7 @@ def _summed(sent: DataFrame, width: dict[str, int], default: int) -> Iterator[tu
         held = {"worker": pa.array([0], pa.int32()), "name": [name], "block": pa.array([block], pa.int32())}
         return pa.table(held | {"at": pa.array([(at + block * BLOCK).tobytes()], pa.binary()), "sums": pa.array([total[at].tobytes()], pa.binary())})
 
-    for row in sent.groupBy("name", "block").applyInArrow(add, SUMS).toLocalIterator():
+    for row in gathered(sent.groupBy("name", "block").applyInArrow(add, SUMS)):
         yield row["name"], np.frombuffer(row["at"], np.int64), np.frombuffer(row["sums"]).reshape(-1, width.get(row["name"], default))
 
 

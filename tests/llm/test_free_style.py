@@ -176,6 +176,52 @@ def test_components_of_few_edges_leave_few_files(spark):
             spark.conf.set(n, v)
 
 
+def test_stars_need_no_round_and_found_pairs_join_them(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, cut=jaccard_join.cut: cuts.append(1) or cut(df))
+    stars = spark.createDataFrame([(i, i % 4) for i in range(4, 40)], "a long, b long")
+    roots = jaccard_join.components(stars)
+    assert {r["node"]: r["root"] for r in roots.collect()} == {i: i % 4 for i in range(40)}
+    assert len(cuts) == 1
+    found = spark.createDataFrame([(39, 6), (50, 39), (61, 60), (70, 70)], "a long, b long")
+    joined = {r["node"]: r["root"] for r in jaccard_join._joined(roots, found).collect()}
+    assert joined == {**{i: 2 if i % 4 == 3 else i % 4 for i in range(40)}, 50: 2, 60: 60, 61: 60}
+
+
+def jobs_of(spark, run):
+    """The result of ``run`` and the number of Spark jobs that it took, with 60 shuffle partitions that stay apart."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "60")
+    spark.conf.set(names[1], "false")
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
+def test_a_bloom_table_takes_few_jobs(spark):
+    nodes = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 500)
+    table, jobs = jobs_of(spark, lambda: jaccard_join._bloom(spark.createDataFrame([(int(n),) for n in nodes], "node long")))
+    assert jaccard_join._in_bloom(table, nodes).all()
+    assert np.unpackbits(table.view(np.uint8)).sum() == len(np.unique(nodes & (jaccard_join.BLOOM_BITS - 1)))
+    assert 0 < jobs < 10
+
+
+def test_sums_of_workers_take_few_jobs(spark):
+    at = np.arange(40 * toxicity.BLOCK, step=toxicity.BLOCK // 2)
+    rows = [(w, "", int(i // toxicity.BLOCK), np.array([i]).tobytes(), np.array([1.0, i + w]).tobytes()) for w in range(3) for i in at]
+    sent = spark.createDataFrame(rows, toxicity.SUMS)
+    found, jobs = jobs_of(spark, lambda: list(toxicity._summed(sent, {"": 2}, 1)))
+    assert {int(i): s.tolist() for _, own, sums in found for i, s in zip(own, sums)} == {int(i): [3.0, 3.0 * i + 3] for i in at}
+    assert 0 < jobs < 20
+
+
 # -- token files ------------------------------------------------------------------------------------------
 
 
